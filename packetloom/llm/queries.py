@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, langid, neardup, tokencount
+from . import bpe, chat, decontaminate, html, langid, neardup, secrets, sharding, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,36 @@ SELECT m.doc_id, coalesce(n, 0) AS n_shingles, component_id, m.doc_id = componen
 """
 
 
+#: Shards of the sharding query, and slots of its table.
+SHARDS, SLOTS = [f"shard-{i:03d}" for i in range(64)], 8191
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document."""
+    return sharding.assign(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS, SLOTS)
+
+
+OP2_SQL = f"""
+WITH RECURSIVE s AS (SELECT i, 'shard-' || lpad(CAST(i AS VARCHAR), 3, '0') AS name FROM range({len(SHARDS)}) AS t(i)),
+p AS (SELECT list(CAST('0x' || substr(md5('offset:' || name), 1, 15) AS BIGINT) % {SLOTS} ORDER BY i) AS o,
+             list(CAST('0x' || substr(md5('skip:' || name), 1, 15) AS BIGINT) % {SLOTS - 1} + 1 ORDER BY i) AS k FROM s),
+f(turn, slots, slot) AS (
+  SELECT 0, list_transform(range({SLOTS}), lambda x: FALSE), CAST(NULL AS BIGINT) FROM p
+  UNION ALL
+  SELECT turn + 1, list_transform(slots, lambda x, i: x OR i - 1 = c), c
+  FROM (SELECT f.turn, f.slots, list_filter(list_transform(range({SLOTS}), lambda j: (p.o[f.turn % {len(SHARDS)} + 1] + j * p.k[f.turn % {len(SHARDS)} + 1]) % {SLOTS}), lambda c: NOT f.slots[c + 1])[1] AS c
+        FROM f, p WHERE f.turn < {SLOTS})),
+t AS (SELECT slot, (turn - 1) % {len(SHARDS)} AS shard FROM f WHERE turn > 0),
+d AS (SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % {SLOTS} AS slot FROM documents)
+SELECT doc_id, CAST(slot AS INTEGER) AS slot, CAST(shard AS INTEGER) AS shard FROM d JOIN t USING (slot)
+"""
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html.extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 #: A document with more tokens than this is over the limit.
 TOKEN_LIMIT = 4096
 
@@ -59,6 +89,14 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.train(docs))
+    counts = [secrets.count_kind(F.col("base_spans"), kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(secrets.listed(F.col("base_spans")), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
     found = neardup.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -87,10 +125,45 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(part == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that says control strings, formatted in windows and read back."""
+    said = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text")
+    )
+    written = chat.windows(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(said))
+    fresh = F.slice(chat.read_back(F.col("formatted")), F.col("n_context") + 1, F.col("n_turns"))
+    read = written.select(
+        "conv_id", "window", F.size(fresh).alias("n"), F.array_join(F.transform(fresh, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("turns"),
+        chat.learned(F.col("formatted"), F.col("loss_spans")).alias("loss"), F.length("formatted").alias("size"),
+    )
+    # the digests are of whole conversations, so their texts meet here
+    whole = read.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("window", "turns", "loss"))).alias("x"), F.sum("n").alias("n_turns"), F.sum("size").alias("formatted_chars"))
+    loss = F.array_join(F.col("x.loss"), "")
+    return whole.select(
+        "conv_id", "n_turns", F.sha2(F.array_join(F.col("x.turns"), ""), 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars"
+    )
+
+
+OP10_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+s AS (SELECT *, CAST(ceil(strlen(text) / 4.0) AS BIGINT) + 4 AS size, row_number() OVER w AS rank FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+p AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY rank) - size AS b FROM s),
+l AS (SELECT *, 23 + length(replace(replace(replace(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]'))
+         + length(replace(replace(replace(replace(replace(replace(text, '\', '\\'), '<|', '<\|'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]')) AS chars,
+         2 * ((b + size - 1) // 1536) + CASE WHEN b // 1536 < (b + size - 1) // 1536 THEN 0 ELSE 1 END AS win FROM p),
+w AS (SELECT conv_id, win, min(b) AS start, min(rank) AS first FROM l GROUP BY ALL),
+again AS (SELECT l.conv_id, sum(l.chars) AS chars FROM l JOIN w ON l.conv_id = w.conv_id AND l.rank < w.first AND (l.b + 256 >= w.start OR (l.rank = 1 AND l.role = 'system')) GROUP BY ALL),
+t AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY rank)) AS turns_sha256,
+  coalesce(string_agg(text, '' ORDER BY rank) FILTER (role = 'assistant'), '') AS loss, sum(chars) AS chars FROM l GROUP BY conv_id)
+SELECT t.conv_id, n_turns, turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(t.chars + coalesce(again.chars, 0) AS BIGINT) AS formatted_chars FROM t LEFT JOIN again USING (conv_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_decontamination, op4_token_counts, op7_near_duplicates, op8_bpe_round_trip, op9_language_id]
+    found = [op1_decontamination, op2_sharding, op3_html_extraction, op4_token_counts, op6_secret_scan, op7_near_duplicates, op8_bpe_round_trip, op9_language_id, op10_chat_format]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op7_near_duplicates": OP7_SQL}
+    return {"op1_decontamination": OP1_SQL, "op2_sharding": OP2_SQL, "op10_chat_format": OP10_SQL, "op7_near_duplicates": OP7_SQL}
