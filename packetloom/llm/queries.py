@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontaminate, html, langid, neardup, secrets, sharding, tokencount
+from . import bpe, chat, decontaminate, html, langid, neardup, secrets, sharding, tokencount, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,6 +89,19 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector among all others."""
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+OP5_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
+"""
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -161,9 +174,9 @@ SELECT t.conv_id, n_turns, turns_sha256, CAST(length(loss) AS BIGINT) AS loss_ch
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_decontamination, op2_sharding, op3_html_extraction, op4_token_counts, op6_secret_scan, op7_near_duplicates, op8_bpe_round_trip, op9_language_id, op10_chat_format]
+    found = [op1_decontamination, op2_sharding, op3_html_extraction, op4_token_counts, op5_top_k, op6_secret_scan, op7_near_duplicates, op8_bpe_round_trip, op9_language_id, op10_chat_format]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op2_sharding": OP2_SQL, "op10_chat_format": OP10_SQL, "op7_near_duplicates": OP7_SQL}
+    return {"op1_decontamination": OP1_SQL, "op2_sharding": OP2_SQL, "op5_top_k": OP5_SQL, "op10_chat_format": OP10_SQL, "op7_near_duplicates": OP7_SQL}
