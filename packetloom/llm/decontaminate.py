@@ -168,8 +168,9 @@ def _matches(words: tx.Words, hashes: np.ndarray, index: Index, tables: dict) ->
 
 
 def _find(documents: DataFrame, index: Index, only_hits: bool) -> DataFrame:
-    """id, key and SCHEMA of every document, or of those with hits. key tells apart rows that share an id."""
+    """id, key and SCHEMA of every document, or of those with hits; then its columns from the fourth on. key tells apart rows that share an id."""
     shared = documents.sparkSession.sparkContext.broadcast(index)
+    carried = documents.columns[3:]
     empty = pa.array([], pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
@@ -207,13 +208,14 @@ def _find(documents: DataFrame, index: Index, only_hits: bool) -> DataFrame:
                 items[pair // len(index.names)].append(index.names[pair % len(index.names)])
         out = pa.record_batch(
             {
-                "id": part.column(0), "key": part.column(2), "n_words": pa.array(np.diff(words.bounds).astype(np.int64)), "n_hit": pa.array(n_hit.astype(np.int64)),
+                "id": part.column(0), "key": part.column(2), **dict(zip(carried, part.columns[3:], strict=True)), "n_words": pa.array(np.diff(words.bounds).astype(np.int64)), "n_hit": pa.array(n_hit.astype(np.int64)),
                 "hit_spans": pa.array(spans, pa.list_(empty.type)), "items": pa.array(items, pa.list_(pa.string())),
             }
         )
         return out.filter(pa.array(n_hit > 0)) if only_hits else out
 
-    return documents.mapInArrow(run, f"id {documents.schema[0].dataType.simpleString()}, key long, {SCHEMA}")
+    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields[3:])
+    return documents.mapInArrow(run, f"id {documents.schema[0].dataType.simpleString()}, key long{more}, {SCHEMA}")
 
 
 def _blocks(items: DataFrame, most_bytes: int) -> list[DataFrame]:
@@ -229,9 +231,9 @@ def _blocks(items: DataFrame, most_bytes: int) -> list[DataFrame]:
 
 def decontaminate(
     documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-    item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 32 << 20,
+    item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 32 << 20, carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row (id_col, n_words, n_hit, hit_spans, items) for each row of documents.
+    """One row (id_col, n_words, n_hit, hit_spans, items) for each row of documents; columns named in carry follow.
 
     Words are runs of ASCII letters and digits (A-Z lower-cased) and of anything beyond ASCII. A word is hit if it lies
     in an occurrence of a window of some item; hit_spans are maximal ranges of hit words, items the sorted distinct ids
@@ -243,13 +245,14 @@ def decontaminate(
     block_bytes bounds the item texts of one broadcast block; a single longer item is a block of its own.
     """
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null").distinct()
-    docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col, id_col).alias("key"))
+    docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col, id_col).alias("key"), *[F.col(c).alias(f"_{c}") for c in carry])
     parts = []
+    slim = docs.select("id", "text", "key")
     for k, block in enumerate(_blocks(items, block_bytes)):
         index = build([tuple(r) for r in block.collect()])  # bounded by block_bytes
         keys = {q: np.unique(x[2]) for q, x in index.shingles().items()}
-        counts = {r["hash"]: r["n"] for r in _count(docs, keys).collect()} if keys else {}  # no more than the block's shingles
-        parts.append(_find(docs, with_prefixes(index, counts), only_hits=k > 0))
+        counts = {r["hash"]: r["n"] for r in _count(slim, keys).collect()} if keys else {}  # no more than the block's shingles
+        parts.append(_find(slim if k else docs, with_prefixes(index, counts), only_hits=k > 0))
     first, *rest = parts
     if rest:
         more = rest[0]
@@ -262,7 +265,7 @@ def decontaminate(
         spans = F.array_sort(F.concat("hit_spans", F.coalesce("s", none.cast("array<struct<start:bigint,end:bigint>>"))))
         joined = joined.withColumn("hit_spans", _merged(spans)).withColumn("items", F.array_sort(F.array_union("items", F.coalesce("i", none.cast("array<string>")))))
         first = joined.withColumn("n_hit", F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"]))
-    return first.select(F.col("id").alias(id_col), "n_words", "n_hit", "hit_spans", F.array_sort("items").alias("items"))
+    return first.select(F.col("id").alias(id_col), "n_words", "n_hit", "hit_spans", F.array_sort("items").alias("items"), *[F.col(f"_{c}").alias(c) for c in carry])
 
 
 def _merged(spans):
