@@ -24,6 +24,8 @@ from . import text as tx
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
+#: Marks that end a run of letters and are a pre-token of their own at a chunk's end.
+_MARKS = frozenset(".,;:!?)]}\"")
 #: A space in white space on both sides, or two spaces: there chunks between single spaces aren't independent.
 _TWO_SPACES = re.compile(rf"  |[{SPACE}] [{SPACE}]")
 #: Letters and numbers of a newer Unicode than the public tokenizer's, which it takes as unassigned.
@@ -62,7 +64,7 @@ def byte_letters() -> dict[str, int]:
 class ByteBpe(dict):
     """A byte-level BPE tokenizer read from tokenizers' JSON; as a dict, the ids of what it has met after single spaces."""
 
-    def __init__(self, source: str | bytes, room: int = 1 << 17):
+    def __init__(self, source: str | bytes, room: int = 1 << 18):
         super().__init__()
         spec = json.loads(source)
         model, self.room = spec["model"], room
@@ -74,8 +76,11 @@ class ByteBpe(dict):
         ids = model["vocab"]
         self.first = [ids[c] for c, _ in sorted(letters.items(), key=lambda x: x[1])]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        #: The rank of a pair of neighbours, by left id << 32 | right id; and what each rank's merge makes.
-        self.ranks = {ids[a] << 32 | ids[b]: rank for rank, (a, b) in reversed([*enumerate(pairs)])}
+        #: By left id, the rank of each right id it merges with; and what each rank's merge makes.
+        self.ranks: list[dict[int, int]] = [{}] * (max(ids.values()) + 1)
+        for rank, (a, b) in reversed([*enumerate(pairs)]):
+            self.ranks[ids[a]] = own = self.ranks[ids[a]] or {}
+            own[ids[b]] = rank
         self.made = [ids[a + b] for a, b in pairs]
         self.special = {}
         for t in spec.get("added_tokens", ()):
@@ -94,7 +99,12 @@ class ByteBpe(dict):
         """The ids of a space and the chunk after it."""
         ids = self.old.pop(chunk, None)
         if ids is None:
-            ids = (*chain.from_iterable(map(self.word, self.pre_tokens(" " + chunk))),)
+            if chunk.isalpha():
+                ids = self.merge((" " + chunk).encode())
+            elif chunk[-1:] in _MARKS and chunk[:-1].isalpha():
+                ids = self[chunk[:-1]] + self.word(chunk[-1])
+            else:
+                ids = (*chain.from_iterable(map(self.word, self.pre_tokens(" " + chunk))),)
         if len(chunk) <= 32:
             if len(self) >= self.room:
                 self.old = dict(self)
@@ -121,28 +131,37 @@ class ByteBpe(dict):
 
     def merge(self, data: bytes) -> tuple[int, ...]:
         """The ids of one pre-token's bytes."""
-        symbols, ranks = [self.first[b] for b in data], self.ranks
+        ranks, first = self.ranks, self.first
+        symbols = [first[b] for b in data]
         n = len(symbols)
-        queue = [r << 32 | i for i in range(n - 1) if (r := ranks.get(symbols[i] << 32 | symbols[i + 1])) is not None]
+        shift = n.bit_length()
+        mask = (1 << shift) - 1
+        queue = []
+        for i in range(n - 1):
+            if (r := ranks[symbols[i]].get(symbols[i + 1])) is not None:
+                queue.append(r << shift | i)
         if not queue:
             return tuple(symbols)
         heapq.heapify(queue)
+        pop, push = heapq.heappop, heapq.heappush
         left, right = [*range(-1, n - 1)], [*range(1, n), -1]
         while queue:
-            top = heapq.heappop(queue)
-            i, rank = top & 0xFFFFFFFF, top >> 32
+            top = pop(queue)
+            i, rank = top & mask, top >> shift
             j, a = right[i], symbols[i]
-            if a < 0 or j < 0 or ranks.get(a << 32 | symbols[j]) != rank:
+            if a < 0 or j < 0 or ranks[a].get(symbols[j]) != rank:
                 continue  # stale
-            symbols[i], symbols[j] = new, _ = self.made[rank], -1
+            symbols[i] = new = self.made[rank]
+            symbols[j] = -1
             right[i] = after = right[j]
+            own = ranks[new]
             if after >= 0:
                 left[after] = i
-                if (r := ranks.get(new << 32 | symbols[after])) is not None:
-                    heapq.heappush(queue, r << 32 | i)
+                if (r := own.get(symbols[after])) is not None:
+                    push(queue, r << shift | i)
             before = left[i]
-            if before >= 0 and (r := ranks.get(symbols[before] << 32 | new)) is not None:
-                heapq.heappush(queue, r << 32 | before)
+            if before >= 0 and (r := ranks[symbols[before]].get(new)) is not None:
+                push(queue, r << shift | before)
         return tuple([s for s in symbols if s >= 0])
 
     def encode(self, text: str) -> list[int]:
@@ -165,7 +184,10 @@ class ByteBpe(dict):
 
     def decode(self, ids) -> str:
         """The text of ids, added tokens included; bytes that are no UTF-8 become U+FFFD. Unknown ids give nothing."""
-        return b"".join([self.vocabulary.get(i, b"") for i in ids]).decode("utf-8", "replace")
+        try:
+            return b"".join(map(self.vocabulary.__getitem__, ids)).decode("utf-8", "replace")
+        except KeyError:
+            return b"".join([self.vocabulary.get(i, b"") for i in ids]).decode("utf-8", "replace")
 
 
 def _ids_column(lists: list[list[int]]) -> pa.Array:
