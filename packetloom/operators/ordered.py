@@ -24,8 +24,8 @@ def running(rows: DataFrame, key: str, order: list[str], sums: dict[str, Column]
     cut = rows.withColumn("_chunk", _chunk(order[0], seconds)).withColumns(terms)
     totals = cut.groupBy(key, "_chunk").agg(*[F.sum(f"_t_{n}").alias(f"_s_{n}") for n in sums])
     before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(F.col(key).alias("_k"), F.col("_chunk").alias("_c"), *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums])
-    joined = cut.join(bases, (F.col(key) == F.col("_k")) & (F.col("_chunk") == F.col("_c")))
+    bases = totals.select(F.col(key).alias("_own_key"), F.col("_chunk").alias("_own_chunk"), *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums])
+    joined = cut.join(bases, (F.col(key) == F.col("_own_key")) & (F.col("_chunk") == F.col("_own_chunk")))
     within = Window.partitionBy(key, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return joined.select(*rows.columns, *[(F.col(f"_b_{n}") + F.sum(f"_t_{n}").over(within)).alias(n) for n in sums])
 
@@ -35,8 +35,8 @@ def previous(rows: DataFrame, key: str, order: list[str], columns: dict[str, str
     cut = rows.withColumn("_chunk", _chunk(order[0], seconds))
     last = cut.groupBy(key, "_chunk").agg(F.max_by(F.struct(*columns.values()), F.struct(*order)).alias("_l"))
     over = Window.partitionBy(key).orderBy("_chunk")
-    last = last.select(F.col(key).alias("_k"), F.col("_chunk").alias("_c"), F.lag("_l").over(over).alias("_p"))
-    joined = cut.join(last, (F.col(key) == F.col("_k")) & (F.col("_chunk") == F.col("_c")))
+    last = last.select(F.col(key).alias("_own_key"), F.col("_chunk").alias("_own_chunk"), F.lag("_l").over(over).alias("_p"))
+    joined = cut.join(last, (F.col(key) == F.col("_own_key")) & (F.col("_chunk") == F.col("_own_chunk")))
     within = Window.partitionBy(key, "_chunk").orderBy(*order)
     first = F.row_number().over(within) == 1
     return joined.select(*rows.columns, *[F.when(first, F.col(f"_p.{c}")).otherwise(F.lag(c).over(within)).alias(n) for n, c in columns.items()])

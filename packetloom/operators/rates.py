@@ -51,9 +51,9 @@ def hysteresis(rows: DataFrame, key: str, order: list[str], sure: Column, first:
     last = cut.where("_sure is not null").groupBy(key, "_chunk").agg(F.max_by("_sure", F.struct(*order)).alias("_l"))
     chunks = cut.select(key, "_chunk").distinct().join(last, [key, "_chunk"], "left")
     before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = chunks.select(F.col(key).alias("_k"), F.col("_chunk").alias("_c"), F.last("_l", ignorenulls=True).over(before).alias("_b"))
+    carried = chunks.select(F.col(key).alias("_own_key"), F.col("_chunk").alias("_own_chunk"), F.last("_l", ignorenulls=True).over(before).alias("_b"))
     within = Window.partitionBy(key, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = cut.join(carried, (F.col(key) == F.col("_k")) & (F.col("_chunk") == F.col("_c")))
+    joined = cut.join(carried, (F.col(key) == F.col("_own_key")) & (F.col("_chunk") == F.col("_own_chunk")))
     return joined.select(*rows.columns, F.coalesce(F.last("_sure", ignorenulls=True).over(within), "_b", F.lit(first)).alias(name))
 
 
