@@ -231,7 +231,7 @@ def _blocks(items: DataFrame, most_bytes: int) -> list[DataFrame]:
 
 def decontaminate(
     documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-    item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 32 << 20, carry: tuple[str, ...] = (),
+    item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 4 << 20, carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row (id_col, n_words, n_hit, hit_spans, items) for each row of documents; columns named in carry follow.
 
