@@ -77,3 +77,24 @@ def random_step(seed: Column) -> Column:
 def limit(x: Column, a: Column, b: Column) -> Column:
     """x between two bounds given in either order."""
     return F.greatest(F.least(a, b), F.least(F.greatest(a, b), x))
+
+
+def _curve(frac: Column, factor: int) -> Column:
+    """A parabola over 7 fractional bits that bends a straight line toward the logarithm or its inverse."""
+    return frac + F.shiftright(frac * (128 - frac) * factor, 16)
+
+
+def log128(x: Column) -> Column:
+    """About 128 times the base-2 logarithm of a positive number."""
+    lz = leading_zeros32(x)
+    left = F.greatest(lz - 24, F.lit(0).cast("long"))
+    frac = F.when(lz >= 24, x * F.pow(F.lit(2.0), left).cast("long")).otherwise(F.call_function("div", x, F.pow(F.lit(2.0), F.greatest(24 - lz, F.lit(0).cast("long"))).cast("long"))).bitwiseAND(F.lit(127).cast("long"))
+    return _curve(frac, 179) + (31 - lz) * 128
+
+
+def exp128(x: Column) -> Column:
+    """About 2 to the power of x / 128; 0 below 0, the largest 32-bit number from 3967 on."""
+    whole = F.pow(F.lit(2.0), F.least(F.greatest(F.shiftright(x, 7), F.lit(0).cast("long")), F.lit(31).cast("long"))).cast("long")
+    bend = _curve(x.bitwiseAND(F.lit(127).cast("long")), -174)
+    out = F.when(x < 2048, whole + F.shiftright(whole * bend, 7)).otherwise(whole + F.shiftright(whole, 7) * bend)
+    return F.when(x < 0, F.lit(0).cast("long")).when(x >= 3967, F.lit(2**31 - 1).cast("long")).otherwise(out)

@@ -40,3 +40,14 @@ def previous(rows: DataFrame, key: str, order: list[str], columns: dict[str, str
     within = Window.partitionBy(key, "_chunk").orderBy(*order)
     first = F.row_number().over(within) == 1
     return joined.select(*rows.columns, *[F.when(first, F.col(f"_p.{c}")).otherwise(F.lag(c).over(within)).alias(n) for n, c in columns.items()])
+
+
+def running_min(rows: DataFrame, key: str, order: list[str], value: Column, name: str, seconds: int = CHUNK_SECONDS) -> DataFrame:
+    """rows with the least value of the key's rows up to and including this one."""
+    cut = rows.withColumn("_value", value).withColumn("_chunk", _chunk(order[0], seconds))
+    lows = cut.groupBy(key, "_chunk").agg(F.min("_value").alias("_low"))
+    before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    lows = lows.select(F.col(key).alias("_own_key"), F.col("_chunk").alias("_own_chunk"), F.min("_low").over(before).alias("_base"))
+    within = Window.partitionBy(key, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = cut.join(lows, (F.col(key) == F.col("_own_key")) & (F.col("_chunk") == F.col("_own_chunk")))
+    return joined.select(*rows.columns, F.least(F.min("_value").over(within), "_base").alias(name))

@@ -64,3 +64,23 @@ def resampler_step(rate_in: Column, rate_out: Column) -> Column:
     base = F.shiftleft(F.call_function("div", F.shiftleft(rate_in, 14), rate_out), 2)
     short = F.call_function("div", rate_in * 65536 + rate_out - 1, rate_out)
     return F.greatest(base, short)
+
+
+def crossfade(x: Column, y: Column) -> Column:
+    """From x to y by a squared ramp in Q15, one weight for each place."""
+    n = F.size(x)
+    ramp = lambda i: F.call_function("div", (i.cast("long") + 1) * 32767, n.cast("long"))
+    weight = lambda i: F.shiftright(ramp(i) * ramp(i), 15)
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.shiftright(weight(i) * F.get(y, i) + (32767 - weight(i)) * F.get(x, i), 15))
+
+
+def tilt(x: Column) -> Column:
+    """How much more lies at high places than at low ones: the sum of x[i] * (2 + 2 i - n)."""
+    return total(F.transform(x, lambda v, i: v * (2 + 2 * i - F.size(x)).cast("long")))
+
+
+def rise_limited(x: Column, step: int) -> Column:
+    """x with no place more than step above the one before, by a running minimum of x[j] - step * j."""
+    n = F.size(x)
+    low = lambda j: F.array_min(F.transform(F.slice(x, 1, j + 1), lambda v, i: v - step * i))
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda j: low(j) + step * j)

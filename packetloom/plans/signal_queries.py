@@ -88,3 +88,39 @@ def resamplers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sample_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole 16-bit samples that every document's bytes hold; an odd byte is dropped."""
     return fixtures.payloads(spark, sf_dir).select("doc_id", F.call_function("div", F.col("n"), F.lit(2).cast("long")).alias("n_samples"))
+
+
+@query("""WITH a AS (SELECT event_id, CAST(1 + event_id * 2654435761 % 2147483647 AS BIGINT) AS u, event_id * 7919 % 4200 - 100 AS e FROM events), b AS (SELECT *, 32 - length(bin(u)) AS lz, e & 127 AS g, CAST(1 AS BIGINT) << greatest(0, least(31, e // 128)) AS whole FROM a),
+c AS (SELECT *, (CASE WHEN lz >= 24 THEN u << (lz - 24) ELSE u >> (24 - lz) END) & 127 AS f, g + CAST(floor(g * (128 - g) * -174 / 65536.0) AS BIGINT) AS bend FROM b)
+SELECT event_id, CAST(f + ((f * (128 - f) * 179) >> 16) + (31 - lz) * 128 AS BIGINT) AS log128, CAST(CASE WHEN e < 0 THEN 0 WHEN e >= 3967 THEN 2147483647 WHEN e < 2048 THEN whole + ((whole * bend) >> 7) ELSE whole + (whole >> 7) * bend END AS BIGINT) AS exp128 FROM c""")
+def logarithms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed-point logarithms and powers of scrambled words."""
+    e = F.col("event_id")
+    rows = fixtures.table(spark, sf_dir, "events").select("event_id", (1 + e * 2654435761 % 2147483647).alias("u"), (e * 7919 % 4200 - 100).alias("e"))
+    return rows.select("event_id", fx.log128(F.col("u")).alias("log128"), fx.exp128(F.col("e")).alias("exp128"))
+
+
+@query(f"""WITH {SAMPLES}, n AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY ts, event_id) AS i FROM x)
+SELECT stream_id, event_id, CAST(min(abs(x) - 16 * i) OVER (PARTITION BY stream_id ORDER BY i) + 16 * i AS BIGINT) AS background FROM n""")
+def background_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stream's background: at most 16 above the one before, and never above the sample's magnitude."""
+    rows = ordered.running(fixtures.samples(spark, sf_dir), "stream_id", ["ts", "event_id"], {"i": F.lit(1)})
+    low = ordered.running_min(rows, "stream_id", ["ts", "event_id"], F.abs("x") - 16 * F.col("i"), "low")
+    return low.select("stream_id", "event_id", (F.col("low") + 16 * F.col("i")).alias("background"))
+
+
+@query(f"""WITH {BANDS}, m AS (SELECT vec_id, x, len(x) AS n, list_reverse(x) AS y FROM v),
+f AS (SELECT vec_id, x, n, list_transform(range(n), lambda i: CAST(floor((((i + 1) * 32767 // n) * ((i + 1) * 32767 // n) // 32768 * y[i + 1] + (32767 - ((i + 1) * 32767 // n) * ((i + 1) * 32767 // n) // 32768) * x[i + 1]) / 32768.0) AS BIGINT)) AS faded FROM m)
+SELECT vec_id, CAST(list_sum(list_transform(range(1, n + 1), lambda i: faded[i] * i)) AS BIGINT) AS faded, CAST(list_sum(list_transform(range(n), lambda i: x[i + 1] * (2 + 2 * i - n))) AS BIGINT) AS tilt,
+  CAST(list_sum(list_transform(range(n), lambda j: list_min(list_transform(range(j + 1), lambda i: x[i + 1] - 150 * i)) + 150 * j)) AS BIGINT) AS limited,
+  list_sum(list_transform(range(n // 2), lambda i: abs(x[2 * i + 1]) + abs(x[2 * i + 2]))) * 181 < list_sum(list_transform(range(n // 2), lambda i: abs(x[2 * i + 1] + x[2 * i + 2]) + abs(x[2 * i + 1] - x[2 * i + 2]))) * 128 AS is_dual FROM f""")
+def band_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crossfades, tilt, limited rises, and whether a pair of channels is coded apart, for every band vector."""
+    x, n = F.col("x"), F.size("x")
+    pairs = F.sequence(F.lit(0), F.call_function("div", n, F.lit(2)).cast("int") - 1)
+    a, b = lambda i: F.get(x, 2 * i), lambda i: F.get(x, 2 * i + 1)
+    apart = sg.total(F.transform(pairs, lambda i: F.abs(a(i)) + F.abs(b(i))))
+    joint = sg.total(F.transform(pairs, lambda i: F.abs(a(i) + b(i)) + F.abs(a(i) - b(i))))
+    return fixtures.bands(spark, sf_dir).select(
+        "vec_id", sg.total(F.transform(sg.crossfade(x, F.reverse(x)), lambda v, i: v * (i + 1))).alias("faded"), sg.tilt(x).alias("tilt"), sg.total(sg.rise_limited(x, 150)).alias("limited"), (apart * 181 < joint * 128).alias("is_dual")
+    )
