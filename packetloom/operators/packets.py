@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import header as h
+from . import ordered
 
 #: The longest frame, in bytes, and the longest packet, in samples at 48 kHz.
 MOST_FRAME, MOST_SAMPLES = 1275, 5760
@@ -84,15 +85,14 @@ def padding_fields(pad: Column) -> Column:
 def regroup(frames: DataFrame, stream: str, order: list[str], most_samples: int = MOST_SAMPLES) -> DataFrame:
     """Packets of consecutive frames (stream, toc, size, samples) of one stream and header; none longer than most_samples.
 
-    One row (stream, first, toc, n_frames, code, header, total) a packet, first being the row number of its first frame.
+    order begins with a timestamp. One row (stream, first, toc, n_frames, code, header, total) a packet, first being the row number of its first frame.
     Runs of one header are cut by their sums, so each packet is a group of bounded size.
     """
-    along = Window.partitionBy(stream).orderBy(*order)
-    rows = frames.withColumn("n", F.row_number().over(along)).withColumn("fresh", F.coalesce((F.lag("toc").over(along) != F.col("toc")).cast("int"), F.lit(1)))
-    rows = rows.withColumn("run", F.sum("fresh").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = Window.partitionBy(stream, "run").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    rows = ordered.previous(ordered.running(frames, stream, order, {"n": F.lit(1)}), stream, order, {"before": "toc"})
+    rows = ordered.running(rows, stream, order, {"run": F.when(F.col("before") == F.col("toc"), 0).otherwise(1)})
+    starts = rows.groupBy(stream, "run").agg(F.min("n").alias("start"))
     per = F.greatest(F.lit(1).cast("long"), F.call_function("div", F.lit(most_samples).cast("long"), F.col("samples")))
-    rows = rows.withColumn("packet", F.call_function("div", F.count("*").over(inside), per))
+    rows = rows.join(starts, [stream, "run"]).withColumn("packet", F.call_function("div", F.col("n") - F.col("start"), per))
     grouped = rows.groupBy(stream, "run", "packet").agg(F.min("n").alias("first"), F.min("toc").alias("toc"), F.array_sort(F.collect_list(F.struct("n", "size"))).alias("f"))
     x = packed_size(F.col("f.size"))
     return grouped.select(stream, "first", "toc", F.size("f").alias("n_frames"), x["code"].alias("code"), x["header"].alias("header"), x["total"].alias("total"))
