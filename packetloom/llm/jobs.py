@@ -23,7 +23,7 @@ def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
 
     df should have been cut before, for it is counted here and read again by the join.
     """
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+    return F.broadcast(df) if df.count() <= most_rows else df
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
