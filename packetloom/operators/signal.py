@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, functions as F
 
 from ..functions import fixed as fx
@@ -84,3 +86,10 @@ def rise_limited(x: Column, step: int) -> Column:
     n = F.size(x)
     low = lambda j: F.array_min(F.transform(F.slice(x, 1, j + 1), lambda v, i: v - step * i))
     return F.transform(F.sequence(F.lit(0), n - 1), lambda j: low(j) + step * j)
+
+
+def powers(x: Column, n: int) -> Column:
+    """The power of each of the n // 2 + 1 bins of n whole numbers: a discrete Fourier transform with a table in Q14."""
+    table = lambda f, k: F.array(*[F.lit(round(f(2 * math.pi * k * i / n) * 16384)).cast("long") for i in range(n)])
+    part = lambda f, k: F.shiftright(inner(x, table(f, k)), 14)
+    return F.array(*[part(math.cos, k) * part(math.cos, k) + part(math.sin, k) * part(math.sin, k) for k in range(n // 2 + 1)])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import fixed as fx
-from ..operators import ordered, signal as sg
+from ..operators import coding, ordered, signal as sg
 from ..sources import fixtures
 from .base import BANDS, SAMPLES, query
 
@@ -124,3 +124,38 @@ def band_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.bands(spark, sf_dir).select(
         "vec_id", sg.total(F.transform(sg.crossfade(x, F.reverse(x)), lambda v, i: v * (i + 1))).alias("faded"), sg.tilt(x).alias("tilt"), sg.total(sg.rise_limited(x, 150)).alias("limited"), (apart * 181 < joint * 128).alias("is_dual")
     )
+
+
+@query(f"""WITH {SAMPLES}, n AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY ts, event_id) - 1 AS i FROM x), f AS (SELECT stream_id, CAST(i // 8 AS BIGINT) AS frame, list(x ORDER BY i) AS v FROM n GROUP BY ALL HAVING count(*) = 8),
+p AS (SELECT stream_id, frame, k, CAST(floor(list_sum(list_transform(range(8), lambda i: v[i + 1] * CAST(round(cos(2 * pi() * k * i / 8) * 16384) AS BIGINT))) / 16384.0) AS BIGINT) AS c, CAST(floor(list_sum(list_transform(range(8), lambda i: v[i + 1] * CAST(round(sin(2 * pi() * k * i / 8) * 16384) AS BIGINT))) / 16384.0) AS BIGINT) AS s FROM f, range(5) AS t(k))
+SELECT stream_id, frame, k AS bin, c * c + s * s AS power FROM p""")
+def frame_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spectrum of every full frame of eight samples."""
+    rows = ordered.running(fixtures.samples(spark, sf_dir), "stream_id", ["ts", "event_id"], {"i": F.lit(1)})
+    frames = rows.groupBy("stream_id", F.call_function("div", F.col("i") - 1, F.lit(8).cast("long")).alias("frame")).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("f"))  # of eight
+    full = frames.where(F.size("f") == 8).select("stream_id", "frame", F.col("f.x").alias("v"))
+    return full.select("stream_id", "frame", F.posexplode(sg.powers(F.col("v"), 8)).alias("bin", "power")).withColumn("bin", F.col("bin").cast("long"))
+
+
+_STEP = "CASE WHEN b > 0 THEN (a.rng >> 8) * 16 ELSE a.rng - (a.rng >> 8) * 240 END"
+
+
+@query(f"""WITH y AS (SELECT event_id, list_transform(range(8), lambda j: event_id * (j + 3) % 16 * 16) AS low FROM events),
+z AS (SELECT event_id, list_reduce(list_prepend({{'rng': CAST(2147483648 AS BIGINT), 'total': CAST(33 AS BIGINT), 'low': CAST(0 AS BIGINT)}}, list_transform(low, lambda l: {{'rng': CAST(0 AS BIGINT), 'total': CAST(0 AS BIGINT), 'low': CAST(l AS BIGINT)}})),
+  lambda a, x: {{'rng': {_STEP.replace('b > 0', 'x.low > 0')} * CASE WHEN {_STEP.replace('b > 0', 'x.low > 0')} > 8388608 THEN 1 WHEN {_STEP.replace('b > 0', 'x.low > 0')} > 32768 THEN 256 ELSE 65536 END,
+    'total': a.total + CASE WHEN {_STEP.replace('b > 0', 'x.low > 0')} > 8388608 THEN 0 WHEN {_STEP.replace('b > 0', 'x.low > 0')} > 32768 THEN 8 ELSE 16 END, 'low': CAST(0 AS BIGINT)}}) AS s FROM y)
+SELECT event_id, s.rng AS rng, CAST(s.total - length(bin(s.rng)) AS BIGINT) AS used FROM z""")
+def range_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The range coder's state after eight symbols of every packet."""
+    e = F.col("event_id")
+    symbols = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.struct((e * (j + 3) % 16 * 16).alias("low"), (e * (j + 3) % 16 * 16 + 16).alias("high")))
+    rows = fixtures.table(spark, sf_dir, "events").select("event_id", symbols.alias("symbols"))
+    return rows.select("event_id", coding.range_after(F.col("symbols"), 8).alias("x")).select("event_id", "x.rng", "x.used")
+
+
+@query("""WITH a AS (SELECT event_id, 1 + event_id % 12 AS n, event_id % 13 AS k FROM events)
+SELECT event_id, CAST(CASE WHEN k = 0 THEN 1 ELSE list_sum(list_transform(range(1, least(n, k) + 1), lambda i: power(2, i) * factorial(CAST(n AS INTEGER)) / factorial(CAST(i AS INTEGER)) / factorial(CAST(n - i AS INTEGER)) * factorial(CAST(k - 1 AS INTEGER)) / factorial(CAST(i - 1 AS INTEGER)) / factorial(CAST(k - i AS INTEGER)))) END AS BIGINT) AS n_vectors FROM a""")
+def pulse_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The size of the codebook that every packet's numbers of places and pulses call for."""
+    rows = fixtures.table(spark, sf_dir, "events").select("event_id", (1 + F.col("event_id") % 12).alias("n"), (F.col("event_id") % 13).alias("k"))
+    return rows.select("event_id", coding.pulse_vectors(F.col("n"), F.col("k")).alias("n_vectors"))
