@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .jobs import cut
 
-LEAF = 48
+LEAF = 128
 
 
 class CoverTree:
@@ -72,8 +72,11 @@ def search(queries: np.ndarray, vectors: np.ndarray, ids: list[np.ndarray], k: i
     """
     left, right = CoverTree(queries), CoverTree(vectors)
     norm_q, norm_v = np.sqrt((queries**2).sum(axis=1)), np.sqrt((vectors**2).sum(axis=1))
-    counts = np.array([len(x) for x in ids])
-    flat, begin = np.concatenate(ids), np.append(0, counts.cumsum())
+    # ids and vectors in the tree's order, so that a leaf's are a slice
+    ordered = [ids[r] for r in right.rows]
+    counts = np.array([len(x) for x in ordered])
+    flat, begin, placed = np.concatenate(ordered), np.append(0, counts.cumsum()), vectors[right.rows]
+    single = bool((counts == 1).all())
     best_score, best_id = np.full((len(queries), k), -np.inf), np.full((len(queries), k), np.iinfo(np.int64).max)
     worst = floor.astype(np.float64).copy()
 
@@ -94,18 +97,23 @@ def search(queries: np.ndarray, vectors: np.ndarray, ids: list[np.ndarray], k: i
         elif split_b:
             pairs = [(bound(a, y), a, y) for y in split_b]
         else:
-            rows = right.rows[right.low[b] : right.high[b]]
-            scores = queries[mine] @ vectors[rows].T
-            good = (scores >= worst[mine][:, None]).any(axis=1)
-            mine, scores = mine[good], scores[good]
-            if not len(mine):
-                continue
-            which = np.concatenate([np.arange(begin[r], begin[r + 1]) for r in rows])
-            all_scores = np.concatenate([best_score[mine], np.repeat(scores, counts[rows], axis=1)], axis=1)
-            all_ids = np.concatenate([best_id[mine], np.broadcast_to(flat[which], (len(mine), len(which)))], axis=1)
-            order = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
-            best_score[mine], best_id[mine] = np.take_along_axis(all_scores, order, 1), np.take_along_axis(all_ids, order, 1)
-            worst[mine] = np.maximum(worst[mine], best_score[mine][:, -1])
+            low, high = right.low[b], right.high[b]
+            scores = queries[mine] @ placed[low:high].T
+            if not single:
+                scores = np.repeat(scores, counts[low:high], axis=1)
+            query, vector = np.nonzero(scores >= worst[mine][:, None])
+            if len(query):
+                # what passes, and what these queries hold, in order of query, score and id; the first k of each stay
+                some = np.unique(query)
+                held = np.repeat(some, k)
+                who = np.concatenate([held, query])
+                all_scores = np.concatenate([best_score[mine[some]].ravel(), scores[query, vector]])
+                all_ids = np.concatenate([best_id[mine[some]].ravel(), flat[begin[low] + vector]])
+                order = np.lexsort((all_ids, -all_scores, who))
+                start = np.searchsorted(who[order], some)
+                first = order[(start[:, None] + np.arange(k)).ravel()].reshape(len(some), k)
+                best_score[mine[some]], best_id[mine[some]] = all_scores[first], all_ids[first]
+                worst[mine[some]] = np.maximum(worst[mine[some]], all_scores[first][:, -1])
             continue
         pairs.sort()  # the most promising is taken first
         todo += pairs
@@ -114,6 +122,8 @@ def search(queries: np.ndarray, vectors: np.ndarray, ids: list[np.ndarray], k: i
 
 
 def _matrix(column: pd.Series, width: int) -> np.ndarray:
+    if (column.map(len) == width).all():
+        return np.stack(column.to_numpy())
     out = np.zeros((len(column), width))
     for i, v in enumerate(column):
         out[i, : len(v)] = v
@@ -132,6 +142,25 @@ def _searched(k: int):
     return run
 
 
+def _groups(centres: np.ndarray, sizes: dict[int, int], group: int) -> tuple[list[int], list[int]]:
+    """For each cell its first group and number of groups. Cells with few queries share a group with cells near them."""
+    first, many = [0] * len(centres), [1] * len(centres)
+    left, at, used, now = set(range(len(centres))), 0, 0, 0
+    while left:
+        left.remove(at)
+        n = sizes.get(at, 0)
+        if used and used + n > group:
+            now, used = now + 1, 0
+        first[at], many[at] = now, max(1, -(-n // group))
+        used += n
+        if many[at] > 1:
+            now, used = now + many[at], 0
+        if left:
+            rest = np.array(sorted(left))
+            at = int(rest[((centres[rest] - centres[at]) ** 2).sum(axis=1).argmin()])
+    return first, many
+
+
 def _ranked(results: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     return results.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
@@ -185,17 +214,18 @@ def top_k(
     # one query for each distinct vector that any query row has; its floor is what the round before has found
     asked = cut(rows.where("is_query").select("id", F.col("v").alias("v")).distinct())
     queries = cut(placed.join(asked.select("v").distinct(), "v", "left_semi").withColumn("q", F.element_at("ids", 1)).select("q", "v", "cell", "norm"))
-    deal = queries.groupBy("cell").agg(F.count("*").alias("n")).collect()  # at most `cells` rows
-    groups = {r["cell"]: -(-r["n"] // group) for r in deal}
-    in_group = F.pmod(F.xxhash64("q"), F.get(F.array(*[F.lit(groups.get(c, 1)) for c in range(len(pivots))]), F.col("cell"))).cast("int")
+    deal = {r["cell"]: r["n"] for r in queries.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # at most `cells` rows
+    first_group, groups = _groups(centres, deal, group)
+    place = lambda xs: F.get(F.array(*map(F.lit, xs)), F.col("cell"))
+    in_group = (place(first_group) + F.pmod(F.xxhash64("q"), place(groups))).cast("int")
     queries = queries.withColumn("group", in_group).withColumn("home", F.col("cell"))
 
     def sought(routed: DataFrame) -> DataFrame:
         """Results of queries routed to (cell, block), each group of queries against each block."""
-        pairs = routed.select(F.col("home").alias("home2"), F.col("group").alias("group2"), F.col("cell").alias("cell2"), F.col("block").alias("block2")).distinct()
+        pairs = routed.select(F.col("group").alias("group2"), F.col("cell").alias("cell2"), F.col("block").alias("block2")).distinct()
         here = candidates.select(F.col("v").alias("v2"), "ids", F.col("cell").alias("cell1"), F.col("block").alias("block1"))
-        copies = here.join(pairs, (F.col("cell1") == F.col("cell2")) & (F.col("block1") == F.col("block2"))).select(F.col("v2").alias("v"), "ids", "home2", "group2", "cell2", "block2")
-        left, right = routed.groupBy("home", "group", "cell", "block"), copies.groupBy("home2", "group2", "cell2", "block2")
+        copies = here.join(pairs, (F.col("cell1") == F.col("cell2")) & (F.col("block1") == F.col("block2"))).select(F.col("v2").alias("v"), "ids", "group2", "cell2", "block2")
+        left, right = routed.groupBy("group", "cell", "block"), copies.groupBy("group2", "cell2", "block2")
         return left.cogroup(right).applyInPandas(_searched(k + 1), "q long, vec_id long, score long")
 
     block_counts = F.array(*[F.lit(blocks.get(c, 0)) for c in range(len(pivots))])
