@@ -3,8 +3,10 @@
 A page becomes a tree of nodes. Each node's density is its characters per tag, lowered by the share of its characters
 and tags that are links. A node's density sum adds up its children's densities; the node with the largest sum is the
 article, and the least density on the path from body to it is the threshold. Elsewhere, subtrees of at least that
-density add the node of their largest sum. Menus, adverts, forms and the like, told by element, role and class names,
-are cut out first and take no part in any count.
+density add the node of their largest sum. Menus, adverts and the like, told by element, role and being hidden, are cut
+out first and take no part in any count. So are forms and what class and id names mark, unless they hold an article or
+main element, or most of the characters outside links (of the page, or of its only article): there the density sums
+decide.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from . import text as tx
 # Names of the HTML vocabulary and words that mark page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
-FURNITURE = frozenset("head nav footer aside form script style noscript template iframe svg math button select textarea object canvas dialog menu title audio video datalist".split())
+FURNITURE = frozenset("head nav footer aside script style noscript template iframe svg math button select textarea object canvas dialog menu title audio video datalist".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -47,7 +49,8 @@ IMPLIED = {
 _SCOPE = frozenset("html body table td th button object".split())
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>""")
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+#: A whole attribute, so that nothing inside a value or a longer name is taken for one.
+_ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>][^\s>]*+)))?""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -56,6 +59,8 @@ class Page:
 
     def __init__(self, html: str):
         self.tags, self.parents, self.cut = ["#root"], [-1], [False]
+        #: What marks a node as furniture, if density is not to overrule it: words of its names, or "<form>".
+        self.marks: dict[int, set[str]] = {}
         #: (node, text) or (node, None) where a block begins or ends, in page order.
         self.pieces: list[tuple[int, str | None]] = []
         self._open = [0]
@@ -115,23 +120,31 @@ class Page:
             self._open.append(node)
 
     def _furniture(self, name: str, attributes: str) -> bool:
+        """Whether the element is furniture whatever it holds; what else marks it is kept in marks."""
         if name in FURNITURE or (name == "header" and self.tags[self._open[-1]] not in ("article", "section", "main")):
             return True
-        if not attributes or name in KEPT:
-            return False
+        marks, seen = {"<form>"} if name == "form" else set(), set()
         for m in _ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            if key in seen:  # the first of a name holds
+                continue
+            seen.add(key)
             if key in ("class", "id"):
-                if any(w.lower() in WORDS for w in _WORD.findall(value)):
-                    return True
+                marks.update(w for w in map(str.lower, _WORD.findall(value)) if w in WORDS)
+            elif name in KEPT:
+                continue
             elif key == "role":
-                if value.lower() in ROLES:
+                if value.lower() == "form":
+                    marks.add("<form>")
+                elif value.lower() in ROLES:
                     return True
             elif key == "style":
                 if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
                     return True
-            elif key == "hidden" or value.lower() == "true":
+            elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
                 return True
+        if marks:
+            self.marks[len(self.tags) - 1] = marks
         return False
 
     def _imply(self, ends: frozenset[str], stops: frozenset[str]) -> None:
@@ -156,6 +169,42 @@ class Page:
                 self.pieces.append((node, None))
         del self._open[k:]
 
+    def _cut_marked(self, held: list[int]) -> None:
+        """Cuts marked nodes out, given each node's own characters outside links.
+
+        Not cut are nodes that hold a main or article element (one that is marked itself, as comments are, counts only
+        where there is no other), nodes with most of the page's characters, and nodes by a mark whose nodes have most of
+        them together. Where a page has one article, or else one main element, that is the page in this sense: what is
+        marked apart from it is cut however long.
+        """
+        n = len(self.tags)
+        articles, mains = ([i for i in range(n) if self.tags[i] == t and not self.cut[i]] for t in ("article", "main"))
+        sound = [i for i in articles if i not in self.marks]
+        holders = {*sound, *mains} or set(articles)
+        holds = [i in holders for i in range(n)]
+        for i in range(n - 1, 0, -1):
+            if not self.cut[i]:
+                held[self.parents[i]] += held[i]
+                holds[self.parents[i]] |= holds[i]
+        page = next((x[0] for x in (sound, mains) if len(x) == 1 and held[x[0]]), 0)
+        within = [i == page for i in range(n)]
+        for i in range(1, n):
+            within[i] |= within[self.parents[i]]
+        found = {i: m for i, m in self.marks.items() if self.tags[i] not in KEPT and not holds[i] and not (within[i] and 2 * held[i] > held[page])}
+        while True:
+            cut, sizes = self.cut[:], {}
+            for i in range(1, n):
+                cut[i] |= cut[self.parents[i]]
+                if i in found and not cut[i]:
+                    cut[i] = True
+                    for mark in found[i] if within[i] else ():
+                        sizes[mark] = sizes.get(mark, 0) + held[i]
+            largest = max(sizes, key=lambda mark: (sizes[mark], mark), default="")
+            if 2 * sizes.get(largest, 0) <= held[page]:
+                self.cut = cut
+                return
+            found = {i: m - {largest} if within[i] else m for i, m in found.items() if not within[i] or m - {largest}}
+
     def content(self) -> set[int]:
         """The nodes at the top of what is the article."""
         n = len(self.tags)
@@ -171,6 +220,8 @@ class Page:
                 chars[node] += size
                 if in_link[node]:
                     link_chars[node] += size
+        if self.marks:
+            self._cut_marked([c - lc for c, lc in zip(chars, link_chars, strict=True)])
         for i in range(n - 1, 0, -1):
             if not self.cut[i]:
                 p = self.parents[i]

@@ -322,3 +322,24 @@ def test_pipeline_stages_keep_columns_on_odd_rows(spark, odd):
             docs = spark.createDataFrame(docs.collect(), docs.schema)
     ids = [r["doc_id"] for r in docs.collect()]
     assert len(ids) > 3 and len([i for i in ids if i is not None]) == len({i for i in ids if i is not None})
+
+
+SENTENCE = "Some words of a paragraph, enough of them to be dense. "
+LONG = [f"Paragraph {i} {SENTENCE * 3}".strip() for i in range(4)]
+
+
+def test_html_names_and_forms_do_not_outweigh_the_text():
+    """What marks an element is a whole attribute, and doesn't cut what holds an article or most of the page."""
+    p = "".join(f"<p>{t}</p>" for t in LONG)
+    all_of_it = "\n".join(LONG)
+    for h, want in [
+        ('<article><p>a <a href="/hidden-gems">b</a></p><p title="a hidden valley">c</p><div data-hidden="false" data-id="menu">d</div></article>', "a b\nc\nd"),
+        ("<article><p>a</p><p hidden>b</p><p aria-hidden=true>c</p><p id='menu'>d</p><p CLASS=\"x topbar\">e</p><p style='display: none'>f</p></article>", "a"),
+        (f'<body><div class="content with-sidebar">{p}<div class="sidebar">{SENTENCE}</div></div></body>', all_of_it),
+        (f'<body><form id="aspnetForm"><div>{p}</div><div class="share">share</div></form></body>', all_of_it),
+        (f'<body><div class="widget-wrap"><article>{p}</article></div></body>', all_of_it),
+        ('<div class="elementor-widget-wrap">' + "".join(f'<div class="elementor-widget"><p>{t}</p></div>' for t in LONG) + "</div>", all_of_it),
+        (f'<article><p>The article.</p></article><div class="ad">{p}</div>', "The article."),
+        (f'<div class="sharing-on"><article>{p}</article></div><div id="comments"><article class="comment"><p>{SENTENCE}</p></article></div>', all_of_it),
+    ]:
+        assert html.Page(h).text() == want
