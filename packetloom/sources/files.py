@@ -1,7 +1,7 @@
 """Files of samples, pages and records as DataFrames, and pages back to files.
 
-A file is a row of Spark's binaryFile source, so paths are any that Spark reads. Samples and WAV headers are columns;
-pages and records, whose places follow from one another, are walked once for each file by a small generator.
+A file is a row of Spark's binaryFile source, so paths are any that Spark reads. Samples are columns; pages, records and
+the chunks of WAV files, whose places follow from one another, are walked once for each file.
 """
 
 from __future__ import annotations
@@ -144,20 +144,46 @@ def pages(packets: DataFrame, stream: str, order: list[str], payload: str, granu
     return paged.mapInArrow(run, f"stream {kind}, page long, content binary")
 
 
+WAV_SCHEMA = "error string, channels long, rate long, data_at long, data_bytes long, n_samples long"
+
+
+def _wav(data: memoryview) -> tuple:
+    if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
+        return ("not RIFF" if data[:4] != b"RIFF" else "not WAVE", *[None] * 5)
+    at, channels, rate = 12, None, None
+    while at + 8 <= len(data):
+        name, size = struct.unpack_from("<4sI", data, at)
+        at += 8
+        if name == b"data":
+            if channels is None:
+                break
+            known = None if size in (0, 0xFFFFFFFF) else size
+            return None, channels, rate, at, known, known and known // (2 * channels)
+        if name == b"fmt ":
+            if size < 16 or at + size > len(data):
+                return "no format", *[None] * 5
+            tag, channels, rate, bits = struct.unpack_from("<HHI6xH", data, at)
+            if tag == 0xFFFE:  # extensible: the tag is the first word of the SubFormat
+                if size < 40:
+                    return "no format", channels, rate, None, None, None
+                (tag,) = struct.unpack_from("<H", data, at + 24)
+            error = "not 16-bit PCM" if tag != 1 or bits != 16 else "no channels" if not channels else "no rate" if not rate else None
+            if error:
+                return error, channels, rate, None, None, None
+        at += size + size % 2
+    return "no format" if channels is None else "no data", channels, rate, None, None, None
+
+
 def wav_header(content: Column) -> Column:
-    """struct(error, channels, rate, data_at, data_bytes, n_samples) of a WAV file whose format chunk comes first."""
-    x = F.hex(F.substring(content, 1, 4096))
-    le = lambda at, n: c.number(x, at, n)
-    fmt = F.when(F.substring(x, 25, 8) == "666D7420", 12)
-    size = le(16, 4)
-    # the data chunk's name, at a byte boundary after the format chunk's fields
-    before = F.length(F.regexp_extract(x, "^((?:..){36,}?)64617461", 1))
-    at = F.when(before > 0, before + 1).otherwise(0)
-    data_at = F.call_function("div", at - 1, F.lit(2)) + 8
-    n = F.conv(F.concat(*[F.substring(x, at + 8 + 2 * i, 2) for i in (3, 2, 1, 0)]), 16, 10).cast("long")
-    known = F.when((n != 0) & (n != 0xFFFFFFFF), n)
-    error = (
-        F.when(F.substring(x, 1, 8) != "52494646", "not RIFF").when(F.substring(x, 17, 8) != "57415645", "not WAVE").when(fmt.isNull() | (size < 16), "no format")
-        .when(~le(20, 2).isin(1, 0xFFFE) | (le(34, 2) != 16), "not 16-bit PCM").when(at == 0, "no data")
-    )
-    return F.struct(error.alias("error"), le(22, 2).alias("channels"), le(24, 4).alias("rate"), data_at.alias("data_at"), known.alias("data_bytes"), F.call_function("div", known, F.greatest(2 * le(22, 2), F.lit(1).cast("long"))).alias("n_samples"))
+    """struct(error, channels, rate, data_at, data_bytes, n_samples) of a WAV file: its chunks are walked up to the data.
+
+    data_bytes is what the file declares, null if that is 0 or 0xFFFFFFFF (unknown). A null content is an empty one.
+    """
+    kind = pa.struct([(n, pa.string() if t == "string" else pa.int64()) for n, t in (f.split(" ") for f in WAV_SCHEMA.split(", "))])
+
+    @F.arrow_udf(f"struct<{WAV_SCHEMA.replace(' ', ':').replace(',:', ',')}>")
+    def walked(contents: pa.Array) -> pa.Array:
+        rows = [_wav(memoryview(x.as_buffer() or b"")) for x in contents]
+        return pa.array([dict(zip(kind.names, r, strict=True)) for r in rows], kind)
+
+    return walked(content)

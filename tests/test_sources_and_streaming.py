@@ -52,6 +52,25 @@ def test_wav_and_samples(spark):
     assert [r["x"] for r in s] == [[1, -2, 32767, -32768], []]
 
 
+def test_wav_chunks_are_walked(spark):
+    chunk = lambda name, body: name + struct.pack("<I", len(body)) + body + bytes(len(body) % 2)
+    fmt = lambda tag, bits=16, channels=1, rate=8000, rest=b"": chunk(b"fmt ", struct.pack("<HHIIHH", tag, channels, rate, 0, 0, bits) + rest)
+    wide = lambda tag: struct.pack("<HHIH", 22, 16, 0, tag) + bytes(14)
+    data = chunk(b"data", b"\1\0\2\0")
+    cases = [
+        ([fmt(1), chunk(b"bext", bytes(70_001)), data], None), ([chunk(b"JUNK", bytes(29)), fmt(1), data], None), ([fmt(1), chunk(b"LIST", b"INFOdata" + b"\xff" * 9), data], None),
+        ([fmt(0xFFFE, rest=wide(1)), data], None), ([fmt(0xFFFE, rest=wide(3)), data], "not 16-bit PCM"), ([fmt(0xFFFE), data], "no format"), ([fmt(3, 32), data], "not 16-bit PCM"), ([fmt(1, 24), data], "not 16-bit PCM"),
+        ([fmt(1, channels=0), data], "no channels"), ([fmt(1, rate=0), data], "no rate"), ([data, fmt(1)], "no format"), ([fmt(1), chunk(b"LIST", b"data")], "no data"), ([fmt(1), b"LIST\xff\xff\xff\x7f", data], "no data"), ([], "no format"),
+    ]
+    files_of = [b"RIFF" + bytes(4) + b"WAVE" + b"".join(parts) for parts, _ in cases]
+    df = spark.createDataFrame([(i, bytearray(f)) for i, f in enumerate(files_of)] + [(len(cases), None)], "i int, content binary")
+    got = [r["x"] for r in df.select("i", files.wav_header(F.col("content")).alias("x")).orderBy("i").collect()]
+    assert [g["error"] for g in got] == [e for _, e in cases] + ["not RIFF"]
+    for f, g in zip(files_of, got, strict=False):
+        if g["error"] is None:
+            assert (g["channels"], g["rate"], g["data_at"], g["data_bytes"], g["n_samples"]) == (1, 8000, len(f) - 4, 4, 2)
+
+
 def test_streamed_census_is_the_batch_one(spark):
     packets = fixtures.packets(spark, SF)
     folder = tempfile.mkdtemp(prefix="spark-")
