@@ -1,11 +1,14 @@
-"""MinHash near-dedup by an LSH forest (operator 7).
+"""MinHash near-dedup by banding of fixed depth (operator 7).
 
 Each document's set of word shingles becomes a one-permutation MinHash signature: the smallest hash of each of 256
-bins, empty bins filled from the document's own full bins by a rank table that is the same everywhere. A tree of the
-forest is one order of signature positions; its label is that many positions long, and all labels of a tree are
-range-sorted over the cluster. Neighbours in a sorted order whose labels share the first `depth` positions are
-candidates: where labels are sparse that is a short common prefix, where they are dense the sort has put those with the
-longest common prefix side by side, so depth adapts to each region and no region is ever gathered in one task.
+bins, empty bins filled from the document's own full bins by a rank table that is the same everywhere. A tree is one
+order of signature positions and stands for a band of it: its label is a hash of the first `depth` positions, and all
+labels of a tree are range-sorted over the cluster, so that no region of equal labels is gathered in one task. Neighbours
+in the sorted order with equal labels are candidates.
+
+This replaces the LSH forest whose depth adapts to each region: depth is the same everywhere, derived with the number of
+trees from the similarity asked for. Where many texts share passages, families are therefore larger than a forest's would
+be, and verifying one takes time with the square of its size.
 
 Candidates that hang together form a family, and every link lies inside one. Families are verified on full shingle sets
 in blocks of bounded size, each pair of blocks one group, with a union-find that skips pairs already connected. Verified
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import ceil, log
 
 import numpy as np
 import pandas as pd
@@ -26,8 +30,8 @@ from . import text as tx
 from .jobs import broadcast_if_small, components, cut
 
 BINS = 256
-#: Two sets of similarity 0.75 agree in 192 of 256 positions, give or take 7; fewer than this agree about once in 10**10 times.
-LEAST_AGREEING = 0.75 - 6.5 * (0.75 * 0.25 / BINS) ** 0.5
+#: How often a pair at the similarity asked for may share no region of any tree, at most.
+MISSED = 6e-6
 
 _random = np.random.default_rng(20)
 #: RANK[e, f]: how early the full bin f is in line to fill the empty bin e.
@@ -66,18 +70,33 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def forest(percent: int) -> tuple[int, int]:
+    """Trees and depth: the deepest of 4 to 1 for which 64 trees miss at most MISSED of the pairs; 32 trees at least."""
+    if not 0 < percent <= 100:
+        raise ValueError("percent must be from 1 to 100")
+    need = lambda depth: ceil(log(MISSED) / log(1 - min(percent / 100, 0.99) ** depth))
+    depth = next((d for d in (4, 3, 2) if need(d) <= len(_ORDERS)), 1)
+    return max(32, need(depth)), depth
+
+
+def least_agreeing(percent: int) -> float:
+    """The share of positions in which two sets of the similarity agree at least, but for about once in 10**10 times.
+
+    At 0.75 sets agree in 192 of 256 positions, give or take 7. Above, the share is that of 0.75 in proportion, which is less.
+    """
+    bound = lambda s: s - 6.5 * (s * (1 - s) / BINS) ** 0.5
+    return min(bound(percent / 100), bound(0.75) * percent / 75)
+
+
 def labels(signatures: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """For each signature and tree two 64-bit words: a hash of the first `depth` positions, and the next four in order."""
-    out = np.empty((len(signatures), 2 * trees), dtype=np.uint64)
+    """For each signature and tree a hash of the tree's first `depth` positions."""
+    out = np.empty((len(signatures), trees), dtype=np.uint64)
     for t in range(trees):
         order = np.roll(_ORDERS[t % len(_ORDERS)], 7 * (t // len(_ORDERS)))
         key = np.full(len(signatures), t + 1, dtype=np.uint64)
         for p in order[:depth]:
             key = tx.mix(key ^ (signatures[:, p].astype(np.uint64) + np.uint64(0x51ED27)) * np.uint64(0x9E3779B97F4A7C15))
-        rest = np.zeros(len(signatures), dtype=np.uint64)
-        for p in order[depth : depth + 4]:
-            rest = (rest << np.uint64(16)) | (signatures[:, p].astype(np.uint64) & np.uint64(0xFFFF))
-        out[:, 2 * t], out[:, 2 * t + 1] = key, rest
+        out[:, t] = key
     return out
 
 
@@ -96,7 +115,7 @@ def _signatures(docs: DataFrame, size: int, trees: int, depth: int) -> DataFrame
                         "id": batch.column(0).slice(low, high - low).cast(pa.int64()),
                         "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                         "set_id": pa.array([hashlib.blake2b(s, digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                        "labels": pa.ListArray.from_arrays(np.arange(0, found.size + 1, 2 * trees, dtype=np.int32), found.ravel()),
+                        "labels": pa.ListArray.from_arrays(np.arange(0, found.size + 1, trees, dtype=np.int32), found.ravel()),
                     }
                 )
 
@@ -104,7 +123,7 @@ def _signatures(docs: DataFrame, size: int, trees: int, depth: int) -> DataFrame
 
 
 def _neighbours(sorted_rows: DataFrame) -> DataFrame:
-    """Of rows (tree, key, rest, rep) sorted in each partition: neighbours of one region as edges, and each partition's
+    """Of rows (tree, key, rep) sorted in each partition: neighbours of one region as edges, and each partition's
     first and last row as its border (kind 1)."""
 
     def run(batches):
@@ -112,7 +131,7 @@ def _neighbours(sorted_rows: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            tree, key, rep = (batch.column(i).to_numpy() for i in (0, 1, 3))
+            tree, key, rep = (batch.column(i).to_numpy() for i in (0, 1, 2))
             head = np.array([last]) if last is not None else None
             trees = np.concatenate([head[:, 0], tree]) if head is not None else tree.astype(np.int64)
             keys = np.concatenate([head[:, 1], key]) if head is not None else key
@@ -185,30 +204,32 @@ def _verify(percent: int, least: float):
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 75, words: int = 5,
-    trees: int = 32, depth: int = 4, block: int = 512, broadcast_rows: int = 1_000_000,
+    trees: int | None = None, depth: int | None = None, block: int = 512, broadcast_rows: int = 1_000_000,
 ) -> DataFrame:
     """One row (id_col, n_shingles, component_id) for each row of docs; component_id is the smallest id of its component.
 
     Words are what ASCII white space separates, A-Z lower-cased; a document's set holds its distinct runs of `words`
     words, or its whole sequence if it has fewer. Two documents are linked if 100 * |intersection| >= percent * |union|.
-    A pair at similarity 0.75 shares a region of some tree but for 5 in a million times; from there on all is exact.
+    A pair at that similarity shares a region of some tree but for MISSED of the times, if trees and depth are left to be
+    derived from percent (32 and 4 at 75: 5 in a million); from there on all is exact.
 
     Texts that are null, empty or white space have the empty set and no links: their component is their own id. Rows
     that share an id are one document holding several texts: they link through the id and get the same component.
     A null id gets a null component and links nothing. No rows give no rows; other columns are ignored. A text
     of any length is read whole; only its own set must fit a task. Order and ties of rows do not change the result.
     """
+    derived = forest(percent)
+    trees, depth = trees or derived[0], depth or derived[1]
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = cut(_signatures(source, words, trees, depth))
     known = signed.where("id is not null and set_id is not null")
 
     # exact copies: one representative for each distinct set
     firsts = cut(known.groupBy("set_id").agg(F.min("id").alias("rep"), F.min_by("labels", "id").alias("labels")))
-    pair = lambda t: F.struct(F.lit(t).alias("tree"), F.col("labels")[2 * t].alias("key"), F.col("labels")[2 * t + 1].alias("rest"))
-    rows = firsts.select("rep", F.explode(F.array(*[pair(t) for t in range(trees)])).alias("x")).select("x.tree", "x.key", "x.rest", "rep")
+    rows = firsts.select(F.posexplode("labels").alias("tree", "key"), "rep").select("tree", "key", "rep")
 
-    # the forest: every tree's labels sorted over the cluster, neighbours within a region are candidates
-    ranged = rows.repartitionByRange("tree", "key", "rest", "rep").sortWithinPartitions("tree", "key", "rest", "rep")
+    # every tree's labels sorted over the cluster, neighbours within a region are candidates
+    ranged = rows.repartitionByRange("tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
     found = cut(_neighbours(ranged))
     border = found.where("kind = 1").select("tree", "key", F.col("a").alias("rep")).distinct()
     heads = border.groupBy("tree", "key").agg(F.min("rep").alias("b"))
@@ -236,7 +257,7 @@ def near_duplicates(
         "rep", "family", "block", "shingles",
         F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
     )
-    links = groups.groupBy("family", "i", "j").applyInPandas(_verify(percent, LEAST_AGREEING * percent / 75), "a long, b long")
+    links = groups.groupBy("family", "i", "j").applyInPandas(_verify(percent, least_agreeing(percent)), "a long, b long")
 
     # rows of one id with several sets hang together through that id
     several = known.groupBy("id").agg(F.min(F.xxhash64("set_id")).alias("low"), F.max(F.xxhash64("set_id")).alias("high")).where("low <> high")

@@ -239,6 +239,18 @@ def test_near_duplicates(spark, odd):
     assert neardup.near_duplicates(odd).count() == odd.count()
 
 
+def test_near_duplicates_derive_the_bands_from_percent(spark):
+    """Pairs right at a similarity below 0.75 are all found."""
+    assert neardup.forest(75) == (32, 4) and all((1 - (p / 100) ** d) ** t <= neardup.MISSED for p in range(1, 100) for t, d in [neardup.forest(p)])
+    both = [" ".join(f"s{i}x{j}" for j in range(40)) for i in range(150)]
+    rows = [(2 * i + k, both[i] + " " + " ".join(f"o{i}x{k}x{j}" for j in range(20))) for i in range(150) for k in (0, 1)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=50, words=1).collect()
+    assert {x["doc_id"]: x["component_id"] for x in got} == {i: i - i % 2 for i in range(300)}
+    for percent in (0, 101):
+        with pytest.raises(ValueError):
+            neardup.near_duplicates(spark.createDataFrame(rows[:2], "doc_id long, text string"), percent=percent)
+
+
 def test_word_hashes_do_not_cross_texts():
     import pyarrow as pa
 
