@@ -250,12 +250,14 @@ class Page:
             threshold = min(threshold, density[path]) if self.tags[path] not in ("#root", "html") else threshold
             path = self.parents[path]
         marked = {top}
-        if self.tags[top] not in ("article", "main"):
-            seen = [True] + [False] * (n - 1)
-            for i in range(1, n):
-                seen[i] = seen[self.parents[i]] and (density[i] >= threshold or self.tags[i] in ("html", "body")) and not self.cut[i]
-                if seen[i] and self.tags[i] not in ("html", "body") and chars[i]:
-                    marked.add(best[i])
+        whole = self.tags[top] in ("article", "main")
+        seen = [True] + [False] * (n - 1)
+        for i in range(1, n):
+            seen[i] = seen[self.parents[i]] and (density[i] >= threshold or self.tags[i] in ("html", "body")) and not self.cut[i]
+            if whole and self.tags[i] == "article" and i in self.marks:  # a comment or the like beside the article
+                seen[i] = False
+            if seen[i] and self.tags[i] not in ("html", "body") and chars[i]:
+                marked.add(best[i])
         return marked
 
     def _whole(self, node: int) -> int:

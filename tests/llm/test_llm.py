@@ -355,3 +355,15 @@ def test_html_names_and_forms_do_not_outweigh_the_text():
         (f'<div class="sharing-on"><article>{p}</article></div><div id="comments"><article class="comment"><p>{SENTENCE}</p></article></div>', all_of_it),
     ]:
         assert html.Page(h).text() == want
+
+
+def test_html_threshold_adds_what_passes():
+    """Beside an article too: other articles that are dense enough, but no lists of links and no comments."""
+    part = lambda texts: "".join(f"<p>{t}</p>" for t in texts)
+    links = "<a href=x>some words of a link</a> " * 20
+    beside = f'<article class="comment"><p>{SENTENCE}</p></article>'
+    all_of_it = "\n".join(LONG)
+    for one, two, three in [("<article>", "</article>", f"<article><p>{links}</p></article>{beside}"), ('<div id="a">', "</div>", f'<div id="c">{links}</div>')]:
+        body = f"{one}{part(LONG[:3])}{two}{one}{part(LONG[3:])}{two}{three}"
+        for h in (f"<body>{body}</body>", f'<body><div class="list">{body}</div></body>'):
+            assert html.Page(h).text() == all_of_it
