@@ -1,7 +1,8 @@
 """Running sums and previous rows along each stream, in two levels.
 
 A stream is cut into chunks of time. Windows run within a chunk, and over the chunks' totals or last rows, so a stream
-that holds most rows is spread over as many tasks as it has chunks.
+that holds most rows is spread over as many tasks as it has chunks. A null key is a stream like any other, and null
+times are a chunk of their own, after all others.
 """
 
 from __future__ import annotations
@@ -15,6 +16,15 @@ def _chunk(order: str, seconds: int) -> Column:
     return F.floor(F.unix_micros(F.col(order).cast("timestamp")) / (seconds * 1_000_000))
 
 
+def ascending(order: list[str]) -> list[Column]:
+    return [F.col(c).asc_nulls_last() for c in order]
+
+
+def place(order: list[str]) -> Column:
+    """A value that compares as rows do in ascending order."""
+    return F.struct(*[x for i, c in enumerate(order) for x in (F.col(c).isNull().alias(f"n{i}"), F.col(c).alias(f"c{i}"))])
+
+
 def running(rows: DataFrame, key: str, order: list[str], sums: dict[str, Column], seconds: int = CHUNK_SECONDS) -> DataFrame:
     """rows with a column for each of sums: its total over the key's rows up to and including this one.
 
@@ -23,21 +33,21 @@ def running(rows: DataFrame, key: str, order: list[str], sums: dict[str, Column]
     terms = {f"_t_{n}": F.coalesce(c.cast("long"), F.lit(0)) for n, c in sums.items()}
     cut = rows.withColumn("_chunk", _chunk(order[0], seconds)).withColumns(terms)
     totals = cut.groupBy(key, "_chunk").agg(*[F.sum(f"_t_{n}").alias(f"_s_{n}") for n in sums])
-    before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(key).orderBy(*ascending(["_chunk"])).rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select(F.col(key).alias("_own_key"), F.col("_chunk").alias("_own_chunk"), *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums])
-    joined = cut.join(bases, (F.col(key) == F.col("_own_key")) & (F.col("_chunk") == F.col("_own_chunk")))
-    within = Window.partitionBy(key, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = cut.join(bases, F.col(key).eqNullSafe(F.col("_own_key")) & F.col("_chunk").eqNullSafe(F.col("_own_chunk")))
+    within = Window.partitionBy(key, "_chunk").orderBy(*ascending(order)).rowsBetween(Window.unboundedPreceding, 0)
     return joined.select(*rows.columns, *[(F.col(f"_b_{n}") + F.sum(f"_t_{n}").over(within)).alias(n) for n in sums])
 
 
 def previous(rows: DataFrame, key: str, order: list[str], columns: dict[str, str], seconds: int = CHUNK_SECONDS) -> DataFrame:
     """rows with, for each new name in columns, the value of a column in the key's row before (null in its first)."""
     cut = rows.withColumn("_chunk", _chunk(order[0], seconds))
-    last = cut.groupBy(key, "_chunk").agg(F.max_by(F.struct(*columns.values()), F.struct(*order)).alias("_l"))
-    over = Window.partitionBy(key).orderBy("_chunk")
+    last = cut.groupBy(key, "_chunk").agg(F.max_by(F.struct(*columns.values()), place(order)).alias("_l"))
+    over = Window.partitionBy(key).orderBy(*ascending(["_chunk"]))
     last = last.select(F.col(key).alias("_own_key"), F.col("_chunk").alias("_own_chunk"), F.lag("_l").over(over).alias("_p"))
-    joined = cut.join(last, (F.col(key) == F.col("_own_key")) & (F.col("_chunk") == F.col("_own_chunk")))
-    within = Window.partitionBy(key, "_chunk").orderBy(*order)
+    joined = cut.join(last, F.col(key).eqNullSafe(F.col("_own_key")) & F.col("_chunk").eqNullSafe(F.col("_own_chunk")))
+    within = Window.partitionBy(key, "_chunk").orderBy(*ascending(order))
     first = F.row_number().over(within) == 1
     return joined.select(*rows.columns, *[F.when(first, F.col(f"_p.{c}")).otherwise(F.lag(c).over(within)).alias(n) for n, c in columns.items()])
 
@@ -46,8 +56,8 @@ def running_min(rows: DataFrame, key: str, order: list[str], value: Column, name
     """rows with the least value of the key's rows up to and including this one."""
     cut = rows.withColumn("_value", value).withColumn("_chunk", _chunk(order[0], seconds))
     lows = cut.groupBy(key, "_chunk").agg(F.min("_value").alias("_low"))
-    before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(key).orderBy(*ascending(["_chunk"])).rowsBetween(Window.unboundedPreceding, -1)
     lows = lows.select(F.col(key).alias("_own_key"), F.col("_chunk").alias("_own_chunk"), F.min("_low").over(before).alias("_base"))
-    within = Window.partitionBy(key, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = cut.join(lows, (F.col(key) == F.col("_own_key")) & (F.col("_chunk") == F.col("_own_chunk")))
+    within = Window.partitionBy(key, "_chunk").orderBy(*ascending(order)).rowsBetween(Window.unboundedPreceding, 0)
+    joined = cut.join(lows, F.col(key).eqNullSafe(F.col("_own_key")) & F.col("_chunk").eqNullSafe(F.col("_own_chunk")))
     return joined.select(*rows.columns, F.least(F.min("_value").over(within), "_base").alias(name))

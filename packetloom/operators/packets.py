@@ -90,9 +90,9 @@ def regroup(frames: DataFrame, stream: str, order: list[str], most_samples: int
     """
     rows = ordered.previous(ordered.running(frames, stream, order, {"n": F.lit(1)}), stream, order, {"before": "toc"})
     rows = ordered.running(rows, stream, order, {"run": F.when(F.col("before") == F.col("toc"), 0).otherwise(1)})
-    starts = rows.groupBy(stream, "run").agg(F.min("n").alias("start"))
+    starts = rows.groupBy(F.col(stream).alias("_own"), F.col("run").alias("_run")).agg(F.min("n").alias("start"))
     per = F.greatest(F.lit(1).cast("long"), F.call_function("div", F.lit(most_samples).cast("long"), F.col("samples")))
-    rows = rows.join(starts, [stream, "run"]).withColumn("packet", F.call_function("div", F.col("n") - F.col("start"), per))
+    rows = rows.join(starts, F.col(stream).eqNullSafe(F.col("_own")) & (F.col("run") == F.col("_run"))).withColumn("packet", F.call_function("div", F.col("n") - F.col("start"), per))
     grouped = rows.groupBy(stream, "run", "packet").agg(F.min("n").alias("first"), F.min("toc").alias("toc"), F.array_sort(F.collect_list(F.struct("n", "size"))).alias("f"))
     x = packed_size(F.col("f.size"))
     return grouped.select(stream, "first", "toc", F.size("f").alias("n_frames"), x["code"].alias("code"), x["header"].alias("header"), x["total"].alias("total"))

@@ -48,12 +48,11 @@ def frame_size(at_hand: Column, choice: Column, rate: int = 48000) -> Column:
 def hysteresis(rows: DataFrame, key: str, order: list[str], sure: Column, first: int, name: str) -> DataFrame:
     """rows with a decision that is `sure` where that is not null, else the key's last one, else `first`."""
     cut = rows.withColumn("_sure", sure).withColumn("_chunk", ordered._chunk(order[0], ordered.CHUNK_SECONDS))
-    last = cut.where("_sure is not null").groupBy(key, "_chunk").agg(F.max_by("_sure", F.struct(*order)).alias("_l"))
-    chunks = cut.select(key, "_chunk").distinct().join(last, [key, "_chunk"], "left")
-    before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = cut.groupBy(key, "_chunk").agg(F.max_by("_sure", F.when(F.col("_sure").isNotNull(), ordered.place(order))).alias("_l"))
+    before = Window.partitionBy(key).orderBy(*ordered.ascending(["_chunk"])).rowsBetween(Window.unboundedPreceding, -1)
     carried = chunks.select(F.col(key).alias("_own_key"), F.col("_chunk").alias("_own_chunk"), F.last("_l", ignorenulls=True).over(before).alias("_b"))
-    within = Window.partitionBy(key, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = cut.join(carried, (F.col(key) == F.col("_own_key")) & (F.col("_chunk") == F.col("_own_chunk")))
+    within = Window.partitionBy(key, "_chunk").orderBy(*ordered.ascending(order)).rowsBetween(Window.unboundedPreceding, 0)
+    joined = cut.join(carried, F.col(key).eqNullSafe(F.col("_own_key")) & F.col("_chunk").eqNullSafe(F.col("_own_chunk")))
     return joined.select(*rows.columns, F.coalesce(F.last("_sure", ignorenulls=True).over(within), "_b", F.lit(first)).alias(name))
 
 

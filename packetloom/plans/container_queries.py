@@ -49,9 +49,9 @@ def granule_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every packet's end position, its samples after the pre-skip, and whether it ends its stream."""
     p = fixtures.packets(spark, sf_dir).withColumn("spf", h.samples_per_frame(F.col("toc")))
     rows = ordered.running(p, "stream_id", ORDER, {"granule": F.col("spf")})
-    totals = p.groupBy("stream_id").agg(F.sum("spf").alias("total"))
+    totals = p.groupBy(F.col("stream_id").alias("_own")).agg(F.sum("spf").alias("total"))
     heard = lambda x: F.greatest(x - c.PRE_SKIP, F.lit(0).cast("long"))
-    return rows.join(totals, "stream_id").select("stream_id", "event_id", "granule", (heard(F.col("granule")) - heard(F.col("granule") - F.col("spf"))).alias("audible"), (F.col("granule") == F.col("total")).alias("is_last"))
+    return rows.join(totals, F.col("stream_id").eqNullSafe(F.col("_own"))).select("stream_id", "event_id", "granule", (heard(F.col("granule")) - heard(F.col("granule") - F.col("spf"))).alias("audible"), (F.col("granule") == F.col("total")).alias("is_last"))
 
 
 @query(f"WITH {PACKETS}, s AS (SELECT stream_id, count(*) AS source FROM p GROUP BY ALL) SELECT stream_id, source, greatest(1, (source + 312 + 959) // 960) AS n_frames, greatest(1, (source + 312 + 959) // 960) * 960 AS coded, greatest(1, (source + 312 + 959) // 960) * 960 - source - 312 AS trimmed FROM s")
