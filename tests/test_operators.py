@@ -103,3 +103,25 @@ def test_running_and_previous_cross_chunks(spark):
         assert (r["s"], r["p"]) == (total[r["k"]], last.get(r["k"]))
         last[r["k"]] = r["v"]
     assert ordered.running(rows.limit(0), "k", ["ts", "id"], {"s": F.col("v")}).count() == 0
+
+
+def test_pulse_vectors_beyond_the_table(spark):
+    from packetloom.operators import coding
+
+    sizes = [(22, 3), (3, 22), (17, 17), (176, 2), (1, 200), (20, 0), (0, 20), (200, 200), (16, 16), (None, 3), (40, 13)]
+
+    def count(n, k):  # V(n, k) = V(n - 1, k) + V(n, k - 1) + V(n - 1, k - 1)
+        row = [1] + [0] * k
+        for _ in range(n):
+            new = [1]
+            for j in range(1, k + 1):
+                new.append(row[j] + new[j - 1] + row[j - 1])
+            row = new
+        return row[k]
+
+    n, k = F.col("n"), F.col("k")
+    rows = spark.createDataFrame(sizes, "n long, k long").select("n", "k", coding.pulse_vectors(n, k).alias("v"), coding.pulse_error(n, k).alias("e")).collect()
+    for r in rows:
+        want = None if r["n"] is None else count(r["n"], r["k"])
+        assert r["v"] == (want if want is not None and want < 1 << 63 else None), r
+        assert r["e"] == ("no size" if want is None else "beyond 64 bits" if want >= 1 << 63 else None)
