@@ -3,19 +3,34 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder name below the session's spark.checkpoint.dir, which all machines share.
+
+    Only where that is unset (tests on one machine) it lies in a temporary folder.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        shared = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(shared)
+    return f"{shared}/{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute df once and cut its lineage in the shared checkpoint folder, so that a lost executor costs a re-read.
+    """Compute df once and cut its lineage: written as a table in the shared folder and read again.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests) a temporary one is taken.
+    A lost executor then costs a re-read. Unlike a checkpoint, the table has known sizes, is read by columns and carries
+    no constraints of the plan before it, which grow with every further cut of an iteration.
     """
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:

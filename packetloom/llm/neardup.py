@@ -1,18 +1,18 @@
-"""MinHash near-dedup by banding of fixed depth (operator 7).
+"""MinHash near-dedup by an LSH forest (operator 7).
 
 Each document's set of word shingles becomes a one-permutation MinHash signature: the smallest hash of each of 256
-bins, empty bins filled from the document's own full bins by a rank table that is the same everywhere. A tree is one
-order of signature positions and stands for a band of it: its label is a hash of the first `depth` positions, and all
-labels of a tree are range-sorted over the cluster, so that no region of equal labels is gathered in one task. Neighbours
-in the sorted order with equal labels are candidates.
-
-This replaces the LSH forest whose depth adapts to each region: depth is the same everywhere, derived with the number of
-trees from the similarity asked for. Where many texts share passages, families are therefore larger than a forest's would
-be, and verifying one takes time with the square of its size.
-
-Candidates that hang together form a family, and every link lies inside one. Families are verified on full shingle sets
-in blocks of bounded size, each pair of blocks one group, with a union-find that skips pairs already connected. Verified
-links are then joined into components. Exact copies are folded to one representative before all this.
+bins, 16 bits of it, empty bins filled from the document's own full bins by a rank table that is the same everywhere. A
+tree is one order of signature positions. Its labels are the raw positions in that order, range-sorted over the cluster,
+so that texts with a long common prefix stand beside one another and no region of equal prefixes is gathered in one task.
+
+A region, the texts that agree in a tree's first positions, is as deep as it needs to be. At the first depth, a region
+of a few texts makes all of them candidates of one another. In a larger one each text is a candidate of its neighbours
+of longest common prefix; if these don't connect the region, its texts go on to a forest of more depth, with as many more
+trees as hold the recall, where texts that share less fall apart. What is left after the deepest forest is compared in
+blocks of bounded size, without candidates.
+
+Candidates are compared by signature, then on full shingle sets: first every text's best partner, then those pairs that
+the links found so far leave unconnected. Exact copies are folded to one representative before all this.
 """
 
 from __future__ import annotations
@@ -33,10 +33,14 @@ BINS = 256
 #: How often a pair at the similarity asked for may share no region of any tree, at most.
 MISSED = 6e-6
 
+#: Trees a forest may have; deeper ones are not grown.
+MOST_TREES = 512
+#: Positions of a label beyond the depth of its forest, for the order of neighbours within a region.
+MORE = 4
+
 _random = np.random.default_rng(20)
 #: RANK[e, f]: how early the full bin f is in line to fill the empty bin e.
 RANK = _random.random((BINS, BINS)).astype(np.float32)
-_ORDERS = [_random.permutation(BINS) for _ in range(64)]
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[np.ndarray]:
@@ -56,12 +60,12 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[n
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """256 positions of 32 bits of a sorted, non-empty set of 64-bit hashes."""
+    """256 positions of 16 bits of a sorted, non-empty set of 64-bit hashes."""
     bins = (shingles >> np.uint64(56)).astype(np.int64)
     first = np.flatnonzero(np.diff(bins, prepend=-1))
     full = bins[first]
-    out = np.zeros(BINS, dtype=np.uint32)
-    out[full] = (shingles[first] >> np.uint64(20)).astype(np.uint32)
+    out = np.zeros(BINS, dtype=np.uint16)
+    out[full] = (shingles[first] >> np.uint64(20)).astype(np.uint16)
     if len(full) < BINS:
         empty = np.ones(BINS, dtype=bool)
         empty[full] = False
@@ -70,13 +74,16 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def forest(percent: int) -> tuple[int, int]:
-    """Trees and depth: the deepest of 4 to 1 for which 64 trees miss at most MISSED of the pairs; 32 trees at least."""
+def forests(percent: int) -> list[tuple[int, int]]:
+    """(depth, trees) of the forests, from the first on: each misses at most MISSED of the pairs at the similarity.
+
+    The first depth is the largest up to 4 that 64 trees hold; the others are two and three times that.
+    """
     if not 0 < percent <= 100:
         raise ValueError("percent must be from 1 to 100")
     need = lambda depth: ceil(log(MISSED) / log(1 - min(percent / 100, 0.99) ** depth))
-    depth = next((d for d in (4, 3, 2) if need(d) <= len(_ORDERS)), 1)
-    return max(32, need(depth)), depth
+    first = next((d for d in (4, 3, 2) if need(d) <= 64), 1)
+    return [(d, max(32, need(d))) for d in (first, 2 * first, 3 * first) if d == first or need(d) <= MOST_TREES]
 
 
 def least_agreeing(percent: int) -> float:
@@ -88,69 +95,132 @@ def least_agreeing(percent: int) -> float:
     return min(bound(percent / 100), bound(0.75) * percent / 75)
 
 
-def labels(signatures: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """For each signature and tree a hash of the tree's first `depth` positions."""
-    out = np.empty((len(signatures), trees), dtype=np.uint64)
-    for t in range(trees):
-        order = np.roll(_ORDERS[t % len(_ORDERS)], 7 * (t // len(_ORDERS)))
-        key = np.full(len(signatures), t + 1, dtype=np.uint64)
-        for p in order[:depth]:
-            key = tx.mix(key ^ (signatures[:, p].astype(np.uint64) + np.uint64(0x51ED27)) * np.uint64(0x9E3779B97F4A7C15))
-        out[:, t] = key
-    return out
+def orders(depth: int, trees: int) -> np.ndarray:
+    """For each tree the positions of its labels: chunks of random permutations, so that trees of one share none."""
+    random, width = np.random.default_rng([20, depth]), min(depth + MORE, BINS)
+    each = BINS // width
+    return np.concatenate([random.permutation(BINS)[: each * width].reshape(each, width) for _ in range(-(-trees // each))])[:trees]
+
+
+def labels(signatures: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """For each signature and tree, in this order, a label: two bytes of the tree's number, two of each position."""
+    n, (trees, width) = len(signatures), places.shape
+    out = np.empty((n, trees, width + 1), dtype=">u2")
+    out[:, :, 0] = np.arange(trees)
+    out[:, :, 1:] = signatures[:, places]
+    return out.view(np.uint8).reshape(n * trees, 2 * (width + 1))
 
 
-def _signatures(docs: DataFrame, size: int, trees: int, depth: int) -> DataFrame:
-    """Per row: id, n_shingles, the set's 128-bit identity (null if empty), the labels of its trees."""
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes as a binary column."""
+    n, width = rows.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * np.int32(width)), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _matrix(column: pa.Array, width: int, kind=np.uint8) -> np.ndarray:
+    """A binary column whose values all have one width, as rows of numbers."""
+    data, offsets = tx.buffers(column)
+    return data.reshape(len(offsets) - 1, width).view(kind)
+
+
+def _signatures(docs: DataFrame, size: int) -> DataFrame:
+    """Per row: id, n_shingles, the set's 128-bit identity (null if empty), its signature."""
 
     def run(batches):
         for batch in batches:
             data, offsets = tx.buffers(batch.column(1))
             for low, high in tx.chunks(offsets):
                 sets = list(shingle_sets(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], size))
-                signed = np.array([signature(s) if len(s) else np.zeros(BINS, np.uint32) for s in sets])
-                found = labels(signed, trees, depth).view(np.int64)
                 yield pa.record_batch(
                     {
                         "id": batch.column(0).slice(low, high - low).cast(pa.int64()),
                         "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-                        "set_id": pa.array([hashlib.blake2b(s, digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                        "labels": pa.ListArray.from_arrays(np.arange(0, found.size + 1, trees, dtype=np.int32), found.ravel()),
+                        "set_id": pa.array([_identity(s) if len(s) else None for s in sets], pa.binary()),
+                        "signature": pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
                     }
                 )
 
-    return docs.mapInArrow(run, "id long, n_shingles long, set_id binary, labels array<long>")
+    return docs.mapInArrow(run, "id long, n_shingles long, set_id binary, signature binary")
+
+
+def _identity(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles, digest_size=16).digest()
 
 
-def _neighbours(sorted_rows: DataFrame) -> DataFrame:
-    """Of rows (tree, key, rep) sorted in each partition: neighbours of one region as edges, and each partition's
-    first and last row as its border (kind 1)."""
+def _labelled(nodes: DataFrame, places: np.ndarray) -> DataFrame:
+    """(label, node) for each tree of each row (node, signature)."""
 
     def run(batches):
-        last = None
+        for batch in batches:
+            signed, nodes = _matrix(batch.column(1), 2 * BINS, np.uint16), batch.column(0).to_numpy()
+            for low in range(0, len(nodes), 256):
+                part = nodes[low : low + 256]
+                yield pa.record_batch({"label": _binary(labels(signed[low : low + 256], places)), "node": pa.array(np.repeat(part, len(places)))})
+
+    return nodes.mapInArrow(run, "label binary, node long")
+
+
+def regions(label: np.ndarray, node: np.ndarray, prefix: int, few: int, near: int, at_border: tuple[bool, bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate pairs (a, b) among sorted labels, and which rows lie in crowded regions.
+
+    A region is a run of labels with equal first `prefix` bytes. One of at most `few` rows pairs all of them; a larger
+    one, or the first or last if it is at a border, is crowded and pairs each row with the `near` rows before it.
+    """
+    n = len(node)
+    fresh = np.append(True, (label[1:, :prefix] != label[:-1, :prefix]).any(axis=1)) if n else np.zeros(0, bool)
+    starts = np.flatnonzero(fresh)
+    sizes = np.diff(np.append(starts, n))
+    crowded = sizes > few
+    if n:
+        crowded[0] |= at_border[0]
+        crowded[-1] |= at_border[1]
+    reach = np.repeat(np.where(crowded, near, few), sizes)
+    place = np.arange(n) - np.repeat(starts, sizes)
+    a, b = [], []
+    for shift in range(1, max(few, near + 1)):
+        later = np.flatnonzero((place >= shift) & (reach >= shift))
+        if not len(later) and shift > near:
+            break
+        a.append(node[later])
+        b.append(node[later - shift])
+    a, b = np.concatenate([*a, node[:0]]), np.concatenate([*b, node[:0]])
+    return np.maximum(a, b), np.minimum(a, b), np.repeat(crowded, sizes)
+
+
+def _neighbours(sorted_rows: DataFrame, prefix: int, few: int, near: int) -> DataFrame:
+    """Of rows (label, node) sorted in each partition: candidates (a, b), and rows (region, a) of crowded regions.
+
+    The regions at both ends of a partition count as crowded, for others may hold the rest of them. No more than a batch and
+    a few rows are held.
+    """
+
+    def run(batches):
+        label, node, border = None, None, True
         for batch in batches:
             if not batch.num_rows:
                 continue
-            tree, key, rep = (batch.column(i).to_numpy() for i in (0, 1, 2))
-            head = np.array([last]) if last is not None else None
-            trees = np.concatenate([head[:, 0], tree]) if head is not None else tree.astype(np.int64)
-            keys = np.concatenate([head[:, 1], key]) if head is not None else key
-            reps = np.concatenate([head[:, 2], rep]) if head is not None else rep
-            same = np.flatnonzero((trees[1:] == trees[:-1]) & (keys[1:] == keys[:-1]))
-            yield rows(0, trees[same], keys[same], reps[same + 1], reps[same])
-            if last is None:
-                yield rows(1, trees[:1], keys[:1], reps[:1], reps[:1])
-            last = (int(trees[-1]), int(keys[-1]), int(reps[-1]))
-        if last is not None:
-            yield rows(1, *(np.array([x]) for x in last), np.array([last[2]]))
-
-    def rows(kind, tree, key, a, b):
-        n = len(key)
-        return pa.record_batch(
-            {"kind": pa.array(np.full(n, kind, np.int32)), "tree": pa.array(tree.astype(np.int32)), "key": pa.array(key.astype(np.int64)), "a": pa.array(a.astype(np.int64)), "b": pa.array(b.astype(np.int64))}
-        )
-
-    return sorted_rows.mapInArrow(run, "kind int, tree int, key long, a long, b long")
+            here = batch.column(1).to_numpy()
+            rows = _matrix(batch.column(0), len(batch.column(0)[0].as_py()))
+            label, node = (rows, here) if label is None else (np.concatenate([label, rows]), np.concatenate([node, here]))
+            changes = np.flatnonzero((label[1:, :prefix] != label[:-1, :prefix]).any(axis=1))
+            last = int(changes[-1]) + 1 if len(changes) else 0
+            if last:
+                yield from found(label[:last], node[:last], border, False)
+                label, node, border = label[last:], node[last:], False
+            if len(node) > few + near:  # the region that goes on is crowded: keep only what the next rows are paired with
+                yield from found(label, node, True, True)
+                label, node, border = label[-near:].copy(), node[-near:].copy(), True
+        if node is not None:
+            yield from found(label, node, border, True)
+
+    def found(label, node, first, last):
+        a, b, crowded = regions(label, node, prefix, few, near, (first, last))
+        if len(a):
+            yield pa.record_batch({"region": pa.nulls(len(a), pa.binary()), "a": pa.array(a), "b": pa.array(b)})
+        if crowded.any():
+            yield pa.record_batch({"region": _binary(label[crowded, :prefix]), "a": pa.array(node[crowded]), "b": pa.array(node[crowded])})
+
+    return sorted_rows.mapInArrow(run, "region binary, a long, b long")
 
 
 def _find(parent: np.ndarray, x: int) -> int:
@@ -171,22 +241,50 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
+def _close(pairs: DataFrame, signatures: DataFrame, least: float) -> DataFrame:
+    """(a, b, agree) of the pairs whose signatures agree in at least that share of positions."""
+
+    def run(batches):
+        for batch in batches:
+            left, right = (_matrix(batch.column(i), 2 * BINS, np.uint16) for i in (2, 3))
+            agree = np.count_nonzero(left == right, axis=1)
+            some = pa.array(agree >= least * BINS)
+            yield pa.record_batch({"a": batch.column(0), "b": batch.column(1), "agree": pa.array(agree.astype(np.int32))}).filter(some)
+
+    left, right = (signatures.select(F.col("node").alias(x), F.col("signature").alias(f"s{x}")) for x in ("a", "b"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, agree int")
+
+
+def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are links on full shingle sets."""
+
+    def run(batches):
+        for batch in batches:
+            same = [_linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.record_batch({"a": batch.column(0), "b": batch.column(1)}).filter(pa.array(same, pa.bool_()))
+
+    left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in ("a", "b"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
 def _verify(percent: int, least: float):
     """Links of one group: the members of block i against those of block j of a family; enough to connect what is linked."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["block", "rep"], kind="stable")
+        group = group.sort_values(["block", "node"], kind="stable")
         sets = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
         signed = np.array([signature(s) for s in sets])
-        reps, block, n = group["rep"].to_numpy(), group["block"].to_numpy(), len(group)
+        nodes, block, n = group["node"].to_numpy(), group["block"].to_numpy(), len(group)
         one = group["i"].iloc[0] == group["j"].iloc[0]
         sizes = np.array([len(s) for s in sets])
-        parent, found = np.arange(n), []
+        # what is connected already starts so
+        parent = np.unique(group["component"].to_numpy(), return_index=True)[1][np.unique(group["component"].to_numpy(), return_inverse=True)[1]]
+        found = []
         for x in range(n - 1):
             others = np.arange(x + 1, n)
             if not one:
                 others = others[block[others] != block[x]]
-            others = others[(100 * np.minimum(sizes[others], sizes[x]) >= percent * np.maximum(sizes[others], sizes[x]))]
+            others = others[(100 * np.minimum(sizes[others], sizes[x]) >= percent * np.maximum(sizes[others], sizes[x])) & (parent[others] != parent[x])]
             if not len(others):
                 continue
             agree = np.count_nonzero(signed[others] == signed[x], axis=1)
@@ -196,75 +294,118 @@ def _verify(percent: int, least: float):
                 top, other = _find(parent, x), _find(parent, y)
                 if top != other and _linked(sets[x], sets[y], percent):
                     parent[max(top, other)] = min(top, other)
-                    found.append((reps[x], reps[y]))
+                    found.append((nodes[x], nodes[y]))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return run
 
 
+def _sets_of(nodes: DataFrame, firsts: DataFrame, source: DataFrame, words: int, broadcast_rows: int) -> DataFrame:
+    """(node, shingles) of the nodes, from the texts of their representatives."""
+    wanted = cut(firsts.select("node", "rep", "set_id").join(nodes, "node", "left_semi"))
+    texts = source.join(broadcast_if_small(cut(wanted.select(F.col("rep").alias("id")).distinct()), broadcast_rows), "id", "left_semi").select("text")
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = tx.buffers(batch.column(0))
+            for low, high in tx.chunks(offsets):
+                sets = list(shingle_sets(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], words))
+                yield pa.record_batch({"set_id": pa.array(map(_identity, sets), pa.binary()), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
+
+    found = texts.mapInArrow(run, "set_id binary, shingles binary").join(wanted, "set_id").select("node", "shingles")
+    return cut(found.dropDuplicates(["node"]))
+
+
+def _links(pairs: DataFrame, firsts: DataFrame, source: DataFrame, known: DataFrame | None, percent: int, words: int, broadcast_rows: int) -> DataFrame | None:
+    """Links among candidate pairs, enough to connect with the components known before what the pairs link; None if there are none."""
+    pairs = pairs.where("a <> b").distinct()
+    if known is not None:
+        pairs = _apart(pairs, known)
+    close = cut(_close(pairs, firsts, least_agreeing(percent)))
+    if close.isEmpty():
+        return None
+    nodes = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
+    sets = _sets_of(nodes, firsts, source, words, broadcast_rows)
+    best = close.groupBy("a").agg(F.max_by("b", F.struct("agree", "b")).alias("b")).union(close.groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a")).select("a", "b"))
+    first = cut(_exact(best.distinct(), sets, percent))
+    rest = cut(_apart(close.select("a", "b"), components(first)))
+    return cut(first.union(_exact(rest, sets, percent)))
+
+
+def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (a, b) that lie in different components of known (node, component); a node without one is its own."""
+    left, right = (known.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in ("a", "b"))
+    both = pairs.join(left, "a", "left").join(right, "b", "left")
+    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 75, words: int = 5,
-    trees: int | None = None, depth: int | None = None, block: int = 512, broadcast_rows: int = 1_000_000,
+    depths: list[tuple[int, int]] | None = None, few: int = 32, near: int = 4, block: int = 512, broadcast_rows: int = 1_000_000,
 ) -> DataFrame:
     """One row (id_col, n_shingles, component_id) for each row of docs; component_id is the smallest id of its component.
 
     Words are what ASCII white space separates, A-Z lower-cased; a document's set holds its distinct runs of `words`
     words, or its whole sequence if it has fewer. Two documents are linked if 100 * |intersection| >= percent * |union|.
-    A pair at that similarity shares a region of some tree but for MISSED of the times, if trees and depth are left to be
-    derived from percent (32 and 4 at 75: 5 in a million); from there on all is exact.
+    `depths` are (depth, trees) of the forests, derived from percent unless given: a pair at that similarity shares a
+    region of some tree of each but for MISSED of the times. A region of at most `few` texts pairs all of them, in a
+    larger one each is paired with its `near` neighbours; texts of larger regions that this leaves unconnected go on to
+    the next forest, and after the last are compared in blocks of at most about `block` texts and 8 MB of sets.
 
     Texts that are null, empty or white space have the empty set and no links: their component is their own id. Rows
     that share an id are one document holding several texts: they link through the id and get the same component.
     A null id gets a null component and links nothing. No rows give no rows; other columns are ignored. A text
-    of any length is read whole; only its own set must fit a task. Order and ties of rows do not change the result.
+    of any length is read whole; only its own set, and that of one other, must fit a task. Order and ties of rows do not
+    change the result.
     """
-    derived = forest(percent)
-    trees, depth = trees or derived[0], depth or derived[1]
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = cut(_signatures(source, words, trees, depth))
+    signed = cut(_signatures(source, words))
     known = signed.where("id is not null and set_id is not null")
 
-    # exact copies: one representative for each distinct set
-    firsts = cut(known.groupBy("set_id").agg(F.min("id").alias("rep"), F.min_by("labels", "id").alias("labels")))
-    rows = firsts.select(F.posexplode("labels").alias("tree", "key"), "rep").select("tree", "key", "rep")
-
-    # every tree's labels sorted over the cluster, neighbours within a region are candidates
-    ranged = rows.repartitionByRange("tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
-    found = cut(_neighbours(ranged))
-    border = found.where("kind = 1").select("tree", "key", F.col("a").alias("rep")).distinct()
-    heads = border.groupBy("tree", "key").agg(F.min("rep").alias("b"))
-    across = border.join(heads, ["tree", "key"]).select(F.col("rep").alias("a"), "b")
-    candidates = found.where("kind = 0").select("a", "b").union(across)
-
-    # families, in blocks of a bounded number of members; each pair of blocks is one group
-    families = components(candidates).withColumnRenamed("node", "rep").withColumnRenamed("component", "family")
-    sizes = families.groupBy("family").agg(F.count("*").alias("n")).select("family", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    members = cut(families.join(sizes, "family").select("rep", "family", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block")))
-    texts = source.join(broadcast_if_small(members, broadcast_rows), F.col("id") == F.col("rep")).select("rep", "family", "blocks", "block", "text")
-
-    def shingled(batches):
-        for batch in batches:
-            data, offsets = tx.buffers(batch.column(4))
-            for low, high in tx.chunks(offsets):
-                sets = shingle_sets(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], words)
-                part = batch.slice(low, high - low)
-                yield pa.record_batch([*part.columns[:4], pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "family", "blocks", "block", "shingles"])
-
-    sets = texts.mapInArrow(shingled, "rep long, family long, blocks int, block int, shingles binary")
-    sets = sets.where("length(shingles) > 0").distinct()
-    spread = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    groups = spread.select(
-        "rep", "family", "block", "shingles",
-        F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-    )
-    links = groups.groupBy("family", "i", "j").applyInPandas(_verify(percent, least_agreeing(percent)), "a long, b long")
+    # exact copies: one node for each distinct set
+    firsts = known.groupBy("set_id").agg(F.min("id").alias("rep"), F.min("n_shingles").alias("n_shingles"), F.min_by("signature", "id").alias("signature"))
+    firsts = cut(firsts.withColumn("node", F.monotonically_increasing_id()))
 
     # rows of one id with several sets hang together through that id
     several = known.groupBy("id").agg(F.min(F.xxhash64("set_id")).alias("low"), F.max(F.xxhash64("set_id")).alias("high")).where("low <> high")
-    owned = known.select("id", "set_id").join(several.select("id"), "id", "left_semi").join(firsts.select("set_id", "rep"), "set_id")
-    shared = owned.join(owned.groupBy("id").agg(F.min("rep").alias("low")), "id").select(F.col("rep").alias("a"), F.col("low").alias("b"))
-    joined = cut(components(links.union(shared)))
-    own = joined.select(F.col("node").alias("rep"), "component")
-    reps = firsts.join(own, "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("id", "n_shingles", "set_id").join(reps, "set_id", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
-    return out.withColumn("component_id", F.when(F.col("id").isNotNull(), F.col("component_id"))).withColumnRenamed("id", id_col)
+    owned = known.select("id", "set_id").distinct().join(several.select("id"), "id", "left_semi").join(firsts.select("set_id", "node"), "set_id")
+    links = cut(owned.join(owned.groupBy("id").agg(F.min("node").alias("b")), "id").select(F.col("node").alias("a"), "b"))
+    joined = components(links)
+
+    todo = firsts.select("node", "signature")
+    for depth, trees in depths or forests(percent):
+        labelled = _labelled(todo, orders(depth, trees))
+        ranged = labelled.repartitionByRange("label", "node").sortWithinPartitions("label", "node")
+        found = cut(_neighbours(ranged, 2 + 2 * depth, few, near))
+        new = _links(found.where("region is null").select("a", "b"), firsts, source, joined, percent, words, broadcast_rows)
+        if new is not None:
+            links = links.union(new)
+            joined = cut(components(links))
+        # crowded regions whose texts aren't all connected: each with its smallest node
+        crowded = found.where("region is not null").select("region", F.col("a").alias("node"))
+        component = F.coalesce("component", "node")
+        open_ = crowded.join(joined, "node", "left").groupBy("region").agg(F.min("node").alias("hub"), F.min(component).alias("low"), F.max(component).alias("high"))
+        open_ = cut(open_.where("low < high").select("region", "hub"))
+        edges = cut(crowded.join(broadcast_if_small(open_, broadcast_rows), "region").select("node", "hub").distinct())
+        if edges.isEmpty():
+            break
+        todo = cut(firsts.select("node", "signature").join(edges.select("node").distinct(), "node", "left_semi"))
+    else:
+        # families: what the last forest's open regions hold together, in blocks of bounded size; each pair of blocks is a group
+        families = components(edges.select(F.col("node").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("component", "family")
+        members = cut(families.join(joined, "node", "left").join(firsts.select("node", "n_shingles"), "node").select("node", "family", F.coalesce("component", "node").alias("component"), "n_shingles"))
+        sizes = members.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n_shingles") / (1 << 20))).cast("int").alias("blocks"))
+        sets = _sets_of(members.select("node"), firsts, source, words, broadcast_rows)
+        placed = members.join(sizes, "family").join(sets, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        groups = spread.select("node", "family", "component", "block", "shingles", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        joined = cut(components(links.union(groups.groupBy("family", "i", "j").applyInPandas(_verify(percent, least_agreeing(percent)), "a long, b long"))))
+
+    # from nodes to documents: a component is called by its smallest id
+    named = firsts.select("set_id", "rep", "node").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    lowest = cut(named.join(joined.select("component").distinct(), "component", "left_semi").groupBy("component").agg(F.min("rep").alias("low")))
+    reps = named.join(broadcast_if_small(lowest, broadcast_rows), "component", "left").select("set_id", F.coalesce("low", "rep").alias("component_id"))
+    # a row without a set gets a key of its own, so that these don't meet in one task
+    rows = signed.select("id", "n_shingles", F.coalesce("set_id", F.unhex(F.hex(F.xxhash64("id")))).alias("set_id"))
+    out = rows.join(reps, "set_id", "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+    return out.withColumnRenamed("id", id_col)

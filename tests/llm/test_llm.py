@@ -229,8 +229,9 @@ def test_near_duplicates(spark, odd):
     rows += [(900 + i, t) for i, t in enumerate(ODD)] + [(5, rows[70][1]), (5, rows[5][1]), (5, rows[5][1])]
     df = spark.createDataFrame([*rows, (None, rows[0][1])], "doc_id long, text string").withColumn("component_id", F.lit("clash"))
     want = _components(rows)
-    for block in (512, 8):
-        got = neardup.near_duplicates(df, block=block).collect()
+    # all forests and the blocks after them, regions of two texts at most; and none of it
+    for more in ({}, {"few": 2, "near": 1, "depths": [(4, 32), (8, 114)], "block": 8}):
+        got = neardup.near_duplicates(df, **more).collect()
         assert len(got) == len(rows) + 1
         assert {x["doc_id"]: x["component_id"] for x in got if x["doc_id"] is not None} == want
         assert [x["component_id"] for x in got if x["doc_id"] is None] == [None]
@@ -239,16 +240,36 @@ def test_near_duplicates(spark, odd):
     assert neardup.near_duplicates(odd).count() == odd.count()
 
 
-def test_near_duplicates_derive_the_bands_from_percent(spark):
-    """Pairs right at a similarity below 0.75 are all found."""
-    assert neardup.forest(75) == (32, 4) and all((1 - (p / 100) ** d) ** t <= neardup.MISSED for p in range(1, 100) for t, d in [neardup.forest(p)])
-    both = [" ".join(f"s{i}x{j}" for j in range(40)) for i in range(150)]
-    rows = [(2 * i + k, both[i] + " " + " ".join(f"o{i}x{k}x{j}" for j in range(20))) for i in range(150) for k in (0, 1)]
-    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=50, words=1).collect()
-    assert {x["doc_id"]: x["component_id"] for x in got} == {i: i - i % 2 for i in range(300)}
-    for percent in (0, 101):
-        with pytest.raises(ValueError):
-            neardup.near_duplicates(spark.createDataFrame(rows[:2], "doc_id long, text string"), percent=percent)
+def _at_similarity(n, shared, own, rng):
+    """n pairs of sets of 64-bit hashes with `shared` in common and `own` apart in each."""
+    for _ in range(n):
+        x = rng.integers(0, 1 << 64, shared + 2 * own, dtype=np.uint64)
+        yield np.sort(x[: shared + own]), np.sort(np.append(x[:shared], x[shared + own :]))
+
+
+def test_forests_recall_and_depth():
+    """Pairs at 0.75 and 0.8 share a region of every forest; crowded regions pair neighbours only, until they are deeper."""
+    for p in range(1, 100):
+        for d, t in neardup.forests(p):
+            assert (1 - (p / 100) ** d) ** t <= neardup.MISSED and t <= neardup.MOST_TREES or d <= 1
+    with pytest.raises(ValueError):
+        neardup.forests(0)
+    rng = np.random.default_rng(1)
+    pairs = [*_at_similarity(150, 300, 50, rng), *_at_similarity(150, 320, 40, rng)]
+    signed = [np.array([neardup.signature(x[k]) for x in pairs]) for k in (0, 1)]
+    for depth, trees in neardup.forests(75):
+        places = neardup.orders(depth, trees)
+        left, right = (neardup.labels(s, places).reshape(len(pairs), trees, -1)[:, :, : 2 + 2 * depth] for s in signed)
+        assert (left == right).all(axis=2).any(axis=1).all()
+    # one region of 40 at depth 4 that falls into 20 pairs at depth 8
+    signed = rng.integers(0, 1 << 16, (1, 256), dtype=np.uint16).repeat(40, axis=0)
+    places = neardup.orders(4, 1)
+    signed[:, places[0, 4:]] = np.arange(20).repeat(2)[:, None]
+    label, node = neardup.labels(signed, places), np.arange(40)
+    a, b, crowded = neardup.regions(label, node, 2 + 2 * 4, 8, 1, (False, False))
+    assert crowded.all() and len(a) == 39
+    a, b, crowded = neardup.regions(label, node, 2 + 2 * 8, 8, 1, (False, False))
+    assert not crowded.any() and sorted(zip(b.tolist(), a.tolist(), strict=True)) == [(2 * i, 2 * i + 1) for i in range(20)]
 
 
 def test_word_hashes_do_not_cross_texts():
