@@ -54,8 +54,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if edges.isEmpty():
             break
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooks = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"))
-        hooks = cut(hooks.select("node", F.least("node", "low").alias("up")))
+        hooks = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("up"))
         for _ in range(2):
             above = hooks.select(F.col("node").alias("up"), F.col("up").alias("top"))
             hooks = hooks.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up"))
@@ -65,7 +64,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         else:
             step = hooks.select(F.col("node").alias("component"), "up")
             labels = labels.join(step, "component", "left").select("node", F.coalesce("up", "component").alias("component"))
-        labels = cut(labels)
         a = hooks.select(F.col("node").alias("a"), F.col("up").alias("ua"))
         b = hooks.select(F.col("node").alias("b"), F.col("up").alias("ub"))
         edges = edges.join(a, "a").join(b, "b").where("ua <> ub")
@@ -74,4 +72,4 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return labels
+    return cut(labels)

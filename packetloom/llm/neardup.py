@@ -303,7 +303,8 @@ def _verify(percent: int, least: float):
 def _sets_of(nodes: DataFrame, firsts: DataFrame, source: DataFrame, words: int, broadcast_rows: int) -> DataFrame:
     """(node, shingles) of the nodes, from the texts of their representatives."""
     wanted = cut(firsts.select("node", "rep", "set_id").join(nodes, "node", "left_semi"))
-    texts = source.join(broadcast_if_small(cut(wanted.select(F.col("rep").alias("id")).distinct()), broadcast_rows), "id", "left_semi").select("text")
+    ids = wanted.select(F.col("rep").alias("id")).distinct()
+    texts = source.join(F.broadcast(ids) if wanted.count() <= broadcast_rows else ids, "id", "left_semi").select("text")
 
     def run(batches):
         for batch in batches:
@@ -328,8 +329,7 @@ def _links(pairs: DataFrame, firsts: DataFrame, source: DataFrame, known: DataFr
     sets = _sets_of(nodes, firsts, source, words, broadcast_rows)
     best = close.groupBy("a").agg(F.max_by("b", F.struct("agree", "b")).alias("b")).union(close.groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a")).select("a", "b"))
     first = cut(_exact(best.distinct(), sets, percent))
-    rest = cut(_apart(close.select("a", "b"), components(first)))
-    return cut(first.union(_exact(rest, sets, percent)))
+    return cut(first.union(_exact(_apart(close.select("a", "b"), components(first)), sets, percent)))
 
 
 def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -341,7 +341,7 @@ def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 75, words: int = 5,
-    depths: list[tuple[int, int]] | None = None, few: int = 32, near: int = 4, block: int = 512, broadcast_rows: int = 1_000_000,
+    depths: list[tuple[int, int]] | None = None, few: int = 32, near: int = 4, block: int = 512, settle: int = 4096, broadcast_rows: int = 1_000_000,
 ) -> DataFrame:
     """One row (id_col, n_shingles, component_id) for each row of docs; component_id is the smallest id of its component.
 
@@ -350,7 +350,8 @@ def near_duplicates(
     `depths` are (depth, trees) of the forests, derived from percent unless given: a pair at that similarity shares a
     region of some tree of each but for MISSED of the times. A region of at most `few` texts pairs all of them, in a
     larger one each is paired with its `near` neighbours; texts of larger regions that this leaves unconnected go on to
-    the next forest, and after the last are compared in blocks of at most about `block` texts and 8 MB of sets.
+    the next forest. After the last, or as soon as no more than `settle` are left, for which another forest would be more
+    work, they are compared in blocks of at most about `block` texts and 8 MB of sets, which misses none.
 
     Texts that are null, empty or white space have the empty set and no links: their component is their own id. Rows
     that share an id are one document holding several texts: they link through the id and get the same component.
@@ -380,18 +381,19 @@ def near_duplicates(
         new = _links(found.where("region is null").select("a", "b"), firsts, source, joined, percent, words, broadcast_rows)
         if new is not None:
             links = links.union(new)
-            joined = cut(components(links))
-        # crowded regions whose texts aren't all connected: each with its smallest node
+            joined = components(links)
+        # crowded regions whose texts aren't all connected: each text with the region's smallest
         crowded = found.where("region is not null").select("region", F.col("a").alias("node"))
         component = F.coalesce("component", "node")
         open_ = crowded.join(joined, "node", "left").groupBy("region").agg(F.min("node").alias("hub"), F.min(component).alias("low"), F.max(component).alias("high"))
         open_ = cut(open_.where("low < high").select("region", "hub"))
         edges = cut(crowded.join(broadcast_if_small(open_, broadcast_rows), "region").select("node", "hub").distinct())
-        if edges.isEmpty():
+        left = edges.select("node").distinct()
+        if left.count() <= settle:
             break
-        todo = cut(firsts.select("node", "signature").join(edges.select("node").distinct(), "node", "left_semi"))
-    else:
-        # families: what the last forest's open regions hold together, in blocks of bounded size; each pair of blocks is a group
+        todo = firsts.select("node", "signature").join(left, "node", "left_semi")
+    if not edges.isEmpty():
+        # families: what open regions hold together, in blocks of bounded size; each pair of blocks is a group
         families = components(edges.select(F.col("node").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("component", "family")
         members = cut(families.join(joined, "node", "left").join(firsts.select("node", "n_shingles"), "node").select("node", "family", F.coalesce("component", "node").alias("component"), "n_shingles"))
         sizes = members.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n_shingles") / (1 << 20))).cast("int").alias("blocks"))
@@ -399,7 +401,7 @@ def near_duplicates(
         placed = members.join(sizes, "family").join(sets, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         groups = spread.select("node", "family", "component", "block", "shingles", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        joined = cut(components(links.union(groups.groupBy("family", "i", "j").applyInPandas(_verify(percent, least_agreeing(percent)), "a long, b long"))))
+        joined = components(links.union(groups.groupBy("family", "i", "j").applyInPandas(_verify(percent, least_agreeing(percent)), "a long, b long")))
 
     # from nodes to documents: a component is called by its smallest id
     named = firsts.select("set_id", "rep", "node").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -230,7 +230,7 @@ def test_near_duplicates(spark, odd):
     df = spark.createDataFrame([*rows, (None, rows[0][1])], "doc_id long, text string").withColumn("component_id", F.lit("clash"))
     want = _components(rows)
     # all forests and the blocks after them, regions of two texts at most; and none of it
-    for more in ({}, {"few": 2, "near": 1, "depths": [(4, 32), (8, 114)], "block": 8}):
+    for more in ({}, {"few": 2, "near": 1, "depths": [(4, 32), (8, 114)], "block": 8, "settle": 0}):
         got = neardup.near_duplicates(df, **more).collect()
         assert len(got) == len(rows) + 1
         assert {x["doc_id"]: x["component_id"] for x in got if x["doc_id"] is not None} == want
