@@ -1,12 +1,14 @@
 """Main text of web pages by composite text density (operator 3).
 
 A page becomes a tree of nodes. Each node's density is its characters per tag, lowered by the share of its characters
-and tags that are links. A node's density sum adds up its children's densities; the node with the largest sum is the
-article, and the least density on the path from body to it is the threshold. Elsewhere, subtrees of at least that
-density add the node of their largest sum. Menus, adverts and the like, told by element, role and being hidden, are cut
-out first and take no part in any count. So are forms and what class and id names mark, unless they hold an article or
-main element, or most of the characters outside links (of the page, or of its only article): there the density sums
-decide.
+and tags that are links; marks of mere formatting inside a text count as text. A node's density sum adds up its
+children's densities; the node with the largest sum is the article, and the least density on the path from body to it
+is the threshold. Elsewhere, subtrees of at least that density add the node of their largest sum.
+
+Menus, adverts and the like, told by element, role and being hidden, are cut out first and take no part in any count. So
+are forms and what class and id names mark, unless they hold an article or main element, or most of the characters
+outside links (of the page, or of its only article): there the density sums decide. A name that has a furniture word
+among others, as share-price does, only cuts what is mostly links.
 """
 
 from __future__ import annotations
@@ -35,6 +37,14 @@ WORDS = frozenset(
     "sidebars aside widget widgets footer masthead topbar toolbar comment comments commentlist disqus reply replies respond discussion related recommended "
     "recommendations trending share sharing social".split()
 )
+#: What may stand beside these words in a name of furniture.
+BESIDE = frozenset(
+    "a all area articles bar block bottom box btn button buttons center column container content count extra fixed form global google group header heading holder home horizontal icon icons inline "
+    "inner item items layer left line link links list main more new news outer page panel post posts primary rail region right row secondary section site slot small span sticky stories story strip "
+    "sub super tab text thread title toggle top unit vertical view wrap wrapper zone".split()
+)
+#: Elements that only format the text they stand in.
+FORMATTING = frozenset("abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 KEPT = frozenset("html body main article".split())
 #: An open element of the first kind ends where one of the second begins, unless one of the third stands between.
 IMPLIED = {
@@ -48,7 +58,8 @@ IMPLIED = {
 }
 _SCOPE = frozenset("html body table td th button object".split())
 
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>""")
+#: A quote means something only where it begins a value.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^=>]|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+)>""")
 #: A whole attribute, so that nothing inside a value or a longer name is taken for one.
 _ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>][^\s>]*+)))?""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -61,6 +72,8 @@ class Page:
         self.tags, self.parents, self.cut = ["#root"], [-1], [False]
         #: What marks a node as furniture, if density is not to overrule it: words of its names, or "<form>".
         self.marks: dict[int, set[str]] = {}
+        #: Nodes that a name marks only if they are mostly links.
+        self.hints: set[int] = set()
         #: (node, text) or (node, None) where a block begins or ends, in page order.
         self.pieces: list[tuple[int, str | None]] = []
         self._open = [0]
@@ -103,7 +116,7 @@ class Page:
                 at = close.end() if close else n
 
     def _text(self, text: str) -> None:
-        self.pieces.append((self._open[-1], text))
+        self.pieces.append((self._open[-1], unescape(text) if "&" in text else text))
 
     def _start(self, name: str, attributes: str) -> None:
         if name in BLOCKS:
@@ -130,7 +143,13 @@ class Page:
                 continue
             seen.add(key)
             if key in ("class", "id"):
-                marks.update(w for w in map(str.lower, _WORD.findall(value)) if w in WORDS)
+                for whole in value.split():
+                    words = {w.lower() for w in _WORD.findall(whole)}
+                    if found := words & WORDS:
+                        if words <= WORDS | BESIDE:
+                            marks |= found
+                        else:
+                            self.hints.add(len(self.tags) - 1)
             elif name in KEPT:
                 continue
             elif key == "role":
@@ -174,7 +193,7 @@ class Page:
 
         Not cut are nodes that hold a main or article element (one that is marked itself, as comments are, counts only
         where there is no other), nodes with most of the page's characters, and nodes by a mark whose nodes have most of
-        them together. Where a page has one article, or else one main element, that is the page in this sense: what is
+        them together; a run of text without blocks outvotes nothing. Where a page has one article, or else one main element, that is the page in this sense: what is
         marked apart from it is cut however long.
         """
         n = len(self.tags)
@@ -187,17 +206,21 @@ class Page:
                 held[self.parents[i]] += held[i]
                 holds[self.parents[i]] |= holds[i]
         page = next((x[0] for x in (sound, mains) if len(x) == 1 and held[x[0]]), 0)
+        blocks = [False] * n
+        for i in range(n - 1, 0, -1):
+            blocks[self.parents[i]] |= self.tags[i] in BLOCKS
+            blocks[self.parents[i]] |= blocks[i]
         within = [i == page for i in range(n)]
         for i in range(1, n):
             within[i] |= within[self.parents[i]]
-        found = {i: m for i, m in self.marks.items() if self.tags[i] not in KEPT and not holds[i] and not (within[i] and 2 * held[i] > held[page])}
+        found = {i: m for i, m in self.marks.items() if self.tags[i] not in KEPT and not holds[i] and not (within[i] and blocks[i] and 2 * held[i] > held[page])}
         while True:
             cut, sizes = self.cut[:], {}
             for i in range(1, n):
                 cut[i] |= cut[self.parents[i]]
                 if i in found and not cut[i]:
                     cut[i] = True
-                    for mark in found[i] if within[i] else ():
+                    for mark in found[i] if within[i] and blocks[i] else ():
                         sizes[mark] = sizes.get(mark, 0) + held[i]
             largest = max(sizes, key=lambda mark: (sizes[mark], mark), default="")
             if 2 * sizes.get(largest, 0) <= held[page]:
@@ -222,13 +245,18 @@ class Page:
                     link_chars[node] += size
         if self.marks:
             self._cut_marked([c - lc for c, lc in zip(chars, link_chars, strict=True)])
+        self._cut_hinted(chars, link_chars)
+        up = self.parents[:]  # the next node above that does more than format
         for i in range(n - 1, 0, -1):
             if not self.cut[i]:
                 p = self.parents[i]
                 chars[p] += chars[i]
-                tags[p] += tags[i] + 1
+                tags[p] += tags[i] + (self.tags[i] not in FORMATTING)
                 link_chars[p] += link_chars[i]
                 link_tags[p] += link_tags[i]
+        for i in range(1, n):
+            if self.tags[up[i]] in FORMATTING:
+                up[i] = up[up[i]]
         share = link_chars[0] / max(chars[0], 1)
         density, sums = [0.0] * n, [0.0] * n
         for i in range(n):
@@ -238,36 +266,43 @@ class Page:
                 base = log(c / max(c - lc, 1) * lc + share * c + e)
                 density[i] = c / max(tags[i], 1) * max(log(c / max(lc, 1) * max(tags[i], 1) / max(link_tags[i], 1)), 0) / base
         for i in range(1, n):
-            sums[self.parents[i]] += density[i]
+            if self.tags[i] not in FORMATTING:
+                sums[up[i]] += density[i]
         best, most = list(range(n)), sums[:]
         for i in range(n - 1, 0, -1):
             p = self.parents[i]
             if not self.cut[i] and most[i] > most[p]:
                 most[p], best[p] = most[i], best[i]
-        top = self._whole(best[0])
-        threshold, path = density[top], top
+        top = best[0]
+        threshold, path, above = density[top], top, set()
         while path > 0:
+            above.add(path)
             threshold = min(threshold, density[path]) if self.tags[path] not in ("#root", "html") else threshold
             path = self.parents[path]
         marked = {top}
-        whole = self.tags[top] in ("article", "main")
         seen = [True] + [False] * (n - 1)
         for i in range(1, n):
             seen[i] = seen[self.parents[i]] and (density[i] >= threshold or self.tags[i] in ("html", "body")) and not self.cut[i]
-            if whole and self.tags[i] == "article" and i in self.marks:  # a comment or the like beside the article
+            if self.tags[i] == "article" and i in self.marks and i not in above:  # a comment or the like beside the text
                 seen[i] = False
             if seen[i] and self.tags[i] not in ("html", "body") and chars[i]:
                 marked.add(best[i])
         return marked
 
-    def _whole(self, node: int) -> int:
-        """The article or main element that a node lies in, if any; else the node."""
-        i, found = node, node
-        while i > 0:
-            if self.tags[i] in ("article", "main") and self.tags[found] != "article":
-                found = i
-            i = self.parents[i]
-        return found
+    def _cut_hinted(self, chars: list[int], link_chars: list[int]) -> None:
+        """Cuts hinted nodes whose characters are mostly in links."""
+        if not self.hints:
+            return
+        n = len(self.tags)
+        all_chars, all_links = chars[:], link_chars[:]
+        for i in range(n - 1, 0, -1):
+            if not self.cut[i]:
+                all_chars[self.parents[i]] += all_chars[i]
+                all_links[self.parents[i]] += all_links[i]
+        for i in range(1, n):
+            self.cut[i] |= self.cut[self.parents[i]] or (i in self.hints and self.tags[i] not in KEPT and 2 * all_links[i] > all_chars[i])
+            if self.cut[i]:
+                chars[i] = link_chars[i] = 0
 
     def text(self) -> str:
         """The article's blocks, one to a line."""
@@ -286,7 +321,7 @@ class Page:
                 blocks.append(now)
                 now = []
         blocks.append(now)
-        lines = (" ".join(unescape("".join(b)).split()) for b in blocks)
+        lines = (" ".join("".join(b).split()) for b in blocks)
         return "\n".join(x for x in lines if x)
 
 
