@@ -1,9 +1,10 @@
 """Chat formatting in budgeted windows (operator 10).
 
-Prefix sums of the turns' tokens lay a conversation on a line that is cut every `stride` tokens. Turns that end between
-two cuts form a window; a turn across a cut forms one of its own, so a window exceeds the budget only if a single turn
-does. Each window repeats the system turn and the turns that begin at most `history` tokens before it; the repeated are
-context and stay out of the loss mask, which so covers every assistant text once.
+Prefix sums of the turns' tokens lay a conversation, but for its system turn, on a line that is cut every `stride`
+tokens. Turns that end between two cuts form a window; a turn across a cut forms one of its own. Each window repeats the
+system turn and the turns that begin at most `history` tokens before it; the repeated are context and stay out of the
+loss mask, which so covers every assistant text once. The stride is what the budget leaves beside the history and the
+conversation's own system turn, so a window exceeds the budget only if a single turn is longer than the stride.
 
 A turn is written <|turn|>role<|text|>text<|end|>. A backslash before the second character of any control string inside
 roles and texts, and before every backslash, makes what is written reversible.
@@ -13,11 +14,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .jobs import cut
+
 # The template's marks, and control strings of it and of other templates.
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 CONTROLS = ("<|", "<s>", "</s>", "[INST]", "[/INST]")
-#: Turns of about this many values of `turn` are summed together first.
-BLOCK = 4096
 
 
 def escape(text: Column) -> Column:
@@ -39,13 +40,14 @@ def tokens(text: Column) -> Column:
 def turns(conversations: DataFrame, *, id_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
     """conv, role, text, rank (from 1), size, begin and end (token sums before and through the turn) of every turn.
 
-    Sums are taken within blocks of turns first and over the blocks then, so that a conversation of very many turns is
-    no single task's.
+    The order of all turns is dealt into ranges of even size, each range's sums are taken by itself and then over the
+    ranges, so that a conversation of very many turns, tied or not, is no single task's.
     """
     rows = conversations.select(
         F.col(id_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text")
     )
-    rows = rows.withColumn("size", tokens(F.col("text"))).withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62))))
+    rows = rows.withColumn("size", tokens(F.col("text"))).withColumn("tie", F.xxhash64(F.monotonically_increasing_id()))
+    rows = cut(rows.repartitionByRange("conv", "turn", "role", "text", "tie").drop("tie").withColumn("block", F.spark_partition_id()))
     sums = rows.groupBy("conv", "block").agg(F.sum("size").alias("sum"), F.count("*").alias("n"))
     before = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("conv").alias("c"), F.col("block").alias("b"), F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("sum0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
@@ -58,32 +60,35 @@ def turns(conversations: DataFrame, *, id_col: str, turn_col: str, role_col: str
 
 def windows(
     conversations: DataFrame, *, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
-    budget: int = 2048, history: int = 256, reserve: int = 256,
+    budget: int = 2048, history: int = 256,
 ) -> DataFrame:
     """One row for each window: id_col, window (its order), n_context, n_turns (context included), formatted, loss_spans.
 
     Turns go by turn, ties by role, then text; a null turn comes first, null roles and texts are empty, all turns of a null
-    id are one conversation. A leading turn with the role system is repeated in every later window; reserve are the tokens
-    of the budget kept for it, and budget - history - reserve is the distance of cuts. loss_spans are (start, end) of the
+    id are one conversation. A leading turn with the role system is repeated in every later window if it takes at most
+    half of budget - history; a longer one is a turn like others. The stride is budget - history, less the tokens of a
+    repeated system turn. A window of a turn longer than the stride repeats no history. loss_spans are (start, end) of the
     assistant turns' texts in formatted, as code points, end exclusive, without repeated ones. Rows may repeat; each is a
     turn. No rows give none; other columns are ignored. A text of any length is one turn and is never cut.
     """
-    stride = budget - history - reserve
-    if stride < 1 or history < 1:
-        raise ValueError("budget must exceed history and reserve, and history be positive")
+    if budget - history < 2 or history < 1:
+        raise ValueError("budget must exceed history by two at least, and history be positive")
     rows = turns(conversations, id_col=id_col, turn_col=turn_col, role_col=role_col, text_col=text_col)
-    cell = F.floor((F.col("end") - 1) / stride)
-    rows = rows.withColumn("window", 2 * cell + F.when(F.floor(F.col("begin") / stride) < cell, 0).otherwise(1))
-    rows = rows.select("conv", "window", "rank", "begin", F.col("role"), escape(F.col("role")).alias("r"), escape(F.col("text")).alias("t"))
-    starts = rows.groupBy("conv", "window").agg(F.min("begin").alias("start"), F.min("rank").alias("first"))
-    starts = starts.select(F.col("conv").alias("c"), F.col("window").alias("w"), "start", "first")
-
-    system = rows.where((F.col("rank") == 1) & (F.col("role") == "system")).drop("window", "begin")
-    late = starts.where("first > 1")
-    kept = system.join(late, system.conv.eqNullSafe(late.c)).select("conv", F.col("w").alias("window"), "rank", F.lit(0).alias("new"), "role", "r", "t")
-    near = rows.where((F.col("rank") > 1) | (F.col("role") != "system")).withColumn("cell", F.explode(F.array(F.floor(F.col("begin") / history), F.floor(F.col("begin") / history) + 1)))
-    late = late.withColumn("k", F.floor(F.col("start") / history))
-    match = near["conv"].eqNullSafe(late["c"]) & (near["cell"] == late["k"]) & (near["rank"] < late["first"]) & (near["begin"] + history >= late["start"])
+    rows = rows.select("conv", "rank", "size", "begin", "role", escape(F.col("role")).alias("r"), escape(F.col("text")).alias("t"))
+    rows = cut(rows.withColumn("leads", (F.col("rank") == 1) & (F.col("role") == "system") & (2 * F.col("size") <= budget - history)))
+    system = rows.where("leads").select(F.col("conv").alias("c"), F.col("size").alias("system"))
+    rows = rows.join(system, rows.conv.eqNullSafe(system.c), "left").drop("c").withColumn("system", F.coalesce("system", F.lit(0)))
+    stride = budget - history - F.col("system")
+    rows = rows.withColumn("begin", F.col("begin") - F.col("system")).withColumn("cell", F.floor((F.col("begin") + F.col("size") - 1) / stride))
+    window = F.when(F.col("leads"), 1).otherwise(2 * F.col("cell") + F.when(F.floor(F.col("begin") / stride) < F.col("cell"), 0).otherwise(1))
+    rows = rows.withColumn("window", window.cast("long"))
+    starts = rows.groupBy("conv", "window").agg(F.min("begin").alias("start"), F.min("rank").alias("first"), F.max(F.col("size") > stride).alias("long"))
+    late = cut(starts.where("first > 1").select(F.col("conv").alias("c"), F.col("window").alias("w"), "start", "first", "long", F.floor(F.col("start") / history).alias("k")))
+
+    head = rows.where("leads")
+    kept = head.join(late, head.conv.eqNullSafe(late.c)).select("conv", F.col("w").alias("window"), "rank", F.lit(0).alias("new"), "role", "r", "t")
+    near = rows.where("not leads").withColumn("cell", F.explode(F.array(F.floor(F.col("begin") / history), F.floor(F.col("begin") / history) + 1)))
+    match = near["conv"].eqNullSafe(late["c"]) & (near["cell"] == late["k"]) & (near["rank"] < late["first"]) & (near["begin"] + history >= late["start"]) & ~late["long"]
     repeated = near.join(late, match).select("conv", F.col("w").alias("window"), "rank", F.lit(0).alias("new"), "role", "r", "t")
     fresh = rows.select("conv", "window", "rank", F.lit(1).alias("new"), "role", "r", "t")
 

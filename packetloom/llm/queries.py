@@ -161,12 +161,13 @@ OP10_SQL = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 s AS (SELECT *, CAST(ceil(strlen(text) / 4.0) AS BIGINT) + 4 AS size, row_number() OVER w AS rank FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
-p AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY rank) - size AS b FROM s),
+y AS (SELECT *, max(CASE WHEN rank = 1 AND role = 'system' AND 2 * size <= 1792 THEN size ELSE 0 END) OVER (PARTITION BY conv_id) AS sys FROM s),
+p AS (SELECT *, 1792 - sys AS stride, rank = 1 AND sys > 0 AS leads, sum(size) OVER (PARTITION BY conv_id ORDER BY rank) - size - sys AS b FROM y),
 l AS (SELECT *, 23 + length(replace(replace(replace(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]'))
          + length(replace(replace(replace(replace(replace(replace(text, '\', '\\'), '<|', '<\|'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]')) AS chars,
-         2 * ((b + size - 1) // 1536) + CASE WHEN b // 1536 < (b + size - 1) // 1536 THEN 0 ELSE 1 END AS win FROM p),
-w AS (SELECT conv_id, win, min(b) AS start, min(rank) AS first FROM l GROUP BY ALL),
-again AS (SELECT l.conv_id, sum(l.chars) AS chars FROM l JOIN w ON l.conv_id = w.conv_id AND l.rank < w.first AND (l.b + 256 >= w.start OR (l.rank = 1 AND l.role = 'system')) GROUP BY ALL),
+         CASE WHEN leads THEN 1 ELSE 2 * ((b + size - 1) // stride) + CASE WHEN b // stride < (b + size - 1) // stride THEN 0 ELSE 1 END END AS win FROM p),
+w AS (SELECT conv_id, win, min(b) AS start, min(rank) AS first, bool_or(size > stride) AS long FROM l GROUP BY ALL),
+again AS (SELECT l.conv_id, sum(l.chars) AS chars FROM l JOIN w ON l.conv_id = w.conv_id AND l.rank < w.first AND (l.leads OR (l.b + 256 >= w.start AND NOT w.long)) GROUP BY ALL),
 t AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY rank)) AS turns_sha256,
   coalesce(string_agg(text, '' ORDER BY rank) FILTER (role = 'assistant'), '') AS loss, sum(chars) AS chars FROM l GROUP BY conv_id)
 SELECT t.conv_id, n_turns, turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(t.chars + coalesce(again.chars, 0) AS BIGINT) AS formatted_chars FROM t LEFT JOIN again USING (conv_id)

@@ -356,12 +356,11 @@ def test_chat(spark):
     rows += [(3, 5, "assistant", "tied"), (3, 5, "assistant", "tied"), (3, None, "user", "no turn")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     found = defaultdict(list)
-    out = chat.windows(df, budget=256, history=48, reserve=32).withColumn("turns", chat.read_back(F.col("formatted"))).withColumn("loss", chat.learned(F.col("formatted"), F.col("loss_spans")))
+    out = chat.windows(df, budget=256, history=48).withColumn("turns", chat.read_back(F.col("formatted"))).withColumn("loss", chat.learned(F.col("formatted"), F.col("loss_spans")))
     for x in out.orderBy("conv_id", "window").collect():
         found[x["conv_id"]].append(x)
-        spoken = [t for t in x["turns"] if t["role"] != "system"]
-        sizes = [-(-len(t["text"].encode()) // 4) + 4 for t in spoken]
-        assert sum(sizes) <= 256 or x["n_turns"] - x["n_context"] == 1
+        sizes = [-(-len(t["text"].encode()) // 4) + 4 for t in x["turns"]]  # the system turn's as well
+        assert sum(sizes) <= 256 or (x["n_turns"] - x["n_context"] == 1 and sizes[-1] > 256 - 48 - (sizes[0] if x["turns"][0]["role"] == "system" else 0))
     for conv in (1, 2, 3, None):
         mine = sorted(((-1 if t is None else t, role or "", s or "") for c, t, role, s in rows if c == conv))
         turns = [t for x in found[conv] for t in x["turns"][x["n_context"] :]]
@@ -372,6 +371,23 @@ def test_chat(spark):
     assert chat.windows(df.limit(0)).count() == 0
 
 
+def test_chat_keeps_the_budget_beside_any_system_turn(spark):
+    """No window of turns below the stride exceeds it, whatever the system turn's size; tied and null turns are spread."""
+    rows = [(c, 0, "system", "s" * n) for c, n in enumerate((0, 400, 3000, 3500, 3568, 3580, 8000))]
+    rows += [(c, t, "user" if t % 2 else "assistant", "x" * (800 if c != 1 else 37 * t)) for c in range(7) for t in range(1, 60)]
+    out = chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).withColumn("turns", chat.read_back(F.col("formatted"))).collect()
+    for x in out:
+        sizes = [-(-len(t["text"]) // 4) + 4 for t in x["turns"]]
+        assert sum(sizes) <= 2048 or (len(sizes) == 1 and sizes[0] > 2048)
+    for c in range(7):
+        led = [x["turns"][0]["role"] == "system" for x in out if x["conv_id"] == c]
+        assert sum(led) == (len(led) if c < 5 else 1) and len(led) > 1
+    tied = spark.createDataFrame([(None, None if i % 3 else i % 7, "user", f"t{i % 5}") for i in range(20_000)], "conv_id long, turn long, role string, text string")
+    ranked = chat.turns(tied.repartition(4), id_col="conv_id", turn_col="turn", role_col="role", text_col="text")
+    assert sorted(r["rank"] for r in ranked.collect()) == [*range(1, 20_001)]
+    assert ranked.agg(F.max("end")).head()[0] == 20_000 * 5
+
+
 def test_pipeline_by_hand(spark):
     import corpus_pipeline
 
