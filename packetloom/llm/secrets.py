@@ -1,10 +1,11 @@
 """Secret scans by two character Markov models (operator 6).
 
-Three patterns find what looks like a secret by its form. Their findings are also the labelled samples that two
-first-order character models are trained on: one of random strings, one of the ordinary identifiers around them. Any
+Three patterns find what looks like a secret by its form. Values they find are also the labelled samples that a
+first-order character model of random strings is trained on, beside one of the ordinary identifiers around them. Any
 other long run of identifier characters whose log-likelihood ratio favours random strings is a further finding.
 
-Everything is DataFrame functions. Places come from the pieces that splitting by a pattern leaves between its matches.
+Everything is DataFrame functions. Places come from the pieces that splitting by a pattern leaves between its matches,
+by running sums that are taken in chunks, so that the work grows in proportion to a text's findings.
 """
 
 from __future__ import annotations
@@ -24,27 +25,55 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 IDENTIFIER = r"[A-Za-z0-9+/_=-]"
 #: Runs of identifier characters of this length are judged by the models.
 LEAST_RUN = 16
-#: Mean log-likelihood ratio, in bits a character, from which a run is random.
-LEAST_BITS = 0.5
+#: Log-likelihood ratio of a whole run, in bits, from which it is random: it outweighs odds of one secret in a million runs.
+LEAST_BITS = 20.0
+#: Elements of an array that are summed one after another, and code points of a text that are redacted at once.
+CHUNK, PIECE = 128, 8192
 _SPAN = "array<struct<start:int,kind_no:int,kind:string,end:int>>"
 
 
-def _spans(text: Column, pattern: str, kind_no: int, kind: str, group: int, least: int) -> Column:
-    """Spans of the leftmost matches of a pattern whose group has the least length; code points, end exclusive."""
-    regex = F.lit(pattern)
-    matches = F.regexp_extract_all(text, regex, F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    sizes = F.regexp_extract_all(text, regex, F.lit(group)) if group else matches
-    rows = F.arrays_zip(F.transform(matches, lambda m: F.length(m)).alias("m"), F.transform(F.slice(gaps, 1, F.size(matches)), lambda g: F.length(g)).alias("g"), F.transform(sizes, lambda g: F.length(g)).alias("n"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("found"))
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _running(values: Column, op, first: int) -> Column:
+    """op (a sum, maximum or minimum) over each whole number of an array and all before it, in chunks."""
+    last = lambda xs: F.coalesce(F.try_element_at(xs, F.lit(-1)), F.lit(first))
+
+    def fold(xs: Column, begin: Column) -> Column:
+        return F.aggregate(xs, begin, lambda done, x: F.concat(done, F.array(op(last(done), x).cast("int"))))
+
+    def chunks(xs: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(xs), F.lit(1)) - 1) / CHUNK).cast("int")), lambda i: fold(F.slice(xs, i * CHUNK + 1, CHUNK), F.array().cast("array<int>")))
+
+    def joined(parts: Column) -> Column:
+        before = fold(F.transform(parts, last), F.array(F.lit(first)))
+        return F.flatten(F.zip_with(parts, F.slice(before, F.lit(1), F.size(parts)), lambda part, b: F.transform(part, lambda x: op(b, x).cast("int"))))
+
+    return _let(_let(values, chunks), joined)
+
+
+def _matches(text: Column, pattern: str) -> Column:
+    """(start, string) of the leftmost matches of a pattern; code points."""
+
+    def placed(found: Column) -> Column:
+        before = F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), lambda g: F.length(g))
+        ends = _running(F.zip_with(before, found, lambda g, m: g + F.length(m)), lambda a, b: a + b, 0)
+        return F.zip_with(ends, found, lambda e, m: F.struct((e - F.length(m)).alias("start"), m.alias("string")))
+
+    none = F.array().cast("array<struct<start:int,string:string>>")
+    return F.when(text.rlike(pattern), _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)).otherwise(none)
 
-    def step(done: Column, x: Column) -> Column:
-        begin = done["at"] + x["g"]
-        end = begin + x["m"]
-        span = F.struct(begin.alias("start"), F.lit(kind_no).alias("kind_no"), F.lit(kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(x["n"] >= least, F.concat(done["found"], F.array(span))).otherwise(done["found"]).alias("found"))
 
-    return F.when(text.rlike(pattern), F.aggregate(rows, start, step, lambda x: x["found"])).otherwise(F.array().cast(_SPAN))
+def _as_spans(matches: Column, kind_no: int, kind: str) -> Column:
+    return F.transform(matches, lambda m: F.struct(m["start"].alias("start"), F.lit(kind_no).alias("kind_no"), F.lit(kind).alias("kind"), (m["start"] + F.length(m["string"])).alias("end"))).cast(_SPAN)
+
+
+def _spans(text: Column, pattern: str, kind_no: int, kind: str, group: int, least: int) -> Column:
+    """Spans of the leftmost matches of a pattern whose group has the least length; code points, end exclusive."""
+    value = lambda m: F.regexp_extract(m["string"], pattern, group) if group else m["string"]
+    return _as_spans(F.filter(_matches(text, pattern), lambda m: F.length(value(m)) >= least), kind_no, kind)
 
 
 def base_spans(text: Column) -> Column:
@@ -53,7 +82,18 @@ def base_spans(text: Column) -> Column:
 
 
 def _outside(spans: Column, others: Column) -> Column:
-    return F.filter(spans, lambda s: ~F.exists(others, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])))
+    """The spans that overlap none of the others: by the farthest end of others from before, and the next start after."""
+    far = 1 << 30
+    tagged = F.concat(F.transform(others, lambda o: F.struct(o["start"].alias("at"), F.lit(0).alias("mine"), o.alias("span"))), F.transform(spans, lambda s: F.struct(s["start"].alias("at"), F.lit(1).alias("mine"), s.alias("span"))))
+
+    def judged(events: Column) -> Column:
+        reach = _running(F.transform(events, lambda e: F.when(e["mine"] == 0, e["span"]["end"]).otherwise(-1)), F.greatest, -1)
+        ahead = F.reverse(_running(F.reverse(F.transform(events, lambda e: F.when(e["mine"] == 0, e["at"]).otherwise(far))), F.least, far))
+        rows = F.arrays_zip(events.alias("e"), reach.alias("reach"), ahead.alias("ahead"))
+        clear = F.filter(rows, lambda r: (r["e"]["mine"] == 1) & (r["reach"] <= r["e"]["at"]) & (r["ahead"] >= r["e"]["span"]["end"]))
+        return F.transform(clear, lambda r: r["e"]["span"])
+
+    return F.when((F.size(spans) == 0) | (F.size(others) == 0), spans).otherwise(_let(F.array_sort(tagged), judged))
 
 
 def _long(strings: Column, least: int) -> Column:
@@ -67,15 +107,17 @@ def count_kind(spans: Column, kind: str) -> Column:
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 5000) -> list[float]:
     """The log-likelihood ratio, in bits, of each pair of neighbours, row by row over the alphabet and one place for the rest.
 
-    Labelled strings: what the patterns find is random, runs of four or more identifier characters elsewhere are ordinary.
+    Labelled strings: values and access keys that the patterns find are random (hexadecimal runs aren't taken: their sixteen
+    characters say nothing of others), runs of four or more identifier characters elsewhere are ordinary.
     They are taken from about sample_rows documents at most, chosen by a hash of the id. Counts by label and pair (at most
-    twice the table) reach the driver. Without samples every pair is as likely as any other.
+    twice the table) reach the driver. Without samples, as of an empty table, every pair is as likely as any other. Null and
+    empty texts give no samples; repeated rows count each time; documents that share an id are all taken or none.
     """
     rows = docs.count()
     some = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     if rows > sample_rows:
         some = some.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * (sample_rows / rows)))
-    values = F.concat(*[_long(F.regexp_extract_all("text", F.lit(pattern), F.lit(group)), least) for _, pattern, group, least in KINDS])
+    values = F.concat(*[_long(F.regexp_extract_all("text", F.lit(pattern), F.lit(group)), least) for kind, pattern, group, least in KINDS if kind != "hex"])
     rest = F.col("text")
     for _, pattern, _, _ in KINDS:
         rest = F.regexp_replace(rest, pattern, " ")
@@ -95,7 +137,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sa
 
 
 def _bits(token: Column, table: list[float]) -> Column:
-    """The mean log-likelihood ratio of a token's pairs of neighbours."""
+    """The log-likelihood ratio of a token, summed over its pairs of neighbours."""
     k = len(ALPHABET) + 1
     ratios = F.split(F.lit(",".join(map(str, table))), ",").cast("array<double>")
     start = F.struct(F.lit(-1).alias("before"), F.lit(0.0).alias("bits"))
@@ -106,7 +148,7 @@ def _bits(token: Column, table: list[float]) -> Column:
         more = F.when(done["before"] < 0, F.lit(0.0)).otherwise(F.get(ratios, done["before"] * k + place))
         return F.struct(place.alias("before"), (done["bits"] + more).alias("bits"))
 
-    return F.aggregate(F.split(token, ""), start, step, lambda x: x["bits"]) / F.greatest(F.length(token) - 1, F.lit(1))
+    return F.aggregate(F.split(token, ""), start, step, lambda x: x["bits"])
 
 
 def scan(docs: DataFrame, table: list[float], *, text_col: str = "text") -> DataFrame:
@@ -119,13 +161,10 @@ def scan(docs: DataFrame, table: list[float], *, text_col: str = "text") -> Data
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = docs.drop("base_spans", "spans")
-    runs = _spans(text, IDENTIFIER + f"{{{LEAST_RUN},}}+", len(KINDS), RANDOM, 0, LEAST_RUN)
-    judged = F.filter(
-        _outside(F.col("_runs"), F.col("base_spans")),
-        lambda s: F.substr(text, s["start"] + 1, s["end"] - s["start"]).rlike("[A-Za-z]") & (_bits(F.substr(text, s["start"] + 1, s["end"] - s["start"]), table) >= LEAST_BITS),
-    )
-    found = docs.withColumn("base_spans", base_spans(text)).withColumn("_runs", runs)
-    return found.withColumn("spans", F.array_sort(F.concat("base_spans", judged))).drop("_runs")
+    runs = _matches(text, IDENTIFIER + f"{{{LEAST_RUN},}}+")
+    judged = _as_spans(F.filter(runs, lambda m: m["string"].rlike("[A-Za-z]") & (_bits(m["string"], table) >= LEAST_BITS)), len(KINDS), RANDOM)
+    found = docs.withColumn("base_spans", base_spans(text))
+    return found.withColumn("spans", F.array_sort(F.concat("base_spans", _outside(judged, F.col("base_spans")))))
 
 
 def listed(spans: Column) -> Column:
@@ -134,13 +173,27 @@ def listed(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """text with every span, or run of overlapping spans, replaced by a mark; spans in order of start."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """text with every span, or run of overlapping spans, replaced by a mark; spans in order of start.
+
+    Done piece by piece of the text; a span that goes on from one piece to the next is marked where it begins.
+    """
+
+    def piece(i: Column) -> Column:
+        low, high = i * PIECE, (i + 1) * PIECE
+
+        def written(part: Column) -> Column:
+            def step(done: Column, s: Column) -> Column:
+                begin, end = F.greatest(s["start"] - low, F.lit(0)), F.least(s["end"] - low, F.lit(PIECE))
+                before = F.substr(part, done["at"] + 1, F.greatest(begin - done["at"], F.lit(0)))
+                # a mark where a span begins that no span before it reaches
+                opens = (s["start"] >= low) & (s["start"] >= done["reach"])
+                out = F.concat(done["out"], before, F.when(opens, F.lit(mark)).otherwise(F.lit("")))
+                return F.struct(F.greatest(done["at"], end).alias("at"), F.greatest(done["reach"], s["end"]).alias("reach"), out.alias("out"))
+
+            start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("reach"), F.lit("").alias("out"))
+            return F.aggregate(F.filter(spans, lambda s: (s["start"] < high) & (s["end"] > low)), start, step, lambda x: F.concat(x["out"], F.substr(part, x["at"] + 1, F.lit(PIECE))))
 
-    def step(done: Column, s: Column) -> Column:
-        before = F.substr(text, done["at"] + 1, F.greatest(s["start"] - done["at"], F.lit(0)))
-        out = F.when(s["start"] >= done["at"], F.concat(done["out"], before, F.lit(mark))).otherwise(done["out"])
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), out.alias("out"))
+        return _let(F.substr(text, low + 1, F.lit(PIECE)), written)
 
-    done = F.aggregate(spans, start, step, lambda x: F.concat(x["out"], F.substr(text, x["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.length(text) - 1, F.lit(0)) / PIECE).cast("int")), piece)
+    return F.when(F.size(spans) > 0, F.array_join(pieces, "")).otherwise(text)
