@@ -1,11 +1,12 @@
 """Exact top-k inner-product search by dual cover trees (operator 5).
 
-Distinct vectors are dealt into cells around pivots and cells into blocks of bounded size. Every block of candidates and
-every group of queries holds a cover tree: a node is a vector, a radius that covers all below it, and children around
-vectors of its own, about half as wide. A pair of nodes is dropped if the largest inner product their centres and radii
-allow is below the worst k-th score of any query in the group's node; else the wider node is split, and pairs of leaves
-are scored. A first round searches each query's own cell, so that the second knows a k-th score to prune whole blocks
-with. Results of all blocks are merged by a ranked window, whose first half runs before the shuffle.
+Distinct vectors are dealt into cells around pivots, as many as the table asks for, and cells into blocks of bounded
+size. Every block of candidates and every group of queries holds a cover tree: a node has children around vectors of its
+own that stand farther apart than half its radius and cover all of it within that. A pair of nodes is dropped if the
+largest inner product that centres and radii allow is below the worst k-th score of any query in the group's node; what
+that leaves is held, by the same radius, against each query's own k-th score. Else the wider node is split, and pairs of
+leaves are scored. A first round searches each query's own cell, so that the second knows a k-th score to prune whole
+cells with. Results of all blocks are merged by a ranked window, whose first half runs before the shuffle.
 """
 
 from __future__ import annotations
@@ -16,62 +17,67 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .jobs import cut
 
-LEAF = 128
+LEAF = 64
 
 
 class CoverTree:
-    """Nodes in arrays: rows[low[i]:high[i]] are the vectors below node i, centre[i] one of them, radius[i] covers them."""
+    """Nodes in arrays: rows[low[i]:high[i]] are the vectors below node i; a ball around centre[i] with radius[i] covers them.
+
+    The tree grows by vectors that cover its nodes; the ball kept of each for pruning is the one around its mean.
+    """
 
     def __init__(self, vectors: np.ndarray):
         self.rows = np.arange(len(vectors))
         self.low, self.high, self.centre, self.radius, self.children = [], [], [], [], []
         self._build(vectors)
 
-    def _add(self, vectors: np.ndarray, low: int, high: int, centre: int) -> int:
-        apart = np.sqrt(((vectors[self.rows[low:high]] - vectors[centre]) ** 2).sum(axis=1))
+    def _add(self, vectors: np.ndarray, low: int, high: int) -> int:
+        own = vectors[self.rows[low:high]]
+        centre = own.mean(axis=0)
         self.low.append(low)
         self.high.append(high)
         self.centre.append(centre)
-        self.radius.append(float(apart.max()))
+        # a little more than the radius, for a mean is rounded
+        self.radius.append(float(np.sqrt(((own - centre) ** 2).sum(axis=1).max())) * (1 + 1e-9) + 1e-9)
         self.children.append([])
         return len(self.low) - 1
 
     def _build(self, vectors: np.ndarray) -> None:
-        todo = [self._add(vectors, 0, len(vectors), 0)] if len(vectors) else []
+        todo = [(self._add(vectors, 0, len(vectors)), 0)] if len(vectors) else []
         while todo:
-            node = todo.pop()
+            node, cover = todo.pop()
             low, high = self.low[node], self.high[node]
-            if high - low <= LEAF or self.radius[node] == 0:
+            if high - low <= LEAF:
                 continue
-            # children: centres farther apart than half the radius, as far as eight; each row goes to the nearest
+            # children: vectors farther apart than half the covering radius until they cover all within it, or are too many
             rows = self.rows[low:high]
-            centres, nearest = [self.centre[node]], np.full(high - low, np.inf)
-            owner = np.zeros(high - low, np.int64)
-            while True:
+            nearest, owner, centres = ((vectors[rows] - vectors[cover]) ** 2).sum(axis=1), np.zeros(high - low, np.int64), [cover]
+            reach = nearest.max()
+            if reach == 0:
+                continue
+            while len(centres) < 2 or (nearest.max() > reach / 4 and len(centres) * 16 < high - low):
+                centres.append(int(rows[nearest.argmax()]))
                 apart = ((vectors[rows] - vectors[centres[-1]]) ** 2).sum(axis=1)
                 closer = apart < nearest
                 nearest[closer], owner[closer] = apart[closer], len(centres) - 1
-                far = int(nearest.argmax())
-                if len(centres) > 1 and (len(centres) == 8 or nearest[far] <= (self.radius[node] / 2) ** 2):
-                    break
-                centres.append(int(rows[far]))
-            order = np.argsort(owner, kind="stable")
-            self.rows[low:high] = rows[order]
+            self.rows[low:high] = rows[np.argsort(owner, kind="stable")]
             ends = low + np.cumsum(np.bincount(owner, minlength=len(centres)))
             for c, a, b in zip(centres, [low, *ends[:-1].tolist()], ends.tolist(), strict=True):
                 if b > a:
-                    child = self._add(vectors, a, b, c)
+                    child = self._add(vectors, a, b)
                     self.children[node].append(child)
-                    todo.append(child)
+                    todo.append((child, c))
 
 
-def search(queries: np.ndarray, vectors: np.ndarray, ids: list[np.ndarray], k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search(queries: np.ndarray, vectors: np.ndarray, ids: list[np.ndarray], k: int, floor: np.ndarray, scored: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, id, score) of each query's k best ids among vectors, if at least its floor; ids[i] are vector i's, ascending.
 
-    Scores tie in favour of the smaller id. Vectors hold whole numbers whose products are exact in doubles.
+    scored, if given, is added the number of pairs that were scored. Scores tie in favour of the smaller id. Vectors hold whole numbers whose products are exact in doubles.
     """
     left, right = CoverTree(queries), CoverTree(vectors)
-    norm_q, norm_v = np.sqrt((queries**2).sum(axis=1)), np.sqrt((vectors**2).sum(axis=1))
+    norm_q = np.sqrt((queries**2).sum(axis=1))
+    centres_q, centres_v = np.array(left.centre), np.array(right.centre)
+    apart_q, apart_v = np.sqrt((centres_q**2).sum(axis=1)), np.sqrt((centres_v**2).sum(axis=1))
     # ids and vectors in the tree's order, so that a leaf's are a slice
     ordered = [ids[r] for r in right.rows]
     counts = np.array([len(x) for x in ordered])
@@ -81,9 +87,8 @@ def search(queries: np.ndarray, vectors: np.ndarray, ids: list[np.ndarray], k: i
     worst = floor.astype(np.float64).copy()
 
     def bound(a: int, b: int) -> float:
-        q, v = left.centre[a], right.centre[b]
         ra, rb = left.radius[a], right.radius[b]
-        return float(queries[q] @ vectors[v]) + norm_q[q] * rb + norm_v[v] * ra + ra * rb
+        return float(centres_q[a] @ centres_v[b]) + apart_q[a] * rb + apart_v[b] * ra + ra * rb
 
     todo = [(bound(0, 0), 0, 0)]
     while todo:
@@ -91,6 +96,10 @@ def search(queries: np.ndarray, vectors: np.ndarray, ids: list[np.ndarray], k: i
         mine = left.rows[left.low[a] : left.high[a]]
         if most < worst[mine].min() - 1e-6:
             continue
+        # the same radius against each query by itself
+        mine = mine[queries[mine] @ centres_v[b] + norm_q[mine] * right.radius[b] >= worst[mine] - 1e-6]
+        if not len(mine):
+            continue
         split_a, split_b = left.children[a], right.children[b]
         if split_a and (not split_b or left.radius[a] > right.radius[b]):
             pairs = [(bound(x, b), x, b) for x in split_a]
@@ -99,6 +108,8 @@ def search(queries: np.ndarray, vectors: np.ndarray, ids: list[np.ndarray], k: i
         else:
             low, high = right.low[b], right.high[b]
             scores = queries[mine] @ placed[low:high].T
+            if scored is not None:
+                scored.append(scores.size)
             if not single:
                 scores = np.repeat(scores, counts[low:high], axis=1)
             query, vector = np.nonzero(scores >= worst[mine][:, None])
@@ -167,24 +178,27 @@ def _ranked(results: DataFrame, k: int) -> DataFrame:
 
 
 def top_k(
-    embeddings: DataFrame, is_query, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, scale: int = 64, cells: int = 64, block: int = 4096, group: int = 1024,
+    embeddings: DataFrame, is_query, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, scale: int = 64, cells: int = 4096, block: int = 4096, group: int = 1024,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row for which is_query holds, the k other rows of largest inner product.
 
     Components become floor(scale * x) first; ties go to the smaller id; a query with fewer than k other rows gets them
     all. Rows whose vector is null or holds a null or non-finite component, or whose id is null, take no part. Shorter
-    vectors count as if filled with zeros. Rows that repeat an id and vector count once. No rows give none; other columns are ignored.
-    Whole components must stay below 2**23, so that scores are exact in doubles; larger ones raise an error.
+    vectors count as if filled with zeros. Rows that repeat an id count once; of different vectors the smallest counts, compared
+    component by component. No rows give none; other columns are ignored. Whole components must stay below 2**23, so that
+    scores are exact in doubles: a larger one, which would make any score that it enters inexact, fails the job with an error.
 
     Equal vectors are one candidate that holds its k + 1 smallest ids, all that any query can need. Pivots are at
     most `cells` vectors, about one for every half a block; blocks and groups hold about `block` and `group` vectors,
-    and what every task gets is one group and one block.
+    and what every task gets is one group and one block. A block is copied once for each group that may find something in
+    its cell, which is one copy of a vector for about `group` scores.
     """
     whole = F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * scale).cast("double"))
     fine = F.col(vector_col).isNotNull() & F.col(id_col).isNotNull() & F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = embeddings.where(fine).select(F.col(id_col).cast("long").alias("id"), whole.alias("v"), is_query.alias("is_query"))
     rows = rows.withColumn("v", F.when(F.exists("v", lambda x: F.abs(x) >= 2**23), F.raise_error(F.lit("a component is too large"))).otherwise(F.col("v")))
-    ranked = rows.select("id", "v").distinct().withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1)
+    rows = rows.groupBy("id").agg(F.min("v").alias("v"), F.bool_or("is_query").alias("is_query"))
+    ranked = rows.select("id", "v").withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1)
     distinct = cut(ranked.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")))
     cells = max(1, min(cells, distinct.count() // (block // 2)))
     pivots = [np.array(r["v"]) for r in distinct.select("v").orderBy(F.xxhash64("v")).limit(cells).collect()]  # bounded by cells
@@ -208,7 +222,8 @@ def top_k(
     about = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("apart").alias("radius")).collect()  # at most `cells` rows
     blocks = {r["cell"]: -(-r["n"] // block) for r in about}
     radius = {r["cell"]: r["radius"] for r in about}
-    in_block = F.pmod(F.xxhash64("v"), F.get(F.array(*[F.lit(blocks.get(c, 1)) for c in range(len(pivots))]), F.col("cell"))).cast("int")
+    numbers = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<int>")
+    in_block = F.pmod(F.xxhash64("v"), F.get(numbers(blocks.get(c, 1) for c in range(len(pivots))), F.col("cell"))).cast("int")
     candidates = placed.select("v", "ids", "cell", in_block.alias("block"))
 
     # one query for each distinct vector that any query row has; its floor is what the round before has found
@@ -216,7 +231,7 @@ def top_k(
     queries = cut(placed.join(asked.select("v").distinct(), "v", "left_semi").withColumn("q", F.element_at("ids", 1)).select("q", "v", "cell", "norm"))
     deal = {r["cell"]: r["n"] for r in queries.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # at most `cells` rows
     first_group, groups = _groups(centres, deal, group)
-    place = lambda xs: F.get(F.array(*map(F.lit, xs)), F.col("cell"))
+    place = lambda xs: F.get(numbers(xs), F.col("cell"))
     in_group = (place(first_group) + F.pmod(F.xxhash64("q"), place(groups))).cast("int")
     queries = queries.withColumn("group", in_group).withColumn("home", F.col("cell"))
 
@@ -228,7 +243,7 @@ def top_k(
         left, right = routed.groupBy("group", "cell", "block"), copies.groupBy("group2", "cell2", "block2")
         return left.cogroup(right).applyInPandas(_searched(k + 1), "q long, vec_id long, score long")
 
-    block_counts = F.array(*[F.lit(blocks.get(c, 0)) for c in range(len(pivots))])
+    block_counts = numbers(blocks.get(c, 0) for c in range(len(pivots)))
     each_block = lambda cell: F.sequence(F.lit(0), F.get(block_counts, cell) - 1)
     first = cut(_ranked(sought(queries.withColumn("floor", F.lit(float("-inf"))).withColumn("block", F.explode(each_block(F.col("cell"))))), k + 1))
     floors = first.groupBy("q").agg(F.when(F.count("*") == k + 1, F.min("score")).cast("double").alias("floor"))

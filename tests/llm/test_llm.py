@@ -216,11 +216,28 @@ def test_top_k_against_all_pairs(spark):
         want = sorted(((-int(s), i) for i, s in zip(ids, scores, strict=True) if i != q))[:20]
         assert got[q] == [(i, -s) for s, i in want]
     assert set(got) == {i for i in ids if i % 20 == 0}
+    twice = spark.createDataFrame([(0, [1.0, 2.0]), (0, [0.5, 9.0]), (0, [0.5, 9.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [(x["vec_id"], x["score"]) for x in topk.top_k(twice, F.col("vec_id") == 0).orderBy("rank").collect()] == [(2, 64 * 9 * 64), (1, 32 * 64)]
     few = topk.top_k(df.where("vec_id in (0, 1, 2)"), F.col("vec_id") == 0)
     assert [x["rank"] for x in few.orderBy("rank").collect()] == [1, 2]
     assert topk.top_k(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_cover_trees_prune_most_of_clustered_vectors():
+    """Whole results with a small share of the pairs scored; also for an id that has several vectors."""
+    r = np.random.default_rng(12)
+    middle = r.normal(0, 40, (40, 32))
+    vectors = np.floor(middle[np.arange(4000) % 40] + r.normal(0, 6, (4000, 32)))
+    queries, ids, scored = vectors[::20], [np.array([i]) for i in range(4000)], []
+    q, found, scores = topk.search(queries, vectors, ids, 21, np.full(200, -np.inf), scored)
+    share = sum(scored) / (200 * 4000)
+    print("share of pairs scored", share)
+    assert share < 0.5
+    for i, x in enumerate(queries):
+        want = sorted((-int(s), j) for j, s in enumerate(vectors @ x))[:21]
+        assert sorted((-int(s), int(j)) for j, s in zip(found[q == i], scores[q == i], strict=True)) == want
+
+
 def _base(t):
     t = t or ""
     found = [(m.start(), 0, "assign", m.end()) for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 6]
