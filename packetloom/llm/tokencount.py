@@ -3,8 +3,9 @@
 A SentencePiece BPE model without pieces that hold a space mark after another character can't merge across the start
 of a run of spaces, so a text's count is the sum over its pre-tokens (a run of spaces and what follows it). Offline,
 before any text is seen, every vocabulary string that starts with one space mark is encoded alone: those that come back
-as one token are whole-token strings. A pre-token among them counts 1 without further work; only the rest is merged,
-once for each distinct pre-token a task meets while it stays in a bounded table.
+as one token are whole-token strings. A pre-token among them counts 1 without further work; only the rest is merged (by
+the library's encoder), once for each distinct pre-token a task meets while it stays in a table of bounded entries and
+bytes. Long ones, as whole texts without spaces are, are merged where they occur and not held.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from . import text as tx
 #: The mark that SentencePiece writes for a space.
 MARK = "▁"
 _RUNS = re.compile(" +[^ ]*")
+#: Characters of the longest pre-token that a table holds.
+LONGEST = 32
 
 
 def whole_tokens(model: sentencepiece.SentencePieceProcessor) -> set[str]:
@@ -45,22 +48,29 @@ class PreTokens(dict):
         super().__init__(dict.fromkeys(whole, 1))
         self.model, self.whole, self.room = model, whole, room
         self.old: dict[str, int] = {}
+        self.long: dict[str, int] = {}
+
+    def __missing__(self, key: str) -> int:
+        return self.long[key]
 
     def learn(self, found: set[str]) -> None:
-        """Merge the pre-tokens that aren't held yet, all at once."""
+        """Merge the pre-tokens that aren't held yet, all at once; the long ones are known until the next call."""
+        self.long = self._merged([p for p in found if len(p) > LONGEST and p not in self])
+        found = {p for p in found if len(p) <= LONGEST}
         if len(self) + len(found) > self.room + len(self.whole):
-            self.old = dict(self)
-            self.clear()
-            self.update(dict.fromkeys(self.whole, 1))
+            self._renew({p: n for p, n in self.items() if p not in self.whole})
         new = found - self.keys()
         again = new & self.old.keys()
         self.update((p, self.old[p]) for p in again)
-        new = [*(new - again)]
-        blank = [p for p in new if not p.strip(" ")]
-        if blank:  # spaces at the end of a text, which the library takes only after something else
-            self.update((p, len(self.model.encode("a " + p)) - len(self.model.encode("a"))) for p in blank)
-            new = [p for p in new if p.strip(" ")]
-        self.update(zip(new, map(len, self.model.encode(new, num_threads=1)), strict=True))
+        self.update(self._merged([*(new - again)]))
+
+    def _merged(self, new: list[str]) -> dict[str, int]:
+        """Tokens of each of some pre-tokens."""
+        # spaces at the end of a text, which the library takes only after something else
+        out = {p: len(self.model.encode("a " + p)) - len(self.model.encode("a")) for p in new if not p.strip(" ")}
+        new = [p for p in new if p not in out]
+        out.update(zip(new, map(len, self.model.encode(new, num_threads=1)), strict=True))
+        return out
 
     def counts(self, texts: list[str]) -> list[int]:
         """Tokens of each text."""
@@ -73,7 +83,15 @@ class PreTokens(dict):
             else:
                 parts.append(text.split(" ") if text else [])
         self.learn(set().union(*parts))
-        return [sum(map(self.__getitem__, p)) for p in parts]
+        sums = [sum(map(self.__getitem__, p)) for p in parts]
+        if len(self) > self.room + len(self.whole):  # one long text of many pre-tokens
+            self._renew({})
+        return sums
+
+    def _renew(self, old: dict[str, int]) -> None:
+        self.old = old
+        self.clear()
+        self.update(dict.fromkeys(self.whole, 1))
 
 
 _loaded: dict[bytes, PreTokens] = {}
@@ -95,7 +113,7 @@ def count_tokens(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", te
     Counts equal the library's, without begin, end or added special tokens; strings of control symbols are plain text.
     Null and empty texts have 0 of either. Rows may repeat, ids may be null or tied: each row is counted by itself. No
     rows give no rows; other columns are ignored. The model file (read on the driver, up to a few MB) is broadcast;
-    room bounds the entries a task keeps. Documents are neither shuffled nor kept.
+    room bounds the entries a task keeps, each of LONGEST characters at most. Documents are neither shuffled nor kept.
     """
     with open(model_path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
