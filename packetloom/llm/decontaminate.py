@@ -6,8 +6,9 @@ is enough to join on. Rarity is counted over the whole corpus in a first pass. I
 prefix index; a match fixes where the window would have to lie, its length and position must fit the document
 (length and positional bounds), and what is left is verified word by word.
 
-The index is broadcast in blocks whose bytes are measured and bounded; more of a benchmark means more passes over the
-documents, not a larger broadcast. Documents are never shuffled.
+The index is broadcast in blocks whose bytes are measured and bounded; long items are cut into pieces that overlap by
+twelve words, which have the same windows. More of a benchmark means more passes over the documents, not a larger
+broadcast. Documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -218,15 +219,33 @@ def _find(documents: DataFrame, index: Index, only_hits: bool) -> DataFrame:
     return documents.mapInArrow(run, f"id {documents.schema[0].dataType.simpleString()}, key long{more}, {SCHEMA}")
 
 
+def _pieces(items: DataFrame, most_bytes: int) -> DataFrame:
+    """The items, with texts of more than about most_bytes cut at words into pieces that together have the same windows."""
+    long = F.octet_length("text") > most_bytes
+    cut = items.where(long).withColumn("w", F.regexp_extract_all("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0)))
+    size = F.greatest(F.lit(4 * WINDOW), F.floor(F.size("w") * (most_bytes / F.octet_length("text")))).cast("int")
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - WINDOW, F.lit(0)), F.col("n") - (WINDOW - 1))
+    cut = cut.withColumn("n", size).select("item", "w", "n", F.explode(starts).alias("at"))
+    return items.where(~long).union(cut.select("item", F.array_join(F.slice("w", F.col("at") + 1, F.col("n")), " ").alias("text")))
+
+
 def _blocks(items: DataFrame, most_bytes: int) -> list[DataFrame]:
-    """The items dealt into blocks by hash, as many as keep the texts of each block within most_bytes."""
-    n = 1
+    """The items dealt into blocks of at most most_bytes of text (of pieces of an eighth), by buckets of a hash packed by size."""
+    pieces, n = _pieces(items, max(most_bytes // 8, 1)), 1
     while True:
-        dealt = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
-        largest = dealt.groupBy("block").agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).where(f"b > {most_bytes} and n > 1").limit(1)
-        if largest.isEmpty():
-            return [dealt.where(F.col("block") == k).drop("block") for k in range(n)]
-        n *= 2
+        dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
+        # at most n rows; a bucket that is too large is dealt anew unless it is a single piece, one endless word
+        sizes = [tuple(r) for r in dealt.groupBy("bucket").agg(F.sum(F.octet_length("text")), F.count("*")).collect()]
+        if all(b <= most_bytes and (n == 1 or 8 * b <= most_bytes) or many == 1 for _, b, many in sizes):
+            break
+        n = max(16 * n, 1 << (16 * sum(b for _, b, _ in sizes) // most_bytes).bit_length())
+    block, held = {}, []
+    for bucket, size, _ in sorted(sizes, key=lambda x: (-x[1], x[0])):
+        k = next((k for k, h in enumerate(held) if h + size <= most_bytes), len(held))
+        held[k:] = held[k:] or [0]
+        held[k] += size
+        block[bucket] = k
+    return [dealt.where(F.col("bucket").isin([x for x, y in block.items() if y == k])).drop("bucket") for k in range(max(len(held), 1))]
 
 
 def decontaminate(
@@ -242,7 +261,7 @@ def decontaminate(
     Null or empty texts have no words and no hits. Items with a null id are left out; items that share an id count as one.
     Rows of documents may repeat or share ids, and ids may be null: each row gets its own result. An empty benchmark
     hits nothing; no documents give no rows. Other columns are ignored. Texts of any length are read whole.
-    block_bytes bounds the item texts of one broadcast block; a single longer item is a block of its own.
+    block_bytes bounds the item texts of one broadcast block, whatever the items' sizes; only a single word may exceed it.
     """
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null").distinct()
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col, id_col).alias("key"), *[F.col(c).alias(f"_{c}") for c in carry])
@@ -255,10 +274,11 @@ def decontaminate(
         parts.append(_find(slim if k else docs, with_prefixes(index, counts), only_hits=k > 0))
     first, *rest = parts
     if rest:
-        more = rest[0]
-        for part in rest[1:]:
-            more = more.union(part)
-        merged = more.groupBy("id", "key").agg(F.array_distinct(F.flatten(F.collect_list("hit_spans"))).alias("s"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("i"))
+        more = rest[0].withColumn("block", F.lit(1))
+        for k, part in enumerate(rest[1:], 2):
+            more = more.union(part.withColumn("block", F.lit(k)))
+        # rows that repeat have the same hits, so that one of each is merged
+        merged = more.dropDuplicates(["id", "key", "block"]).groupBy("id", "key").agg(F.array_distinct(F.flatten(F.collect_list("hit_spans"))).alias("s"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("i"))
         merged = merged.withColumnsRenamed({"id": "id2", "key": "key2"})
         joined = first.join(merged, first.id.eqNullSafe(merged.id2) & (first.key == merged.key2), "left")
         none = F.array()

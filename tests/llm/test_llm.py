@@ -68,7 +68,7 @@ def test_decontamination_in_one_block_and_many(spark, odd):
     docs = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string")
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     want = sorted((i // 2, *x) for i, x in enumerate(contamination(texts, items)))
-    for most in (1 << 20, 200):
+    for most in (1 << 20, 1000, 200):
         got = decontaminate.decontaminate(docs, benchmark, block_bytes=most).collect()
         assert sorted((x["doc_id"], x["n_words"], x["n_hit"], x["items"]) for x in got) == want
         assert all(sum(s["end"] - s["start"] for s in x["hit_spans"]) == x["n_hit"] for x in got)
@@ -77,6 +77,22 @@ def test_decontamination_in_one_block_and_many(spark, odd):
     assert decontaminate.decontaminate(docs.limit(0), benchmark).count() == 0
 
 
+def test_decontamination_blocks_are_packed_by_bytes(spark):
+    """A large item among small ones is cut into pieces and costs few blocks; hits stay those of the whole items."""
+    r = random.Random(5)
+    large = " ".join(f"w{r.randrange(900)}" for _ in range(4000))
+    items = [(0, large)] + [(i, " ".join(f"v{r.randrange(90)}" for _ in range(20))) for i in range(1, 301)]
+    df = spark.createDataFrame(items, "item string, text string")
+    most = 12_000
+    blocks = decontaminate._blocks(df, most)
+    sizes = [b.agg(F.sum(F.octet_length("text"))).head()[0] for b in blocks]
+    assert max(sizes) <= most and len(blocks) <= 2 + sum(sizes) // most
+    texts = [" ".join(large.split()[a : a + n]) for a, n in ((0, 13), (1490, 40), (2995, 20), (3987, 13), (0, 4000), (5, 12))] + [items[7][1] + " x " + items[8][1]] * 3
+    docs = spark.createDataFrame([(i % 7, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = decontaminate.decontaminate(docs, df, item_col="item", block_bytes=most).collect()
+    assert sorted((x["doc_id"], x["n_words"], x["n_hit"], x["items"]) for x in got) == sorted((i % 7, *x) for i, x in enumerate(contamination(texts, items)))
+
+
 def test_sharding(spark, odd):
     table = sharding.lookup_table(queries.SHARDS, 8191)
     counts = np.bincount(table)
@@ -175,6 +191,9 @@ def test_token_counts_are_the_librarys(spark, odd):
     texts = _random_texts(3000)
     table = tokencount.PreTokens(model, tokencount.whole_tokens(model), 500)
     assert table.counts(texts) == [len(x) for x in model.encode(texts)]
+    long = ["".join(chr(0x4E00 + (i * 7 + j) % 9000) for j in range(2000)) for i in range(300)]
+    assert table.counts(long) == [len(x) for x in model.encode(long)]
+    assert max(map(len, {**table, **table.old})) <= tokencount.LONGEST and len(table) - len(table.whole) <= 500 and len(table.old) <= 500
     got = tokencount.count_tokens(odd, public_tokenizers.path("piece_bpe_32k.model")).collect()
     want = {t: (len((t or "").encode()), len(model.encode(t or ""))) for t in ODD}
     assert sorted((r["n_bytes"], r["n_tokens"]) for r in got if r["doc_id"] is not None) == sorted(2 * [*want.values()])
