@@ -17,10 +17,11 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 
 from . import text as tx
+from .jobs import cut
 
 FEATURES = 1 << 14
-#: Languages a model may hold: its tables are languages x FEATURES and live on the driver.
-MOST_LANGUAGES = 512
+#: Languages whose counts a task holds at once (of FEATURES numbers each) before it passes them on.
+LANGUAGES_HELD = 256
 #: Mean log-odds of an n-gram times this is a margin of about 1 for a text of plain words.
 SHARPNESS = 4.0
 
@@ -44,6 +45,11 @@ def codewords(n: int) -> np.ndarray:
         splits = [[1] + [1 if (k >> i) & 1 else -1 for i in range(n - 1)] for k in range(2 ** max(n - 1, 0) - 1)]
         return np.array(splits, np.float32).T.reshape(n, len(splits))
     bits, random = max(15, 4 * int(np.ceil(np.log2(n)))), np.random.default_rng(9)
+    if n > 1000:  # words of 4 bits for each that n needs are far apart as they are drawn; only equal ones are drawn anew
+        codes = random.choice(np.array([-1, 1], np.float32), (n, bits))
+        while len(again := np.setdiff1d(np.arange(n), np.unique(codes, axis=0, return_index=True)[1])):
+            codes[again] = random.choice(np.array([-1, 1], np.float32), (len(again), bits))
+        return codes
     best, most = None, -1
     for _ in range(200):
         codes = random.choice(np.array([-1, 1], np.float32), (n, bits))
@@ -93,6 +99,9 @@ def _counts(rows: DataFrame) -> DataFrame:
     def run(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
+            if len(sums) > LANGUAGES_HELD:
+                yield from passed(sums)
+                sums = {}
             data, offsets = tx.buffers(batch.column(1))
             names = np.array(batch.column(0).to_pylist(), dtype=object)
             for low, high in tx.chunks(offsets):
@@ -101,6 +110,9 @@ def _counts(rows: DataFrame) -> DataFrame:
                 for name in set(names[low:high]):
                     total = sums.setdefault(name, np.zeros(FEATURES, np.int64))
                     total += np.bincount(found[which == name], minlength=FEATURES)
+        yield from passed(sums)
+
+    def passed(sums):
         for name, total in sums.items():
             some = np.flatnonzero(total)
             yield pa.record_batch({"lang": pa.array([name] * len(some), pa.string()), "feature": pa.array(some.astype(np.int32)), "n": pa.array(total[some])})
@@ -133,25 +145,33 @@ def _right(rows: DataFrame, model: Model) -> DataFrame:
 def train(rows: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model of all rows whose text and language are known. Rows may repeat; each counts. No rows give a model of no languages.
 
-    The driver gets counts by language and feature (at most MOST_LANGUAGES x FEATURES), never rows.
+    Spark sums counts to shares of each side of each bit, so that the driver gets FEATURES rows of two numbers a bit, and
+    beside them the names, codewords and accuracies of the languages: a few hundred bytes for each distinct label, of
+    which there may be any number that this lets the driver hold.
     """
     rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    languages = sorted(r["lang"] for r in rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    number = {x: i for i, x in enumerate(languages)}
-    counts = np.zeros((len(languages), FEATURES))
-    if languages:
-        for r in _counts(rows).toLocalIterator():
-            counts[number[r["lang"]], r["feature"]] = r["n"]
+    languages = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
     codes = codewords(len(languages))
-    # each language weighs the same in its side of a bit, however many rows it has
-    shares = (counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True) if languages else counts
-    plus, minus = (np.maximum(codes.T * s, 0) @ shares for s in (1, -1))
-    plus, minus = (x / np.maximum(x.sum(axis=1, keepdims=True), 1e-300) for x in (plus, minus))
-    with np.errstate(divide="ignore"):
-        weights = np.ascontiguousarray((np.log(plus) - np.log(minus)).T, dtype=np.float32)
-    model = Model(languages, codes, weights.reshape(FEATURES, codes.shape[1] if languages else 0))
+    bits = codes.shape[1] if languages else 0
+    weights = np.zeros((FEATURES, bits), np.float32)
+    if bits:
+        counts = cut(_counts(rows))
+        # each language weighs the same in its side of a bit, however many rows it has; a feature it lacks counts a half
+        totals = counts.groupBy("lang").agg((F.sum("n") + F.lit(0.5 * FEATURES)).alias("total"))
+        words = rows.sparkSession.createDataFrame([(x, "".join("1" if b > 0 else "0" for b in code)) for x, code in zip(languages, codes, strict=True)], "lang string, word string")
+        rest = {r["lang"]: 0.5 / r["total"] for r in totals.collect()}  # a row for each language
+        joined = counts.join(totals, "lang").join(words, "lang").withColumn("share", F.col("n") / F.col("total"))
+        sides = [F.sum(F.when(F.substring("word", b + 1, 1) == side, F.col("share")).otherwise(0.0)).alias(f"s{side}_{b}") for side in "10" for b in range(bits)]
+        both = np.zeros((2, bits, FEATURES))
+        for r in joined.groupBy("feature").agg(*sides).collect():  # FEATURES rows at most
+            both[:, :, r["feature"]] = np.array(r[1:]).reshape(2, bits)
+        least = np.array([rest.get(x, 1 / FEATURES) for x in languages])
+        for side, sign in enumerate((1, -1)):
+            both[side] += (np.maximum(codes.T * sign, 0) @ least)[:, None]
+        both /= both.sum(axis=2, keepdims=True)
+        # rounded, for sums of shares depend on their order in the last digits
+        weights = np.ascontiguousarray(np.round(np.log(both[0]) - np.log(both[1]), 6).T, dtype=np.float32)
+    model = Model(languages, codes, weights)
     trust = np.ones(codes.shape)
     if codes.size:
         for r in _right(rows, model).collect():

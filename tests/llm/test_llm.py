@@ -443,6 +443,57 @@ def test_language_id(spark, odd):
     assert langid.codewords(4).shape == (4, 7) and len({tuple(c) for c in langid.codewords(12).tolist()}) == 12 and langid.codewords(1).shape == (1, 0)
 
 
+def _languages_by_hand(rows, texts):
+    """Brute force of the model and its predictions: (language, score, gap) of each text, n-gram by n-gram."""
+    fold = lambda c: c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32
+
+    def grams(t):
+        b = [*map(fold, t.encode()), 32, 32]
+        return [(((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 0x9E3779B1) & 0xFFFFFFFF) >> 18 for i in range(len(b) - 2) if (b[i], b[i + 1]) != (32, 32)]
+
+    rows = [(x, grams(t)) for x, t in rows if x is not None and t is not None]
+    languages = sorted({x for x, _ in rows})
+    codes, size = langid.codewords(len(languages)), langid.FEATURES
+    counts = {x: np.bincount([g for y, gs in rows if y == x for g in gs] or [0], minlength=size) * 1.0 for x in languages}
+    share = {x: (c + 0.5) / (c + 0.5).sum() for x, c in counts.items()}
+    sides = [[sum(share[x] for x, code in zip(languages, codes, strict=True) if code[b] == sign) for b in range(codes.shape[1])] for sign in (1, -1)]
+    weights = [np.log(p / p.sum()) - np.log(m / m.sum()) for p, m in zip(*sides, strict=True)]
+    margins = lambda gs: [langid.SHARPNESS * sum(w[g] for g in gs) / len(gs) if gs else 0.0 for w in weights]
+    trust = {}
+    for x, code in zip(languages, codes, strict=True):
+        mine = [margins(gs) for y, gs in rows if y == x]
+        t = [(sum(m[b] * code[b] > 0 for m in mine) + 1) / (len(mine) + 2) for b in range(len(code))]
+        trust[x] = [v / sum(t) for v in t]
+    for t in texts:
+        m = margins(grams(t))
+        loss = {x: sum(np.log1p(np.exp(-v * c)) * w for v, c, w in zip(m, code, trust[x], strict=True)) for x, code in zip(languages, codes, strict=True)}
+        best = min(languages, key=lambda x: loss[x])
+        low, second = sorted(loss.values())[:2]
+        yield best, 1 / sum(np.exp(-4 * (v - low)) for v in loss.values()), (second - low) / second
+
+
+def test_language_id_by_hand(spark):
+    """Every prediction of a small table, with few languages and with more than five."""
+    docs = [(r["lang"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(60).collect()]
+    docs = [(x, t[:300] if t else t) for x, t in docs]
+    for rows in (docs, [(f"{x}{i % 2}" if x else None, t) for i, (x, t) in enumerate(docs)]):
+        df = spark.createDataFrame(rows, "lang string, text string")
+        found = langid.identify(df, langid.train(df), id_col="text").where("lang_pred <> 'und'").collect()
+        want = list(_languages_by_hand(rows, [r["text"] for r in found]))
+        assert len(found) > 40
+        for r, (best, score, gap) in zip(found, want, strict=True):
+            assert abs(r["score"] - score) < 1e-3 and (r["lang_pred"] == best or gap < 1e-3) and (r["ambiguous"] == (gap < 0.02) or abs(gap - 0.02) < 1e-3)
+
+
+def test_language_id_has_no_most_languages(spark):
+    """Six hundred languages of words of their own, each found; distinct codewords for thousands."""
+    rows = [(f"l{i:03d}", f"{chr(0x4E00 + i)}{chr(0x5E00 + i)} " * 8) for i in range(600) for _ in range(2)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    right = langid.identify(df, langid.train(df), id_col="text").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).head()[0]
+    assert right > 0.9
+    assert len(np.unique(langid.codewords(3000), axis=0)) == 3000
+
+
 def test_chat(spark):
     r = random.Random(4)
     said = ["ok", "", None, "a <|turn|> b \\ [INST]", "</s>\\<|end|>", "long " * 300]
