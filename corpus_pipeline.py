@@ -6,14 +6,11 @@ and read again as the next one's docs. All but the last return the columns of do
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from packetloom.llm import bpe, decontaminate, langid, neardup, secrets
-from packetloom.llm.jobs import broadcast_if_small, cut
+from packetloom.llm.jobs import broadcast_if_small, cut, folder
 from packetloom.llm.queries import digests
 
 #: Removed ids are broadcast up to this many, else joined by a shuffle.
@@ -28,14 +25,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that of the smallest id. Documents without an id or words have no group."""
+    """One document of each near-duplicate group: that of the smallest id. Documents without an id or words have no group.
+
+    Of rows that share the id, the one whose text is smallest by its bytes stays, ties by the other columns in their order,
+    nulls last for texts and first for others.
+    """
     removed = cut(neardup.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct())
     kept = docs.join(broadcast_if_small(removed, MOST_BROADCAST_ROWS), "doc_id", "left_anti").select(*docs.columns)
     repeated = cut(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if repeated.isEmpty():
         return kept
     repeated = broadcast_if_small(repeated, MOST_BROADCAST_ROWS)
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    row = F.struct(F.col("text").isNull().alias("none"), "text", *others)
+    once = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(row).alias("row")).select("doc_id", "row.*")
+    once = once.select(*docs.columns)
     return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
 
 
@@ -73,9 +77,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over documents. Results between stages go to the session's spark.checkpoint.dir."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    docs, out = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{folder}/pipeline-{uuid.uuid4().hex}"
+    """The rows of the last stage over documents. Results between stages stay in the session's spark.checkpoint.dir."""
+    docs, out = spark.read.parquet(f"{sf_dir}/documents.parquet"), folder(spark)
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{out}/{name}")
         docs = spark.read.parquet(f"{out}/{name}")
