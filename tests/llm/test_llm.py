@@ -572,6 +572,15 @@ def test_pipeline_stages_keep_columns_on_odd_rows(spark, odd):
     assert len(ids) > 3 and len([i for i in ids if i is not None]) == len({i for i in ids if i is not None})
 
 
+def test_pipeline_keeps_the_same_row_of_an_id(spark):
+    import corpus_pipeline
+
+    rows = [(5, t, "en", s, 1) for t, s in ((None, "a"), ("b words", "z"), ("a words of one text", "y"), ("a words of one text", "x"), ("c", "a"))] + [(6, None, "en", "s", 1), (6, None, None, "s", 1)]
+    for n in (1, 3, 7):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(n)
+        assert sorted(map(tuple, corpus_pipeline.near_dedup(spark, docs, SF).collect())) == [(5, "a words of one text", "en", "x", 1), (6, None, None, "s", 1)]
+
+
 SENTENCE = "Some words of a paragraph, enough of them to be dense. "
 LONG = [f"Paragraph {i} {SENTENCE * 3}".strip() for i in range(4)]
 
