@@ -73,3 +73,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return cut(labels)
+
+
+def extended(known: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components (node, component) known before, joined by more edges (a, b); nodes may be new. Each is its smallest node's."""
+    left, right = (known.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in ("a", "b"))
+    between = edges.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    labels = components(between)
+    if labels.isEmpty():
+        return known
+    step = labels.select(F.col("node").alias("component"), F.col("component").alias("up"))
+    moved = known.join(step, "component", "left").select("node", F.coalesce("up", "component").alias("component"))
+    return cut(moved.union(labels.join(known, "node", "left_anti").select("node", "component")))

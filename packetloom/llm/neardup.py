@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import text as tx
-from .jobs import broadcast_if_small, components, cut
+from .jobs import broadcast_if_small, components, cut, extended
 
 BINS = 256
 #: How often a pair at the similarity asked for may share no region of any tree, at most.
@@ -35,6 +35,8 @@ MISSED = 6e-6
 
 #: Trees a forest may have; deeper ones are not grown.
 MOST_TREES = 512
+#: Trees of a forest whose crowded regions pair neighbours: enough to connect copies of one text, in proportion to their number.
+CHAINS = 8
 #: Positions of a label beyond the depth of its forest, for the order of neighbours within a region.
 MORE = 4
 
@@ -164,7 +166,8 @@ def regions(label: np.ndarray, node: np.ndarray, prefix: int, few: int, near: in
     """Candidate pairs (a, b) among sorted labels, and which rows lie in crowded regions.
 
     A region is a run of labels with equal first `prefix` bytes. One of at most `few` rows pairs all of them; a larger
-    one, or the first or last if it is at a border, is crowded and pairs each row with the `near` rows before it.
+    one, or the first or last if it is at a border, is crowded and, in the first CHAINS trees, pairs each row with the `near`
+    rows before it.
     """
     n = len(node)
     fresh = np.append(True, (label[1:, :prefix] != label[:-1, :prefix]).any(axis=1)) if n else np.zeros(0, bool)
@@ -174,7 +177,8 @@ def regions(label: np.ndarray, node: np.ndarray, prefix: int, few: int, near: in
     if n:
         crowded[0] |= at_border[0]
         crowded[-1] |= at_border[1]
-    reach = np.repeat(np.where(crowded, near, few), sizes)
+    tree = label[starts, 0].astype(np.int64) << 8 | label[starts, 1] if n else starts
+    reach = np.repeat(np.where(crowded, np.where(tree < CHAINS, near, 0), few), sizes)
     place = np.arange(n) - np.repeat(starts, sizes)
     a, b = [], []
     for shift in range(1, max(few, near + 1)):
@@ -317,19 +321,16 @@ def _sets_of(nodes: DataFrame, firsts: DataFrame, source: DataFrame, words: int,
     return cut(found.dropDuplicates(["node"]))
 
 
-def _links(pairs: DataFrame, firsts: DataFrame, source: DataFrame, known: DataFrame | None, percent: int, words: int, broadcast_rows: int) -> DataFrame | None:
-    """Links among candidate pairs, enough to connect with the components known before what the pairs link; None if there are none."""
-    pairs = pairs.where("a <> b").distinct()
-    if known is not None:
-        pairs = _apart(pairs, known)
-    close = cut(_close(pairs, firsts, least_agreeing(percent)))
+def _connected(pairs: DataFrame, firsts: DataFrame, source: DataFrame, known: DataFrame, percent: int, words: int, broadcast_rows: int) -> DataFrame:
+    """The components known before, joined by what links the candidate pairs hold."""
+    close = cut(_close(_apart(pairs.where("a <> b").distinct(), known), firsts, least_agreeing(percent)))
     if close.isEmpty():
-        return None
+        return known
     nodes = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
     sets = _sets_of(nodes, firsts, source, words, broadcast_rows)
     best = close.groupBy("a").agg(F.max_by("b", F.struct("agree", "b")).alias("b")).union(close.groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a")).select("a", "b"))
-    first = cut(_exact(best.distinct(), sets, percent))
-    return cut(first.union(_exact(_apart(close.select("a", "b"), components(first)), sets, percent)))
+    known = extended(known, _exact(best.distinct(), sets, percent))
+    return extended(known, _exact(_apart(close.select("a", "b"), known), sets, percent))
 
 
 def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -341,7 +342,7 @@ def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 75, words: int = 5,
-    depths: list[tuple[int, int]] | None = None, few: int = 32, near: int = 4, block: int = 512, settle: int = 4096, broadcast_rows: int = 1_000_000,
+    depths: list[tuple[int, int]] | None = None, few: int = 32, near: int = 1, block: int = 1024, settle: int = 8192, broadcast_rows: int = 1_000_000,
 ) -> DataFrame:
     """One row (id_col, n_shingles, component_id) for each row of docs; component_id is the smallest id of its component.
 
@@ -349,7 +350,7 @@ def near_duplicates(
     words, or its whole sequence if it has fewer. Two documents are linked if 100 * |intersection| >= percent * |union|.
     `depths` are (depth, trees) of the forests, derived from percent unless given: a pair at that similarity shares a
     region of some tree of each but for MISSED of the times. A region of at most `few` texts pairs all of them, in a
-    larger one each is paired with its `near` neighbours; texts of larger regions that this leaves unconnected go on to
+    larger one each is paired with its `near` neighbours, in CHAINS trees; texts of larger regions that this leaves unconnected go on to
     the next forest. After the last, or as soon as no more than `settle` are left, for which another forest would be more
     work, they are compared in blocks of at most about `block` texts and 8 MB of sets, which misses none.
 
@@ -370,18 +371,14 @@ def near_duplicates(
     # rows of one id with several sets hang together through that id
     several = known.groupBy("id").agg(F.min(F.xxhash64("set_id")).alias("low"), F.max(F.xxhash64("set_id")).alias("high")).where("low <> high")
     owned = known.select("id", "set_id").distinct().join(several.select("id"), "id", "left_semi").join(firsts.select("set_id", "node"), "set_id")
-    links = cut(owned.join(owned.groupBy("id").agg(F.min("node").alias("b")), "id").select(F.col("node").alias("a"), "b"))
-    joined = components(links)
+    joined = components(owned.join(owned.groupBy("id").agg(F.min("node").alias("b")), "id").select(F.col("node").alias("a"), "b"))
 
     todo = firsts.select("node", "signature")
     for depth, trees in depths or forests(percent):
         labelled = _labelled(todo, orders(depth, trees))
         ranged = labelled.repartitionByRange("label", "node").sortWithinPartitions("label", "node")
         found = cut(_neighbours(ranged, 2 + 2 * depth, few, near))
-        new = _links(found.where("region is null").select("a", "b"), firsts, source, joined, percent, words, broadcast_rows)
-        if new is not None:
-            links = links.union(new)
-            joined = components(links)
+        joined = _connected(found.where("region is null").select("a", "b"), firsts, source, joined, percent, words, broadcast_rows)
         # crowded regions whose texts aren't all connected: each text with the region's smallest
         crowded = found.where("region is not null").select("region", F.col("a").alias("node"))
         component = F.coalesce("component", "node")
@@ -401,7 +398,7 @@ def near_duplicates(
         placed = members.join(sizes, "family").join(sets, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         groups = spread.select("node", "family", "component", "block", "shingles", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        joined = components(links.union(groups.groupBy("family", "i", "j").applyInPandas(_verify(percent, least_agreeing(percent)), "a long, b long")))
+        joined = extended(joined, groups.groupBy("family", "i", "j").applyInPandas(_verify(percent, least_agreeing(percent)), "a long, b long"))
 
     # from nodes to documents: a component is called by its smallest id
     named = firsts.select("set_id", "rep", "node").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
