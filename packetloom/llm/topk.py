@@ -49,13 +49,13 @@ class CoverTree:
             low, high = self.low[node], self.high[node]
             if high - low <= LEAF:
                 continue
-            # children: vectors farther apart than half the covering radius until they cover all within it, or are too many
+            # children: vectors farther apart than half the covering radius until they cover all within it, or are 64
             rows = self.rows[low:high]
             nearest, owner, centres = ((vectors[rows] - vectors[cover]) ** 2).sum(axis=1), np.zeros(high - low, np.int64), [cover]
             reach = nearest.max()
             if reach == 0:
                 continue
-            while len(centres) < 2 or (nearest.max() > reach / 4 and len(centres) * 16 < high - low):
+            while len(centres) < 2 or (nearest.max() > reach / 4 and len(centres) < min(64, (high - low) // 16)):
                 centres.append(int(rows[nearest.argmax()]))
                 apart = ((vectors[rows] - vectors[centres[-1]]) ** 2).sum(axis=1)
                 closer = apart < nearest
