@@ -77,6 +77,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def extended(known: DataFrame, edges: DataFrame) -> DataFrame:
     """Components (node, component) known before, joined by more edges (a, b); nodes may be new. Each is its smallest node's."""
+    if known.isEmpty():
+        return components(edges)
     left, right = (known.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in ("a", "b"))
     between = edges.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     labels = components(between)

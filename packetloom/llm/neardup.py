@@ -323,7 +323,8 @@ def _sets_of(nodes: DataFrame, firsts: DataFrame, source: DataFrame, words: int,
 
 def _connected(pairs: DataFrame, firsts: DataFrame, source: DataFrame, known: DataFrame, percent: int, words: int, broadcast_rows: int) -> DataFrame:
     """The components known before, joined by what links the candidate pairs hold."""
-    close = cut(_close(_apart(pairs.where("a <> b").distinct(), known), firsts, least_agreeing(percent)))
+    pairs = pairs.where("a <> b").distinct()
+    close = cut(_close(pairs if known.isEmpty() else _apart(pairs, known), firsts, least_agreeing(percent)))
     if close.isEmpty():
         return known
     nodes = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
