@@ -11,8 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that are worked on at once; a longer text is worked on alone.
-CHUNK_BYTES = 1 << 20
+#: Bytes of text that are worked on at once; a longer text is worked on alone. A worker's arrays take some 50 times that.
+CHUNK_BYTES = 1 << 18
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -37,7 +37,7 @@ def _power_table(base: int, n: int) -> np.ndarray:
         size = max(n, CHUNK_BYTES + 1)
         steps = np.full(size, np.uint64(base), dtype=np.uint64)
         steps[0] = 1
-        table = np.multiply.accumulate(steps)
+        table = np.multiply.accumulate(steps, out=steps)
         if size > 4 * CHUNK_BYTES:
             return table
         _powers[base] = have = table
@@ -77,6 +77,7 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         high = min(n, max(high, low + 1))
         yield low, high
         low = high
+    pa.default_memory_pool().release_unused()  # of the batches before
 
 
 class Words:
@@ -101,7 +102,11 @@ class Words:
     def hashes(self) -> np.ndarray:
         n = len(self.data)
         sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((self._lower.astype(np.uint64) + np.uint64(1)) * _power_table(_MULTIPLIER, n), out=sums[1:])
+        terms = sums[1:]  # in place, for these are eight times the text
+        terms[:] = self._lower
+        terms += np.uint64(1)
+        terms *= _power_table(_MULTIPLIER, n)
+        np.cumsum(terms, out=terms)
         return mix((sums[self.ends] - sums[self.starts]) * _power_table(_INVERSE, n + 1)[self.starts])
 
     def word(self, i: int) -> bytes:
