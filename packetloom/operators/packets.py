@@ -6,63 +6,96 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import header as h
 from . import ordered
+from .container import bytes_of
 
 #: The longest frame, in bytes, and the longest packet, in samples at 48 kHz.
 MOST_FRAME, MOST_SAMPLES = 1275, 5760
 
 
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f reads it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _byte(data: Column, at: Column) -> Column:
+    """The byte at an offset of a binary column, null beyond its end."""
+    return F.conv(F.nullif(F.hex(F.substring(data, at.cast("int") + 1, F.lit(1))), F.lit("")), 16, 10).cast("long")
+
+
 def parse(data: Column, self_delimited: bool = False) -> Column:
-    """struct(error, sizes, offset, padding) of a packet given as array<int> of its bytes.
+    """struct(error, sizes, offset, padding) of a packet given as a binary column.
 
     sizes are the frames' lengths, offset is where the first begins, padding the bytes after the last. error is null if
-    the packet is valid, else `empty` or `invalid` (sizes and offset are then not to be used). data should be a column of
-    the frame, not an expression: it is read in many places.
+    the packet is valid, else `empty` or `invalid` (sizes and offset are then not to be used); a null packet is empty.
+    Only the two first bytes, the padding's fields and the frames' length fields are looked at, not the frames.
     """
-    n, toc, second = F.size(data).cast("long"), F.get(data, F.lit(0)), F.get(data, F.lit(1))
-    code = toc.bitwiseAND(3)
-    count = h.frame_count(toc, second)
-    state = "struct<at:bigint,left:bigint,sizes:array<bigint>,bad:boolean>"
+    long = lambda x: F.lit(x).cast("long")
     none = F.array().cast("array<bigint>")
-    vbr = F.coalesce(second.bitwiseAND(128) != 0, F.lit(False))
-    padded = (code == 3) & F.coalesce(second.bitwiseAND(64) != 0, F.lit(False))
-
-    # padding: each byte of 255 stands for 254 and another byte; the first other byte ends the field
-    stop = F.when(padded, 1 + F.nullif(F.array_position(F.transform(F.slice(data, 3, F.size(data)), lambda b: b != 255), F.lit(True)), F.lit(0).cast("long")))
-    at = F.when(code != 3, 1).when(~padded, 2).otherwise(stop + 1)
-    left = F.when(code != 3, n - 1).when(~padded, n - 2).otherwise(n - 3 - (stop - 2) * 255 - F.get(data, stop.cast("int")))
-    bad = ((code == 3) & ((n < 2) | (count == 0) | (count * h.samples_per_frame(toc) > MOST_SAMPLES))) | (padded & stop.isNull()) | (left < 0)
-    begin = F.struct(F.coalesce(at, n).cast("long").alias("at"), F.coalesce(left, F.lit(0)).cast("long").alias("left"), none.alias("sizes"), F.coalesce(bad, F.lit(True)).alias("bad")).cast(state)
-
-    def field(s, _):
-        first = F.get(data, s["at"].cast("int")).cast("long")
-        size = F.when(first >= 252, 4 * F.get(data, (s["at"] + 1).cast("int")).cast("long") + first).otherwise(first)
-        used = F.when(first >= 252, 2).otherwise(1)
-        wrong = s["bad"] | size.isNull() | (s["left"] < used) | (size > s["left"] - used)
-        return F.struct((s["at"] + used).alias("at"), (s["left"] - used).alias("left"), F.concat(s["sizes"], F.array(F.coalesce(size, F.lit(0).cast("long")))).alias("sizes"), wrong.alias("bad")).cast(state)
-
-    fields = F.when(F.coalesce(bad, F.lit(True)), 0).when((code == 2) | ((code == 3) & vbr), count - 1).otherwise(0) + F.lit(int(self_delimited))
-    steps = F.when(fields > 0, F.sequence(F.lit(1).cast("long"), fields)).otherwise(none)
-
-    def finish(s):
-        total = F.aggregate(s["sizes"], F.lit(0).cast("long"), lambda a, x: a + x)
-        some = F.greatest(count, F.lit(1).cast("long"))
-        equal = (code == 1) | ((code == 3) & ~vbr)
+    state = "struct<at:bigint,left:bigint,sizes:array<bigint>,bad:boolean>"
+
+    def head(x):
+        code, count = x["toc"].bitwiseAND(3), h.frame_count(x["toc"], x["second"])
+        vbr = F.coalesce(x["second"].bitwiseAND(128) != 0, F.lit(False))
+        padded = (code == 3) & F.coalesce(x["second"].bitwiseAND(64) != 0, F.lit(False))
+        # padding: each byte of 255 stands for 254 and another byte; the first other byte, after `full` of them, ends the field
+        rest = F.decode(F.substring(data, F.lit(3), F.octet_length(data)), "ISO-8859-1")
+        full = F.when(padded, (F.length(rest) - F.length(F.ltrim(rest, F.lit("\u00ff")))).cast("long"))
+        return F.struct(x["n"].alias("n"), code.alias("code"), count.alias("count"), vbr.alias("vbr"), padded.alias("padded"), full.alias("full"), _byte(data, 2 + full).alias("stop"), (count * h.samples_per_frame(x["toc"])).alias("samples"))
+
+    def begin(x):
+        at = F.when(x["code"] != 3, 1).when(~x["padded"], 2).otherwise(3 + x["full"])
+        left = F.when(x["code"] != 3, x["n"] - 1).when(~x["padded"], x["n"] - 2).otherwise(x["n"] - 3 - 255 * x["full"] - x["stop"])
+        bad = ((x["code"] == 3) & ((x["n"] < 2) | (x["count"] == 0) | (x["samples"] > MOST_SAMPLES))) | (x["padded"] & x["stop"].isNull()) | (left < 0)
+        bad = F.coalesce(bad, F.lit(True))
+        fields = F.when(bad, 0).when((x["code"] == 2) | ((x["code"] == 3) & x["vbr"]), x["count"] - 1).otherwise(0) + int(self_delimited)
+        return F.struct(x.alias("head"), F.coalesce(at, x["n"]).cast("long").alias("at"), F.coalesce(left, long(0)).cast("long").alias("left"), bad.alias("bad"), fields.cast("long").alias("fields"))
+
+    def read(x):
+        # the bytes of the length fields, two at most for each
+        region = F.when(x["fields"] > 0, bytes_of(F.substring(data, x["at"].cast("int") + 1, (2 * x["fields"]).cast("int")))).otherwise(F.array().cast("array<int>"))
+
+        def fields(region):
+            def field(s, _):
+                i = (s["at"] - x["at"]).cast("int")
+                first = F.get(region, i).cast("long")
+                size = F.when(first >= 252, 4 * F.get(region, i + 1).cast("long") + first).otherwise(first)
+                used = F.when(first >= 252, 2).otherwise(1)
+                wrong = s["bad"] | size.isNull() | (s["left"] < used) | (size > s["left"] - used)
+                return F.struct((s["at"] + used).alias("at"), (s["left"] - used).alias("left"), F.concat(s["sizes"], F.array(F.coalesce(size, long(0)))).alias("sizes"), wrong.alias("bad")).cast(state)
+
+            start = F.struct(x["at"].alias("at"), x["left"].alias("left"), none.alias("sizes"), x["bad"].alias("bad")).cast(state)
+            return F.aggregate(F.when(x["fields"] > 0, F.sequence(long(1), x["fields"])).otherwise(none), start, field)
+
+        return _let(_let(region, fields), lambda s: finish(x["head"], s))
+
+    def finish(x, s):
+        total = F.aggregate(s["sizes"], long(0), lambda a, v: a + v)
+        some = F.greatest(x["count"], long(1))
+        equal = (x["code"] == 1) | ((x["code"] == 3) & ~x["vbr"])
         if self_delimited:  # the last field is that of the last frame, or of all if they are equal
             last = F.element_at(s["sizes"], -1)
             sizes = F.when(equal, F.array_repeat(last, some.cast("int"))).otherwise(s["sizes"])
-            used = F.when(equal, last * count).otherwise(total)
+            used = F.when(equal, last * x["count"]).otherwise(total)
             wrong = s["bad"] | (used > s["left"]) | (last > MOST_FRAME)
         else:
             share, rest = F.call_function("div", s["left"], some), s["left"] - total
             sizes = F.when(equal, F.array_repeat(share, some.cast("int"))).otherwise(F.concat(s["sizes"], F.array(rest)))
             used = s["left"]
             wrong = s["bad"] | (rest < 0) | (equal & (s["left"] % some != 0)) | (F.when(equal, share).otherwise(rest) > MOST_FRAME)
-        error = F.when(n == 0, "empty").when(wrong, "invalid")
-        return F.struct(error.alias("error"), F.when(error.isNull(), sizes).alias("sizes"), s["at"].alias("offset"), (n - s["at"] - used).alias("padding"))
+        error = F.when(x["n"] == 0, "empty").when(wrong, "invalid")
+        return F.struct(error.alias("error"), F.when(error.isNull(), sizes).alias("sizes"), s["at"].alias("offset"), (x["n"] - s["at"] - used).alias("padding"))
+
+    n = F.coalesce(F.octet_length(data), F.lit(0)).cast("long")
+    first = F.struct(n.alias("n"), _byte(data, F.lit(0)).alias("toc"), _byte(data, F.lit(1)).alias("second"))
+    return _let(_let(_let(first, head), begin), read)
+
 
-    # one lambda for each intermediate result, so that each is computed once
-    read = F.aggregate(steps, begin, field)
-    return F.element_at(F.transform(F.array(read), finish), 1)
+def frames(data: Column, parsed: Column) -> Column:
+    """The frames of a valid packet as array<binary>, by what parse found; null if it is invalid. Empty frames are empty."""
+    state = "struct<at:bigint,out:array<binary>>"
+    start = F.struct(parsed["offset"].alias("at"), F.array().cast("array<binary>").alias("out")).cast(state)
+    piece = lambda s, size: F.substring(data, (s["at"] + 1).cast("int"), size.cast("int"))
+    return F.aggregate(parsed["sizes"], start, lambda s, size: F.struct((s["at"] + size).alias("at"), F.concat(s["out"], F.array(piece(s, size))).alias("out")).cast(state))["out"]
 
 
 def packed_size(sizes: Column) -> Column:

@@ -37,7 +37,8 @@ def size_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.packets(spark, sf_dir).select("event_id", F.array_join(field.cast("array<string>"), ",").alias("field"), h.size_of(field).alias("size"))
 
 
-@query(f"""WITH {PACKETS}, {HEADERS},
+#: Every packet of PACKETS parsed: b holds its bytes, r its frames, the last one's length, what is read (z) and whether it is bad.
+_PARSED = f"""WITH {PACKETS}, {HEADERS},
 b AS (SELECT *, list_transform(range(n_bytes), lambda i: CASE i WHEN 0 THEN toc WHEN 1 THEN b1 ELSE (event_id * 7 + i * 31) % 256 END) AS d FROM h),
 -- padding: leading 255s, then one byte
 q AS (SELECT *, toc & 3 AS code, (toc & 3 = 3 AND n_bytes >= 2 AND b1 & 64 <> 0) AS padded, len(list_filter(range(2, n_bytes), lambda i: d[i + 1] <> 255)) AS others, list_filter(range(2, n_bytes), lambda i: d[i + 1] <> 255)[1] AS stop FROM b),
@@ -52,18 +53,26 @@ s AS (SELECT event_id, list_reduce(list_prepend({{'at': at0, 'left': left0, 'sum
       'bad': a.bad OR coalesce(a.left < CASE WHEN d[a.at + 1] >= 252 THEN 2 ELSE 1 END OR (CASE WHEN d[a.at + 1] >= 252 THEN 4 * d[a.at + 2] + d[a.at + 1] ELSE d[a.at + 1] END) > a.left - CASE WHEN d[a.at + 1] >= 252 THEN 2 ELSE 1 END, TRUE),
       'v': CAST(0 AS BIGINT)}}) AS z FROM f),
 e AS (SELECT f.event_id, f.frames, f.code, z, CASE WHEN f.code = 1 OR (f.code = 3 AND f.b1 & 128 = 0) THEN z.left // greatest(f.frames, 1) ELSE z.left - z.sum END AS last,
-  (f.code = 1 OR (f.code = 3 AND f.b1 & 128 = 0)) AS even, f.n_bytes FROM f JOIN s USING (event_id))
-SELECT event_id, CASE WHEN bad THEN 'invalid' END AS error, CASE WHEN NOT bad THEN CAST(frames AS BIGINT) END AS n_frames, CASE WHEN NOT bad THEN CAST(last AS BIGINT) END AS last_size, CASE WHEN NOT bad THEN CAST(n_bytes - z.at - z.left AS BIGINT) END AS padding
-FROM (SELECT *, z.bad OR z.left - z.sum < 0 OR (even AND z.left % greatest(frames, 1) <> 0) OR last > 1275 AS bad FROM e)""")
+  (f.code = 1 OR (f.code = 3 AND f.b1 & 128 = 0)) AS even, f.n_bytes FROM f JOIN s USING (event_id)),
+r AS (SELECT *, z.bad OR z.left - z.sum < 0 OR (even AND z.left % greatest(frames, 1) <> 0) OR last > 1275 AS bad FROM e)"""
+
+
+@query(f"""{_PARSED} SELECT event_id, CASE WHEN bad THEN 'invalid' END AS error, CASE WHEN NOT bad THEN CAST(frames AS BIGINT) END AS n_frames, CASE WHEN NOT bad THEN CAST(last AS BIGINT) END AS last_size, CASE WHEN NOT bad THEN CAST(n_bytes - z.at - z.left AS BIGINT) END AS padding FROM r""")
 def packet_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full parse of every packet: frames, last frame, padding, or why it is invalid."""
-    p = fixtures.packets(spark, sf_dir)
-    byte = lambda i: F.when(i == 0, F.col("toc")).when(i == 1, F.col("b1")).otherwise((F.col("event_id") * 7 + i * 31) % 256).cast("int")
-    made = p.withColumn("data", F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_bytes") - 1), byte)).withColumn("x", pk.parse(F.col("data")))
+    made = fixtures.packet_bytes(fixtures.packets(spark, sf_dir)).select("event_id", pk.parse(F.col("data")).alias("x"))
     good = F.col("x.error").isNull()
     return made.select("event_id", F.col("x.error").alias("error"), F.when(good, F.size("x.sizes").cast("long")).alias("n_frames"), F.element_at("x.sizes", -1).alias("last_size"), F.when(good, F.col("x.padding")).alias("padding"))
 
 
+@query(f"""{_PARSED} SELECT event_id, CAST(frames AS BIGINT) AS n_frames, md5(array_to_string(list_transform(list_slice(d, z.at + z.left - last + 1, z.at + z.left), lambda x: printf('%02X', CAST(x AS INTEGER))), '')) AS last_md5 FROM r JOIN b USING (event_id, frames) WHERE NOT bad""")
+def packet_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every valid packet's frames cut out: how many there are, and a digest of the last one's bytes in hex."""
+    made = fixtures.packet_bytes(fixtures.packets(spark, sf_dir)).withColumn("x", pk.parse(F.col("data"))).where("x.error is null")
+    cut = made.select("event_id", pk.frames(F.col("data"), F.col("x")).alias("f"))
+    return cut.select("event_id", F.size("f").cast("long").alias("n_frames"), F.md5(F.hex(F.element_at("f", -1)).cast("binary")).alias("last_md5"))
+
+
 @query(f"""WITH {PACKETS}, {HEADERS}, c AS (SELECT stream_id, event_id, ts, 252 & toc AS t, n_bytes, spf FROM h),
 a AS (SELECT *, row_number() OVER w AS n, CASE WHEN lag(t) OVER w = t THEN 0 ELSE 1 END AS fresh FROM c WINDOW w AS (PARTITION BY stream_id ORDER BY ts, event_id)),
 b AS (SELECT *, sum(fresh) OVER (PARTITION BY stream_id ORDER BY n) AS run FROM a),

@@ -18,6 +18,16 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def packet_bytes(packets: DataFrame) -> DataFrame:
+    """packets with data: toc, b1, then (7 event_id + 31 i) % 256 at each offset i, a cycle of 256 bytes that is cut out."""
+    cycle = F.lit(bytes(31 * i % 256 for i in range(256)) * 6)
+    one = lambda c: F.unhex(F.lpad(F.hex(c), 2, "0"))
+    begin = (2 + F.col("event_id") * (7 * pow(31, -1, 256) % 256)) % 256 + 1
+    second = F.when(F.col("n_bytes") > 1, one(F.col("b1"))).otherwise(F.lit(b""))
+    rest = F.substring(cycle, begin.cast("int"), F.greatest(F.col("n_bytes") - 2, F.lit(0)).cast("int"))
+    return packets.withColumn("data", F.concat(one(F.col("toc")), second, rest))
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events.value as 16-bit samples: stream_id, ts, event_id, x, silent."""
     e = table(spark, sf_dir, "events")

@@ -31,20 +31,29 @@ PACKETS = [
     (b"\x03\x02abc", "invalid", None),
     (b"\x02\x09ab", "invalid", None),
     (b"", "empty", None),
+    (None, "empty", None),
+    (b"\x00", None, [0]),
+    (b"\x02\xc8abc", "invalid", None),
+    (b"\x03\x83\x01\x02\x0a\x14\x15\x1e\x1f\x20", None, [1, 2, 3]),
+    (b"\x03\x41\xff\x01abc" + bytes(255), None, [3]),
+    (b"\x03\x41\xff\xff", "invalid", None),
 ]
 
 
 @pytest.mark.parametrize("data, error, sizes", PACKETS)
 def test_parse(spark, data, error, sizes):
-    rows = spark.createDataFrame([(list(data),)], "d array<int>")
-    x = rows.select(pk.parse(F.col("d")).alias("x")).head()["x"]
+    rows = spark.createDataFrame([(data,)], "d binary")
+    x, f = rows.select(pk.parse(F.col("d")).alias("x"), pk.frames(F.col("d"), pk.parse(F.col("d"))).alias("f")).head()
     assert (x["error"], x["sizes"]) == (error, sizes)
+    if sizes is not None:
+        at = x["offset"]
+        assert [bytes(b) for b in f] == [data[at + sum(sizes[:i]) : at + sum(sizes[: i + 1])] for i in range(len(sizes))]
     if data == b"\x03\x41\x02abc\x00\x00":
         assert x["padding"] == 2
 
 
 def test_parse_self_delimited(spark):
-    rows = spark.createDataFrame([(list(b"\x00\x02abcd"),), (list(b"\x01\x02abcd"),), (list(b"\x02\x01\x02abc"),)], "d array<int>")
+    rows = spark.createDataFrame([(b"\x00\x02abcd",), (b"\x01\x02abcd",), (b"\x02\x01\x02abc",)], "d binary")
     assert [r["x"]["sizes"] for r in rows.select(pk.parse(F.col("d"), self_delimited=True).alias("x")).collect()] == [[2], [2, 2], [1, 2]]
 
 
