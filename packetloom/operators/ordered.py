@@ -25,31 +25,37 @@ def place(order: list[str]) -> Column:
     return F.struct(*[x for i, c in enumerate(order) for x in (F.col(c).isNull().alias(f"n{i}"), F.col(c).alias(f"c{i}"))])
 
 
-def running(rows: DataFrame, key: str, order: list[str], sums: dict[str, Column], seconds: int = CHUNK_SECONDS) -> DataFrame:
-    """rows with a column for each of sums: its total over the key's rows up to and including this one.
+def along(rows: DataFrame, key: str, order: list[str], sums: dict[str, Column], columns: dict[str, str], seconds: int = CHUNK_SECONDS) -> DataFrame:
+    """rows with running sums and columns of the row before, in one pass over the chunks and one over the rows.
 
-    order begins with a timestamp and must tell a key's rows apart. Null terms count as 0.
+    A column for each of sums: its total over the key's rows up to and including this one; null terms count as 0. For each
+    new name in columns: the value of a column in the key's row before, null in its first. order begins with a timestamp
+    and must tell a key's rows apart.
     """
     terms = {f"_t_{n}": F.coalesce(c.cast("long"), F.lit(0)) for n, c in sums.items()}
     cut = rows.withColumn("_chunk", _chunk(order[0], seconds)).withColumns(terms)
-    totals = cut.groupBy(key, "_chunk").agg(*[F.sum(f"_t_{n}").alias(f"_s_{n}") for n in sums])
-    before = Window.partitionBy(key).orderBy(*ascending(["_chunk"])).rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(F.col(key).alias("_own_key"), F.col("_chunk").alias("_own_chunk"), *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums])
-    joined = cut.join(bases, F.col(key).eqNullSafe(F.col("_own_key")) & F.col("_chunk").eqNullSafe(F.col("_own_chunk")))
-    within = Window.partitionBy(key, "_chunk").orderBy(*ascending(order)).rowsBetween(Window.unboundedPreceding, 0)
-    return joined.select(*rows.columns, *[(F.col(f"_b_{n}") + F.sum(f"_t_{n}").over(within)).alias(n) for n in sums])
+    found = [F.sum(f"_t_{n}").alias(f"_s_{n}") for n in sums]
+    found += [F.max_by(F.struct(*[F.col(c).alias(f"_l_{n}") for n, c in columns.items()]), place(order)).alias("_l")] if columns else []
+    chunks = cut.groupBy(key, "_chunk").agg(*found)
+    over = Window.partitionBy(key).orderBy(*ascending(["_chunk"]))
+    before = over.rowsBetween(Window.unboundedPreceding, -1)
+    carried = [F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums] + ([F.lag("_l").over(over).alias("_p")] if columns else [])
+    carried = chunks.select(F.col(key).alias("_own_key"), F.col("_chunk").alias("_own_chunk"), *carried)
+    joined = cut.join(carried, F.col(key).eqNullSafe(F.col("_own_key")) & F.col("_chunk").eqNullSafe(F.col("_own_chunk")))
+    within = Window.partitionBy(key, "_chunk").orderBy(*ascending(order))
+    upto, first = within.rowsBetween(Window.unboundedPreceding, 0), F.row_number().over(within) == 1
+    totals = [(F.col(f"_b_{n}") + F.sum(f"_t_{n}").over(upto)).alias(n) for n in sums]
+    return joined.select(*rows.columns, *totals, *[F.when(first, F.col(f"_p._l_{n}")).otherwise(F.lag(c).over(within)).alias(n) for n, c in columns.items()])
+
+
+def running(rows: DataFrame, key: str, order: list[str], sums: dict[str, Column], seconds: int = CHUNK_SECONDS) -> DataFrame:
+    """rows with a column for each of sums, as along gives them."""
+    return along(rows, key, order, sums, {}, seconds)
 
 
 def previous(rows: DataFrame, key: str, order: list[str], columns: dict[str, str], seconds: int = CHUNK_SECONDS) -> DataFrame:
-    """rows with, for each new name in columns, the value of a column in the key's row before (null in its first)."""
-    cut = rows.withColumn("_chunk", _chunk(order[0], seconds))
-    last = cut.groupBy(key, "_chunk").agg(F.max_by(F.struct(*columns.values()), place(order)).alias("_l"))
-    over = Window.partitionBy(key).orderBy(*ascending(["_chunk"]))
-    last = last.select(F.col(key).alias("_own_key"), F.col("_chunk").alias("_own_chunk"), F.lag("_l").over(over).alias("_p"))
-    joined = cut.join(last, F.col(key).eqNullSafe(F.col("_own_key")) & F.col("_chunk").eqNullSafe(F.col("_own_chunk")))
-    within = Window.partitionBy(key, "_chunk").orderBy(*ascending(order))
-    first = F.row_number().over(within) == 1
-    return joined.select(*rows.columns, *[F.when(first, F.col(f"_p.{c}")).otherwise(F.lag(c).over(within)).alias(n) for n, c in columns.items()])
+    """rows with columns of the key's row before, as along gives them."""
+    return along(rows, key, order, {}, columns, seconds)
 
 
 def running_min(rows: DataFrame, key: str, order: list[str], value: Column, name: str, seconds: int = CHUNK_SECONDS) -> DataFrame:

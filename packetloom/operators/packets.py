@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import header as h
-from . import ordered
+from . import ordered, rates
 from .container import bytes_of
 
 #: The longest frame, in bytes, and the longest packet, in samples at 48 kHz.
@@ -119,13 +119,13 @@ def regroup(frames: DataFrame, stream: str, order: list[str], most_samples: int
     """Packets of consecutive frames (stream, toc, size, samples) of one stream and header; none longer than most_samples.
 
     order begins with a timestamp. One row (stream, first, toc, n_frames, code, header, total) a packet, first being the row number of its first frame.
-    Runs of one header are cut by their sums, so each packet is a group of bounded size.
+    A run of one header is told by the number of its first row, so each packet is a group of bounded size.
     """
-    rows = ordered.previous(ordered.running(frames, stream, order, {"n": F.lit(1)}), stream, order, {"before": "toc"})
-    rows = ordered.running(rows, stream, order, {"run": F.when(F.col("before") == F.col("toc"), 0).otherwise(1)})
-    starts = rows.groupBy(F.col(stream).alias("_own"), F.col("run").alias("_run")).agg(F.min("n").alias("start"))
+    rows = ordered.along(frames, stream, order, {"n": F.lit(1)}, {"before": "toc"})
+    fresh = ~F.coalesce(F.col("before") == F.col("toc"), F.lit(False))
+    rows = rates.hysteresis(rows, stream, order, F.when(fresh, F.col("n")), 1, "start")
     per = F.greatest(F.lit(1).cast("long"), F.call_function("div", F.lit(most_samples).cast("long"), F.col("samples")))
-    rows = rows.join(starts, F.col(stream).eqNullSafe(F.col("_own")) & (F.col("run") == F.col("_run"))).withColumn("packet", F.call_function("div", F.col("n") - F.col("start"), per))
-    grouped = rows.groupBy(stream, "run", "packet").agg(F.min("n").alias("first"), F.min("toc").alias("toc"), F.array_sort(F.collect_list(F.struct("n", "size"))).alias("f"))
+    rows = rows.withColumn("packet", F.call_function("div", F.col("n") - F.col("start"), per))
+    grouped = rows.groupBy(stream, "start", "packet").agg(F.min("n").alias("first"), F.min("toc").alias("toc"), F.array_sort(F.collect_list(F.struct("n", "size"))).alias("f"))
     x = packed_size(F.col("f.size"))
     return grouped.select(stream, "first", "toc", F.size("f").alias("n_frames"), x["code"].alias("code"), x["header"].alias("header"), x["total"].alias("total"))

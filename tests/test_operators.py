@@ -111,6 +111,8 @@ def test_running_and_previous_cross_chunks(spark):
         total[r["k"]] = total.get(r["k"], 0) + r["v"]
         assert (r["s"], r["p"]) == (total[r["k"]], last.get(r["k"]))
         last[r["k"]] = r["v"]
+    once = ordered.along(rows, "k", ["ts", "id"], {"s": F.col("v")}, {"p": "v"})
+    assert once.exceptAll(found).isEmpty() and found.exceptAll(once).isEmpty()
     assert ordered.running(rows.limit(0), "k", ["ts", "id"], {"s": F.col("v")}).count() == 0
 
 
