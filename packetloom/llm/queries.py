@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontaminate, html, langid, neardup, secrets, sharding, tokencount, topk
+from . import bpe, chat, decontaminate, html, langid, neardup, quality, runs, secrets, sharding, tokencount, topk, trie
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -174,10 +174,61 @@ SELECT t.conv_id, n_turns, turns_sha256, CAST(length(loss) AS BIGINT) AS loss_ch
 """
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, by a model that a third of the documents is held out from."""
+    part = F.crc32(F.col("doc_id").cast("string")) % 3
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "quality")
+    model = quality.train(docs.join(labels, "doc_id").where(part != 1))
+    found = quality.score(docs, model)
+    return found.select("doc_id", F.coalesce(part == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, rebuilt so that they share beginnings."""
+    return trie.prefix_trie(*trie.spliced(trie.ranked(_table(spark, sf_dir, "conversations"))))
+
+
+OP12_SQL = """
+WITH RECURSIVE tab AS (SELECT list(CAST(list_reduce([i] || range(8), lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS BIGINT) ORDER BY i) AS t FROM range(256) AS r(i)),
+c AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS rank
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT DISTINCT conv_id FROM c),
+h AS (SELECT conv_id, conv_id - conv_id % 5 AS head,
+  xor(4294967295, list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda s, b: xor(s // 256, tab.t[xor(s, b) % 256 + 1]))) % 9 AS h
+  FROM ids, tab),
+hn AS (SELECT h.conv_id, h.head, h.h, least(h.h, count(c.rank)) AS n FROM h LEFT JOIN c ON c.conv_id = h.head GROUP BY h.conv_id, h.head, h.h),
+b AS (SELECT hn.conv_id, c.rank, c.role, c.text FROM hn JOIN c ON c.conv_id = hn.head AND c.rank <= hn.h
+  UNION ALL SELECT hn.conv_id, c.rank - hn.h + hn.n, c.role, c.text FROM hn JOIN c ON c.conv_id = hn.conv_id AND c.rank > hn.h),
+m(conv_id, depth, path, bytes) AS (SELECT conv_id, CAST(0 AS BIGINT), '', CAST(0 AS BIGINT) FROM ids
+  UNION ALL SELECT b.conv_id, b.rank, sha256(m.path || ':' || length(b.role) || ':' || b.role || b.text), CAST(strlen(b.text) AS BIGINT) FROM m JOIN b ON b.conv_id = m.conv_id AND b.rank = m.depth + 1),
+o AS (SELECT *, min(conv_id) OVER (PARTITION BY depth, path) AS node, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM m),
+n AS (SELECT node, depth, count(*) AS n_convs, max(bytes) AS bytes, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '') AS ended FROM o GROUP BY ALL),
+p AS (SELECT n.*, o.node AS parent FROM n LEFT JOIN o ON o.conv_id = n.node AND o.depth = n.depth - 1),
+k AS (SELECT parent AS node, depth - 1 AS depth, count(*) AS n_children FROM p WHERE depth > 0 GROUP BY ALL),
+q AS (SELECT p.*, coalesce(n_children, 0) AS n_children FROM p LEFT JOIN k USING (node, depth)),
+s AS (SELECT o.node, o.depth, sum(CASE WHEN q.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((q.n_convs - 1) * q.bytes) AS saved FROM q JOIN o ON o.conv_id = q.node AND o.depth <= q.depth GROUP BY ALL)
+SELECT q.node AS conv_id, q.depth, q.parent AS parent_conv_id, CAST(q.n_convs AS BIGINT) AS n_convs, CAST(q.n_children AS BIGINT) AS n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves,
+  CAST(s.saved AS BIGINT) AS saved_tokens, sha256(q.ended) AS ends_sha256 FROM q JOIN s ON s.node = q.node AND s.depth = q.depth
+"""
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of every document, repeats made at the end of some."""
+    found = runs.find_runs(runs.planted(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = runs.strongest(F.col("runs"))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_decontamination, op2_sharding, op3_html_extraction, op4_token_counts, op5_top_k, op6_secret_scan, op7_near_duplicates, op8_bpe_round_trip, op9_language_id, op10_chat_format]
+    found = [op1_decontamination, op2_sharding, op3_html_extraction, op4_token_counts, op5_top_k, op6_secret_scan, op7_near_duplicates, op8_bpe_round_trip, op9_language_id, op10_chat_format, op11_quality, op12_prefix_trie, op13_periodic_runs]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op2_sharding": OP2_SQL, "op5_top_k": OP5_SQL, "op10_chat_format": OP10_SQL, "op7_near_duplicates": OP7_SQL}
+    return {"op1_decontamination": OP1_SQL, "op2_sharding": OP2_SQL, "op5_top_k": OP5_SQL, "op10_chat_format": OP10_SQL, "op12_prefix_trie": OP12_SQL, "op7_near_duplicates": OP7_SQL}

@@ -16,6 +16,7 @@ CHUNK_BYTES = 1 << 18
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+AS_IS = np.arange(256, dtype=np.uint8)
 
 #: Bytes of words: digits, letters and everything beyond ASCII (after A-Z are lower-cased).
 ALNUM = np.zeros(256, dtype=bool)
@@ -81,9 +82,9 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
 
 
 class Words:
-    """The words of consecutive texts: where they start and end, their hashes, each text's range of words."""
+    """The words of consecutive texts, their bytes mapped by fold: where they start and end, their hashes, each text's range of words."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, fold: np.ndarray = LOWER):
         self.data, self.offsets = data, offsets
         inside = is_word[data]
         before = np.zeros(len(data) + 1, dtype=bool)
@@ -97,7 +98,7 @@ class Words:
         self.starts = np.flatnonzero(inside & ~before)
         self.ends = np.flatnonzero(inside & ~after) + 1
         self.bounds = np.searchsorted(self.starts, offsets)
-        self._lower = LOWER[data]
+        self._lower = fold[data]
 
     def hashes(self) -> np.ndarray:
         n = len(self.data)
