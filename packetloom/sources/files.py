@@ -53,15 +53,8 @@ def _walk(files: DataFrame, schema: str, rows) -> DataFrame:
     return files.mapInArrow(run, schema)
 
 
-def _checksum(data: bytes, table: list[int]) -> int:
-    crc = 0
-    for b in data:
-        crc = ((crc << 8) & 0xFFFFFFFF) ^ table[(crc >> 24) ^ b]
-    return crc
-
-
 def _pages(data: bytes) -> Iterator[tuple]:
-    table, at, n = c.crc_table(), 0, 0
+    at, n = 0, 0
     while at < len(data):
         head = data[at : at + 27]
         if len(head) < 27 or head[:4] != b"OggS" or head[4]:
@@ -71,7 +64,7 @@ def _pages(data: bytes) -> Iterator[tuple]:
         segments = data[at + 27 : at + 27 + count]
         end = at + 27 + count + sum(segments)
         error = "no segments" if not count else "unexpected end" if end > len(data) else None
-        if error is None and _checksum(data[at : at + 22] + bytes(4) + data[at + 26 : end], table) != crc:
+        if error is None and c.checksum(data[at : at + 22] + bytes(4) + data[at + 26 : end]) != crc:
             error = "bad checksum"
         yield n, flags, granule, serial, sequence, [*segments], data[at + 27 + count : end], error
         if error in ("no segments", "unexpected end"):
@@ -114,10 +107,96 @@ def packets_of(pages: DataFrame) -> DataFrame:
     return out.where("least < 255").drop("least")
 
 
-def pages(packets: DataFrame, stream: str, order: list[str], payload: str, granule: str) -> DataFrame:
+def _along_pages(pages: DataFrame, order: str) -> DataFrame:
+    """Sound pages of each (path, serial) up to its first end page, with the packets ended before and the openings through each.
+
+    An opening is a page that doesn't go on with a packet. Sums run within chunks of the order and over the chunks' sums.
+    """
+    flag = lambda bit: (F.col("flags").bitwiseAND(bit) != 0).cast("long")
+    ended = F.size(F.filter("segments", lambda n: n < 255)).cast("long")
+    rows = pages.where("error is null").withColumns({"_ended": ended, "_opens": 1 - flag(1), "_last": flag(4)})
+    # chunks of even size whatever the order counts: pages are dealt by ranges of it
+    rows = rows.repartitionByRange("path", "serial", order).withColumn("_chunk", F.spark_partition_id())
+    terms = ("_ended", "_opens", "_last")
+    chunks = rows.groupBy("path", "serial", "_chunk").agg(*(F.sum(t).alias(f"{t}_sum") for t in terms))
+    before = Window.partitionBy("path", "serial").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.select("path", "serial", "_chunk", *(F.coalesce(F.sum(f"{t}_sum").over(before), F.lit(0)).alias(f"{t}_sum") for t in terms))
+    upto = Window.partitionBy("path", "serial", "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    sums = {f"{t}_upto": F.col(f"{t}_sum") + F.sum(t).over(upto) for t in terms}
+    rows = rows.join(chunks, ["path", "serial", "_chunk"]).withColumns(sums)
+    rows = rows.where(F.col("_last_upto") - F.col("_last") == 0)
+    return rows.select(*pages.columns, (F.col("_ended_upto") - F.col("_ended")).alias("_before"), F.col("_opens_upto").alias("_openings"))
+
+
+def packets_with_payloads(pages: DataFrame, order: str = "page") -> DataFrame:
+    """(path, serial, packet, granule, payload) of every packet, put together from its pieces on pages that follow in `order`.
+
+    pages are those of read_pages, or of the source "pages" with order="offset". A page that doesn't go on with a packet
+    drops one that was left open before it; a page that goes on with one although none is open begins a packet. Unsound
+    pages and what follows a stream's end page are left out. packet counts the ended packets from 0, headers included;
+    granule is the position of the page the packet ends on, null for a page without one (-1). A packet's pieces meet in one
+    task, a stream's pages don't.
+    """
+    rows = _along_pages(pages, order).select("path", "serial", order, F.when(F.col("granule") != -1, F.col("granule")).alias("granule"), "segments", "body", "_before", "_openings")
+
+    def cut(batches):
+        for batch in batches:
+            out = []
+            for path, serial, at, granule, segments, body, before, openings in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                begin = end = 0
+                for size in segments:
+                    end += size
+                    if size < 255:
+                        out.append((path, serial, before, openings, at, granule, True, body[begin:end]))
+                        begin, before = end, before + 1
+                if end > begin:
+                    out.append((path, serial, before, openings, at, granule, False, body[begin:end]))
+            columns = list(zip(*out, strict=True)) or [()] * 8
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=names)
+
+    names = ["path", "serial", "packet", "openings", "at", "granule", "ends", "piece"]
+    kinds = [pa.string(), *[pa.int64()] * 5, pa.bool_(), pa.binary()]
+    pieces = rows.mapInArrow(cut, "path string, serial long, packet long, openings long, at long, granule long, ends boolean, piece binary")
+    # pieces of an open packet share the packets ended before them and the openings; a later opening leaves it without an end
+    whole = pieces.groupBy("path", "serial", "packet", "openings").agg(F.array_sort(F.collect_list(F.struct("at", "piece", "ends", "granule"))).alias("x"))
+    last = F.element_at("x", -1)
+    payload = F.unhex(F.array_join(F.transform("x.piece", lambda b: F.hex(b)), ""))
+    return whole.where(last["ends"]).select("path", "serial", "packet", last["granule"].alias("granule"), payload.alias("payload"))
+
+
+def streams(pages: DataFrame, order: str = "page") -> DataFrame:
+    """A row for each (path, serial): n_pages, n_packets (headers left out), head and tags as parsed, final_granule, n_samples, error.
+
+    final_granule is the last position up to the end page, null without one; n_samples is what it leaves after the pre-skip.
+    error is the first that holds: the first page doesn't begin a stream, no identification header, no comment header, or
+    what their parsing finds.
+    """
+    known = _along_pages(pages, order)
+    end = F.col("flags").bitwiseAND(4) != 0
+    facts = known.groupBy("path", "serial").agg(
+        F.count("*").alias("n_pages"), F.min_by(F.col("flags").bitwiseAND(2) != 0, order).alias("begins"), F.max(end).alias("over"),
+        F.max_by(F.when(F.col("granule") != -1, F.col("granule")), F.when(F.col("granule") != -1, F.col(order))).alias("last"),
+    )
+    packets = packets_with_payloads(pages, order)
+    first = lambda n: F.max(F.when(F.col("packet") == n, F.col("payload")))
+    found = packets.groupBy("path", "serial").agg(F.count("*").alias("n"), first(0).alias("p0"), first(1).alias("p1"))
+    rows = facts.join(found, ["path", "serial"], "left").withColumn("head", c.parse_head(F.col("p0"))).withColumn("tags", c.parse_tags(F.col("p1")))
+    error = (
+        F.when(~F.col("begins"), "first page begins no stream").when(F.col("p0").isNull(), "ended before identification header").when(F.col("head.error").isNotNull(), F.col("head.error"))
+        .when(F.col("p1").isNull(), "ended before comment header").otherwise(F.col("tags.error"))
+    )
+    final = F.when(F.col("over"), F.col("last"))
+    return rows.select(
+        "path", "serial", "n_pages", F.greatest(F.coalesce("n", F.lit(0)) - 2, F.lit(0)).alias("n_packets"), "head", "tags", final.alias("final_granule"),
+        (final - F.col("head.pre_skip")).alias("n_samples"), error.alias("error"),
+    )
+
+
+def pages(packets: DataFrame, stream: str, order: list[str], payload: str, granule: str, serial: Column | None = None) -> DataFrame:
     """(stream, page, content): serialised pages of each stream's packets in order, 255 segments a page at most.
 
-    order begins with a timestamp. Flags mark a stream's first page, its last, and pages that go on with a packet.
+    order begins with a timestamp. Flags mark a stream's first page, its last, and pages that go on with a packet. serial is
+    the stream's number of 32 bits, from the column stream; a hash of it if none is given.
     """
     k = packets.withColumn("_n", F.octet_length(payload).cast("long")).withColumn("_k", c.segments(F.col("_n")))
     rows = ordered.running(k, stream, order, {"_upto": F.col("_k")})
@@ -126,10 +205,9 @@ def pages(packets: DataFrame, stream: str, order: list[str], payload: str, granu
     seg = seg.select("stream", F.call_function("div", no, F.lit(255).cast("long")).alias("page"), no.alias("no"), "size", "granule", (F.col("i") > 0).alias("goes_on"), F.substring(F.col("data"), 255 * F.col("i") + 1, F.col("size").cast("int")).alias("bytes"))
     paged = seg.groupBy("stream", "page").agg(F.array_sort(F.collect_list(F.struct("no", "size", "goes_on", "granule", "bytes"))).alias("s"))  # 255 at most
     paged = paged.withColumn("last", F.lead("page").over(Window.partitionBy("stream").orderBy("page")).isNull())
-    paged = paged.withColumn("serial", F.pmod(F.xxhash64("stream"), F.lit(1 << 32)))
+    paged = paged.withColumn("serial", F.pmod(F.xxhash64("stream"), F.lit(1 << 32)) if serial is None else serial)
 
     def run(batches):
-        table = c.crc_table()
         for batch in batches:
             out = []
             for r in batch.to_pylist():
@@ -137,7 +215,7 @@ def pages(packets: DataFrame, stream: str, order: list[str], payload: str, granu
                 flags = (1 if r["s"][0]["goes_on"] else 0) | (2 if r["page"] == 0 else 0) | (4 if r["last"] else 0)
                 head = struct.pack("<4sBBqII", b"OggS", 0, flags, ended[-1] if ended else -1, r["serial"], r["page"])
                 rest = bytes([len(r["s"])]) + bytes(x["size"] for x in r["s"]) + b"".join(x["bytes"] for x in r["s"])
-                out.append(head + struct.pack("<I", _checksum(head + bytes(4) + rest, table)) + rest)
+                out.append(head + struct.pack("<I", c.checksum(head + bytes(4) + rest)) + rest)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["stream", "page", "content"])
 
     kind = paged.schema["stream"].dataType.simpleString()
@@ -147,7 +225,8 @@ def pages(packets: DataFrame, stream: str, order: list[str], payload: str, granu
 WAV_SCHEMA = "error string, channels long, rate long, data_at long, data_bytes long, n_samples long"
 
 
-def _wav(data: memoryview) -> tuple:
+def wav_fields(data: memoryview) -> tuple:
+    """The values of WAV_SCHEMA of a file's bytes."""
     if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
         return ("not RIFF" if data[:4] != b"RIFF" else "not WAVE", *[None] * 5)
     at, channels, rate = 12, None, None
@@ -183,7 +262,7 @@ def wav_header(content: Column) -> Column:
 
     @F.arrow_udf(f"struct<{WAV_SCHEMA.replace(' ', ':').replace(',:', ',')}>")
     def walked(contents: pa.Array) -> pa.Array:
-        rows = [_wav(memoryview(x.as_buffer() or b"")) for x in contents]
+        rows = [wav_fields(memoryview(x.as_buffer() or b"")) for x in contents]
         return pa.array([dict(zip(kind.names, r, strict=True)) for r in rows], kind)
 
     return walked(content)
