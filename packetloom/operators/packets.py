@@ -115,6 +115,105 @@ def padding_fields(pad: Column) -> Column:
     return F.struct(full.alias("full"), (pad - 255 * full - 1).alias("last"))
 
 
+def _size_hex(n: Column) -> Column:
+    """A frame's length as its one- or two-byte field, in hex."""
+    byte = lambda x: F.lpad(F.hex(x), 2, "0")
+    first = 252 + n.bitwiseAND(3)
+    return F.when(n < 252, byte(n)).otherwise(F.concat(byte(first), byte(F.shiftright(n - first, 2))))
+
+
+def emit(toc: Column, frames: Column, begin: Column | None = None, end: Column | None = None, *, most: Column | None = None, pad: bool | Column = False, self_delimited: bool | Column = False) -> Column:
+    """struct(error, data): frames begin to end (exclusive; all by default) as one packet with the header of toc.
+
+    The framing is the shortest: one frame, two equal ones, two, or a counted list whose lengths are told unless they are
+    equal. most is the longest packet allowed, pad fills the packet up to it with zeros, which only a counted list can
+    carry. self_delimited tells the last frame's length too. error is `bad range` or `too small`; frames that are null or
+    longer than MOST_FRAME give `bad frames`. parse of the data gives the frames.
+    """
+    flag = lambda x: x if isinstance(x, Column) else F.lit(x)
+    pad, self_delimited = flag(pad), flag(self_delimited)
+    begin, end = F.lit(0) if begin is None else begin, F.size(frames) if end is None else end
+    wrong = F.coalesce((begin < 0) | (begin >= end) | (end > F.size(frames)), F.lit(True))
+
+    def measured(x):
+        sizes = F.transform(x["f"], lambda b: F.octet_length(b).cast("long"))
+        return F.struct(x["f"].alias("f"), sizes.alias("sizes"))
+
+    def framed(x):
+        n, last = F.size(x["f"]), F.element_at(x["sizes"], -1)
+        own = F.when(self_delimited, F.when(last >= 252, 2).otherwise(1)).otherwise(0).cast("long")
+        same = F.size(F.array_distinct(x["sizes"])) == 1
+        fields = F.aggregate(F.slice(x["sizes"], 1, n - 1), F.lit(0).cast("long"), lambda a, v: a + F.when(v < 252, 1).otherwise(2))
+        frames_total = F.aggregate(x["sizes"], F.lit(0).cast("long"), lambda a, v: a + v)
+        short = packed_size(x["sizes"])
+        listed = 2 + F.when(same, F.lit(0).cast("long")).otherwise(fields) + frames_total + own
+        return F.struct(
+            x["f"].alias("f"), x["sizes"].alias("sizes"), n.alias("n"), last.alias("last"), same.alias("same"), short["code"].alias("code"), (short["total"] + own).alias("short"),
+            listed.alias("listed"), F.coalesce(most.cast("long") if most is not None else short["total"] + own, F.lit(0).cast("long")).alias("most"),
+        )
+
+    def written(x):
+        counted = (x["n"] > 2) | (pad & (x["short"] < x["most"]))
+        filled = F.when(counted & pad, F.greatest(x["most"] - x["listed"], F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))
+        field = padding_fields(filled)
+        byte = lambda v: F.lpad(F.hex(v.cast("long")), 2, "0")
+        code = F.when(counted, 3).otherwise(x["code"])
+        count = x["n"] + F.when(x["same"], 0).otherwise(128) + F.when(filled > 0, 64).otherwise(0)
+        described = F.when(filled > 0, F.concat(F.repeat(F.lit("FF"), field["full"].cast("int")), byte(field["last"]))).otherwise("")
+        sized = F.when((code == 2) | ((code == 3) & ~x["same"]), F.slice(x["sizes"], 1, x["n"] - 1)).otherwise(F.array().cast("array<bigint>"))
+        rest = F.when(filled > 0, F.repeat(F.lit("00"), (filled - field["full"] - 1).cast("int"))).otherwise("")
+        hexed = F.concat(
+            byte(toc.bitwiseAND(252) + code), F.when(code == 3, byte(count)).otherwise(""), described, F.array_join(F.transform(sized, _size_hex), ""), F.when(self_delimited, _size_hex(x["last"])).otherwise(""),
+            F.array_join(F.transform(x["f"], lambda b: F.hex(b)), ""), rest,
+        )
+        small = F.when(counted, x["listed"]).otherwise(x["short"]) > x["most"]
+        bad = F.exists(x["sizes"], lambda v: v.isNull() | (v > MOST_FRAME))
+        error = F.when(F.coalesce(bad, F.lit(True)), "bad frames").when(small, "too small")
+        return F.struct(error.alias("error"), F.when(error.isNull(), F.unhex(hexed)).alias("data"))
+
+    none = F.struct(F.lit("bad range").alias("error"), F.lit(None).cast("binary").alias("data"))
+    chosen = F.slice(frames, begin.cast("int") + 1, (end - begin).cast("int"))
+    return F.when(wrong, none).otherwise(_let(_let(_let(F.struct(F.when(wrong, F.slice(frames, 1, 0)).otherwise(chosen).alias("f")), measured), framed), written))
+
+
+def merge(packets: Column, self_delimited: bool = False) -> Column:
+    """struct(error, toc, frames) of packets (array<binary>) whose frames are put behind each other.
+
+    error is `invalid` if one of them isn't valid, if headers differ in more than the count code, or if more than 120 ms come
+    together; `empty` if there are none. Use emit to write toc and frames.
+    """
+    packets = F.coalesce(packets, F.array().cast("array<binary>"))
+    each = F.transform(packets, lambda d: F.struct(d.alias("d"), parse(d, self_delimited).alias("x")))
+    state = "struct<error:string,toc:bigint,frames:array<binary>>"
+
+    def add(s, e):
+        toc = _byte(e["d"], F.lit(0))
+        all_ = F.concat(s["frames"], frames(e["d"], e["x"]))
+        wrong = s["error"].isNotNull() | e["x"]["error"].isNotNull() | (F.coalesce(s["toc"], toc).bitwiseAND(252) != toc.bitwiseAND(252)) | (F.size(all_) * h.samples_per_frame(toc) > MOST_SAMPLES)
+        wrong = F.coalesce(wrong, F.lit(True))
+        bad = F.struct(F.lit("invalid").alias("error"), F.lit(None).cast("bigint").alias("toc"), F.array().cast("array<binary>").alias("frames")).cast(state)
+        return F.when(wrong, bad).otherwise(F.struct(F.lit(None).cast("string").alias("error"), F.coalesce(s["toc"], toc).alias("toc"), all_.alias("frames")).cast(state))
+
+    start = F.struct(F.lit(None).cast("string").alias("error"), F.lit(None).cast("bigint").alias("toc"), F.array().cast("array<binary>").alias("frames")).cast(state)
+    found = F.aggregate(each, start, add)
+    return _let(found, lambda s: F.struct(F.when(s["error"].isNull() & s["toc"].isNull(), "empty").otherwise(s["error"]).alias("error"), s["toc"].alias("toc"), s["frames"].alias("frames")))
+
+
+def pad(data: Column, length: Column) -> Column:
+    """struct(error, data): a packet grown to exactly `length` bytes; one of that length is left as it is.
+
+    error is `invalid` if the packet isn't valid, `bad length` if it is empty or longer.
+    """
+    n = F.coalesce(F.octet_length(data), F.lit(0))
+    none = F.lit(None).cast("binary")
+
+    def grown(x):
+        return F.when(x["error"].isNotNull(), F.struct(F.lit("invalid").alias("error"), none.alias("data"))).otherwise(emit(_byte(data, F.lit(0)), frames(data, x), most=length, pad=True))
+
+    kept = F.struct(F.lit(None).cast("string").alias("error"), data.alias("data"))
+    return F.when((n < 1) | (n > length), F.struct(F.lit("bad length").alias("error"), none.alias("data"))).when(n == length, kept).otherwise(_let(parse(data), grown))
+
+
 def regroup(frames: DataFrame, stream: str, order: list[str], most_samples: int = MOST_SAMPLES) -> DataFrame:
     """Packets of consecutive frames (stream, toc, size, samples) of one stream and header; none longer than most_samples.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import header as h
 from ..operators import container as c, ordered
-from ..sources import fixtures
+from ..sources import files, fixtures, formats
 from .base import HEADERS, PACKETS, query
 
 ORDER = ["ts", "event_id"]
@@ -73,13 +73,69 @@ def record_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TABLE = "list_transform(range(256), lambda b: list_reduce(list_prepend(CAST(b << 24 AS BIGINT), list_transform(range(8), lambda i: CAST(0 AS BIGINT))), lambda r, i: xor((r << 1) & 4294967295, CASE WHEN r & 2147483648 <> 0 THEN 79764919 ELSE 0 END)))"
 
 
-@query(f"""WITH t AS (SELECT {_TABLE} AS t), u AS (SELECT page_id, hex(encode(url)) AS h, octet_length(encode(url)) AS n FROM pages)
-SELECT page_id, n AS n_bytes, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(range(n), lambda i: CAST('0x' || h[2 * i + 1 : 2 * i + 2] AS BIGINT))),
+@query(f"""WITH t AS (SELECT {_TABLE} AS t), u AS (SELECT page_id, regexp_extract_all(hex(encode(coalesce(html, ''))), '..') AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages)
+SELECT page_id, CAST(n AS BIGINT) AS n_bytes, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(h, lambda x: CAST('0x' || x AS BIGINT))),
   lambda c, b: xor((c << 8) & 4294967295, t.t[xor(c >> 24, b) + 1])) AS crc FROM u, t""")
 def page_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The container's checksum of every page's address."""
-    url = F.col("url")
-    return fixtures.table(spark, sf_dir, "pages").select("page_id", F.octet_length("url").cast("long").alias("n_bytes"), c.page_crc(c.bytes_of(url)).alias("crc"))
+    """The container's checksum of every page's whole html."""
+    html = F.coalesce(F.col("html"), F.lit(""))
+    return fixtures.table(spark, sf_dir, "pages").select("page_id", F.octet_length(html).cast("long").alias("n_bytes"), c.page_crc(html).alias("crc"))
+
+
+_PAYLOADS = "p AS (SELECT coalesce(user_id, 4294967295) AS stream_id, ts, event_id, repeat(CAST(event_id AS VARCHAR) || ',', 1 + event_id % 300) AS payload FROM events)"
+
+
+def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages read back by ranges from files that hold every event's number, repeated, as a packet of its user's stream."""
+    payload = F.encode(F.repeat(F.concat(F.col("event_id").cast("string"), F.lit(",")), (1 + F.col("event_id") % 300).cast("int")), "UTF-8")
+    p = fixtures.table(spark, sf_dir, "events").select(F.coalesce("user_id", F.lit((1 << 32) - 1)).alias("stream_id"), "ts", "event_id", payload.alias("payload"))
+    pages = files.pages(p, "stream_id", ORDER, "payload", "event_id", serial=F.col("stream"))
+    formats.register(spark)
+    folder = formats.scratch(spark)
+    pages.repartition("stream").sortWithinPartitions("stream", "page").write.format("pages").mode("append").save(folder)
+    return spark.read.format("pages").load(folder)
+
+
+@query(f"""WITH {_PAYLOADS}, s AS (SELECT *, octet_length(encode(payload)) AS n, row_number() OVER w - 1 AS packet, sum(octet_length(encode(payload)) // 255 + 1) OVER w AS upto FROM p WINDOW w AS (PARTITION BY stream_id ORDER BY ts, event_id))
+SELECT stream_id AS serial, CAST(packet AS BIGINT) AS packet, last_value(event_id) OVER (PARTITION BY stream_id, (upto - 1) // 255 ORDER BY packet ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS granule, CAST(n AS BIGINT) AS n_bytes, sha256(payload) AS payload_sha256 FROM s""")
+def container_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets written as pages by the sink, read by the source in ranges, and put together again."""
+    found = files.packets_with_payloads(_written(spark, sf_dir), "offset")
+    return found.select("serial", "packet", "granule", F.octet_length("payload").cast("long").alias("n_bytes"), F.sha2("payload", 256).alias("payload_sha256"))
+
+
+@query("""WITH x AS (SELECT c_custkey, c_custkey % 9 AS kind, 1 + c_custkey % 2 AS ch, [8000, 12000, 16000, 24000, 48000][c_nationkey % 5 + 1] AS rate, c_custkey % 512 AS gain FROM customer),
+e AS (SELECT *, CASE kind WHEN 1 THEN 'too short' WHEN 2 THEN 'bad magic' WHEN 3 THEN 'unsupported version' WHEN 4 THEN 'no channels' WHEN 5 THEN 'too many channels' WHEN 6 THEN 'mapping table truncated' END AS error, kind = 7 AS mapped FROM x)
+SELECT c_custkey, error, CASE WHEN error IS NULL THEN CASE WHEN mapped THEN 3 ELSE ch END END AS channels, CASE WHEN error IS NULL THEN 312 END AS pre_skip, CASE WHEN error IS NULL THEN rate END AS rate, CASE WHEN error IS NULL THEN gain END AS gain,
+  CASE WHEN error IS NULL THEN CASE WHEN mapped THEN 1 ELSE 0 END END AS family, CASE WHEN mapped THEN 2 END AS streams, CASE WHEN mapped THEN 1 END AS coupled, CASE WHEN mapped THEN '000102' END AS mapping FROM e""")
+def parsed_identification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An identification header for every customer, most of them spoiled in some way, parsed with the first failing check."""
+    t, kind = fixtures.table(spark, sf_dir, "customer"), F.col("c_custkey") % 9
+    rate = F.element_at(F.array(*map(F.lit, (8000, 12000, 16000, 24000, 48000))), F.col("c_nationkey") % 5 + 1)
+    whole = c.head(1 + F.col("c_custkey") % 2, rate, F.col("c_custkey") % 512)
+    put = lambda at, value: F.concat(F.substring(F.col("w"), 1, 2 * at), F.lit(value), F.substring(F.col("w"), 2 * at + 1 + len(value), 99))
+    table = lambda tail: F.concat(F.substring(F.col("w"), 1, 18), F.lit("03"), F.substring(F.col("w"), 21, 16), F.lit("01" + tail))
+    spoiled = (
+        F.when(kind == 1, F.substring(F.col("w"), F.lit(1), (2 * (F.col("c_custkey") % 19)).cast("int"))).when(kind == 2, put(0, "6F")).when(kind == 3, put(8, "1F")).when(kind == 4, put(9, "00")).when(kind == 5, put(9, "03"))
+        .when(kind == 6, table("02010001")).when(kind == 7, table("0201000102FFFF")).when(kind == 8, F.concat(F.col("w"), F.lit("ABCD"))).otherwise(F.col("w"))
+    )
+    x = t.withColumn("w", whole).select("c_custkey", c.parse_head(F.unhex(spoiled)).alias("x"))
+    return x.select("c_custkey", *(f"x.{n}" for n in ("error", "channels", "pre_skip", "rate", "gain", "family", "streams", "coupled")), F.hex("x.mapping").alias("mapping"))
+
+
+@query("""WITH x AS (SELECT p_partkey, 'TITLE=' || p_name AS a, 'GENRE=' || p_type AS b FROM part),
+n AS (SELECT *, octet_length(encode(a)) AS na, octet_length(encode(b)) AS nb FROM x), l AS (SELECT *, p_partkey * 7 % (44 + na + nb) AS cut FROM n),
+e AS (SELECT *, CASE WHEN cut < 12 THEN 'too short' WHEN cut < 22 THEN 'vendor overruns packet' WHEN cut < 26 THEN 'missing comment count' WHEN cut < 30 THEN 'comment 0 length truncated' WHEN cut < 30 + na THEN 'comment 0 overruns packet'
+  WHEN cut < 34 + na THEN 'comment 1 length truncated' WHEN cut < 34 + na + nb THEN 'comment 1 overruns packet' END AS error FROM l)
+SELECT p_partkey, error, CASE WHEN error IS NULL THEN 'packetloom' END AS vendor, CASE WHEN error IS NULL THEN a || '|' || b END AS comments FROM e""")
+def parsed_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A comment header for every part, cut off at some byte, parsed with the first length that overruns it."""
+    comments = F.array(F.concat(F.lit("TITLE="), "p_name"), F.concat(F.lit("GENRE="), "p_type"))
+    made = fixtures.table(spark, sf_dir, "part").select("p_partkey", F.unhex(c.tags(F.lit("packetloom"), comments)).alias("d"))
+    end = (F.col("p_partkey") * 7 % (F.octet_length("d") + 10)).cast("int")
+    x = made.select("p_partkey", c.parse_tags(F.substring(F.col("d"), F.lit(1), end)).alias("x"))
+    text = F.array_join(F.transform("x.comments", lambda b: F.decode(b, "UTF-8")), "|")
+    return x.select("p_partkey", "x.error", F.decode("x.vendor", "UTF-8").alias("vendor"), text.alias("comments"))
 
 
 @query("""WITH x AS (SELECT c_custkey, 1 + c_custkey % 2 AS ch, [8000, 12000, 16000, 24000, 48000][c_nationkey % 5 + 1] AS rate, c_custkey % 512 AS gain FROM customer)

@@ -46,12 +46,12 @@ w AS (SELECT *, CASE WHEN code <> 3 THEN 1 WHEN NOT padded THEN 2 ELSE stop + 1
   CASE WHEN code <> 3 THEN n_bytes - 1 WHEN NOT padded THEN n_bytes - 2 ELSE n_bytes - 2 - (stop - 2) * 255 - 1 - d[stop + 1] END AS left0,
   (code = 3 AND (n_bytes < 2 OR frames = 0 OR frames * spf > 5760)) OR (padded AND others = 0) AS bad0 FROM q),
 f AS (SELECT *, CASE WHEN code = 2 THEN 1 WHEN code = 3 AND b1 & 128 <> 0 AND NOT bad0 THEN greatest(frames - 1, 0) ELSE 0 END AS k FROM w),
-s AS (SELECT event_id, list_reduce(list_prepend({{'at': at0, 'left': left0, 'sum': CAST(0 AS BIGINT), 'bad': bad0 OR left0 < 0, 'v': CAST(0 AS BIGINT)}},
-    list_transform(range(k), lambda i: {{'at': at0, 'left': left0, 'sum': CAST(0 AS BIGINT), 'bad': FALSE, 'v': CAST(0 AS BIGINT)}})),
+s AS (SELECT event_id, list_reduce(list_prepend({{'at': at0, 'left': left0, 'sum': CAST(0 AS BIGINT), 'bad': bad0 OR left0 < 0, 'v': CAST([] AS BIGINT[])}},
+    list_transform(range(k), lambda i: {{'at': at0, 'left': left0, 'sum': CAST(0 AS BIGINT), 'bad': FALSE, 'v': CAST([] AS BIGINT[])}})),
     lambda a, _: {{'at': a.at + CASE WHEN d[a.at + 1] >= 252 THEN 2 ELSE 1 END, 'left': a.left - CASE WHEN d[a.at + 1] >= 252 THEN 2 ELSE 1 END,
       'sum': a.sum + coalesce(CASE WHEN d[a.at + 1] >= 252 THEN 4 * d[a.at + 2] + d[a.at + 1] ELSE d[a.at + 1] END, 0),
       'bad': a.bad OR coalesce(a.left < CASE WHEN d[a.at + 1] >= 252 THEN 2 ELSE 1 END OR (CASE WHEN d[a.at + 1] >= 252 THEN 4 * d[a.at + 2] + d[a.at + 1] ELSE d[a.at + 1] END) > a.left - CASE WHEN d[a.at + 1] >= 252 THEN 2 ELSE 1 END, TRUE),
-      'v': CAST(0 AS BIGINT)}}) AS z FROM f),
+      'v': list_append(a.v, CAST(coalesce(CASE WHEN d[a.at + 1] >= 252 THEN 4 * d[a.at + 2] + d[a.at + 1] ELSE d[a.at + 1] END, 0) AS BIGINT))}}) AS z FROM f),
 e AS (SELECT f.event_id, f.frames, f.code, z, CASE WHEN f.code = 1 OR (f.code = 3 AND f.b1 & 128 = 0) THEN z.left // greatest(f.frames, 1) ELSE z.left - z.sum END AS last,
   (f.code = 1 OR (f.code = 3 AND f.b1 & 128 = 0)) AS even, f.n_bytes FROM f JOIN s USING (event_id)),
 r AS (SELECT *, z.bad OR z.left - z.sum < 0 OR (even AND z.left % greatest(frames, 1) <> 0) OR last > 1275 AS bad FROM e)"""
@@ -65,12 +65,59 @@ def packet_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("event_id", F.col("x.error").alias("error"), F.when(good, F.size("x.sizes").cast("long")).alias("n_frames"), F.element_at("x.sizes", -1).alias("last_size"), F.when(good, F.col("x.padding")).alias("padding"))
 
 
-@query(f"""{_PARSED} SELECT event_id, CAST(frames AS BIGINT) AS n_frames, md5(array_to_string(list_transform(list_slice(d, z.at + z.left - last + 1, z.at + z.left), lambda x: printf('%02X', CAST(x AS INTEGER))), '')) AS last_md5 FROM r JOIN b USING (event_id, frames) WHERE NOT bad""")
+#: Every valid packet's frames: their lengths (sizes), where each begins after the first (starts), and the bytes of the packet (d).
+_FRAMES = f"""{_PARSED},
+g0 AS (SELECT event_id, frames AS n, z.at AS off, CASE WHEN even THEN list_transform(range(frames), lambda i: CAST(last AS BIGINT)) ELSE list_append(z.v, CAST(last AS BIGINT)) END AS sizes FROM r WHERE NOT bad),
+g AS (SELECT g0.*, b.d, b.toc, list_transform(range(n), lambda i: CAST(coalesce(list_sum(sizes[1 : i]), 0) AS BIGINT)) AS starts FROM g0 JOIN b USING (event_id)),
+x AS (SELECT *, list_transform(range(n), lambda i: array_to_string(list_transform(list_slice(d, off + starts[i + 1] + 1, off + starts[i + 1] + sizes[i + 1]), lambda v: printf('%02X', CAST(v AS INTEGER))), '')) AS h FROM g)"""
+
+
+@query(f"{_FRAMES} SELECT event_id, CAST(n AS BIGINT) AS n_frames, md5(array_to_string(h, '|')) AS frames_md5 FROM x")
 def packet_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every valid packet's frames cut out: how many there are, and a digest of the last one's bytes in hex."""
+    """Every valid packet's frames cut out: how many there are, and a digest of all their bytes in hex, one frame after the other."""
     made = fixtures.packet_bytes(fixtures.packets(spark, sf_dir)).withColumn("x", pk.parse(F.col("data"))).where("x.error is null")
     cut = made.select("event_id", pk.frames(F.col("data"), F.col("x")).alias("f"))
-    return cut.select("event_id", F.size("f").cast("long").alias("n_frames"), F.md5(F.hex(F.element_at("f", -1)).cast("binary")).alias("last_md5"))
+    return cut.select("event_id", F.size("f").cast("long").alias("n_frames"), F.md5(F.array_join(F.transform("f", lambda b: F.hex(b)), "|").cast("binary")).alias("frames_md5"))
+
+
+_FIELD = "CASE WHEN {0} < 252 THEN printf('%02X', CAST({0} AS INTEGER)) ELSE printf('%02X%02X', CAST(252 + ({0} & 3) AS INTEGER), CAST(({0} - 252 - ({0} & 3)) >> 2 AS INTEGER)) END"
+
+
+@query(f"""{_FRAMES},
+c AS (SELECT event_id, toc, event_id % n AS b, event_id % n + 1 + event_id // 7 % (n - event_id % n) AS e, event_id % 3 = 0 AS pad, event_id % 5 = 0 AS own, 1200 + event_id % 400 AS most, sizes, h FROM x),
+l AS (SELECT event_id, toc, pad, own, most, e - b AS n, sizes[b + 1 : e] AS s, h[b + 1 : e] AS h FROM c),
+m AS (SELECT *, len(list_distinct(s)) = 1 AS same, CAST(list_sum(s) AS BIGINT) AS total, s[n] AS last, array_to_string(list_transform(s[1 : n - 1], lambda v: {_FIELD.format('v')}), '') AS fields FROM l),
+o AS (SELECT *, CASE WHEN own THEN {_FIELD.format('last')} ELSE '' END AS tail FROM m),
+w2 AS (SELECT *, CASE WHEN n = 1 OR same THEN 1 ELSE 1 + len(fields) // 2 END + total + len(tail) // 2 AS short, 2 + CASE WHEN same THEN 0 ELSE len(fields) // 2 END + total + len(tail) // 2 AS listed FROM o),
+k AS (SELECT *, n > 2 OR (pad AND short < most) AS counted FROM w2),
+p2 AS (SELECT *, CASE WHEN counted AND pad THEN greatest(most - listed, 0) ELSE 0 END AS filled FROM k),
+q2 AS (SELECT *, CASE WHEN filled > 0 THEN (filled - 1) // 255 ELSE 0 END AS f255, CASE WHEN counted THEN listed ELSE short END > most AS small FROM p2),
+y AS (SELECT event_id, small, printf('%02X', CAST((toc & 252) + CASE WHEN counted THEN 3 WHEN n = 1 THEN 0 WHEN same THEN 1 ELSE 2 END AS INTEGER))
+  || CASE WHEN counted THEN printf('%02X', CAST(n + CASE WHEN same THEN 0 ELSE 128 END + CASE WHEN filled > 0 THEN 64 ELSE 0 END AS INTEGER)) ELSE '' END
+  || CASE WHEN filled > 0 THEN repeat('FF', CAST(f255 AS BIGINT)) || printf('%02X', CAST(filled - 255 * f255 - 1 AS INTEGER)) ELSE '' END
+  || CASE WHEN NOT same THEN fields ELSE '' END || tail || array_to_string(h, '') || CASE WHEN filled > 0 THEN repeat('00', CAST(filled - f255 - 1 AS BIGINT)) ELSE '' END AS hex FROM q2)
+SELECT event_id, CASE WHEN small THEN 'too small' END AS error, CASE WHEN NOT small THEN CAST(len(hex) // 2 AS BIGINT) END AS n_bytes, CASE WHEN NOT small THEN md5(hex) END AS data_md5 FROM y""")
+def packet_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of every valid packet's frames written as a packet of its own: some filled up with padding, some self-delimited, some too long for their place."""
+    i = F.col("event_id")
+    made = fixtures.packet_bytes(fixtures.packets(spark, sf_dir)).withColumn("x", pk.parse(F.col("data"))).where("x.error is null")
+    cut = made.withColumn("f", pk.frames(F.col("data"), F.col("x"))).withColumn("n", F.size("f")).withColumn("b", (i % F.col("n")).cast("int"))
+    end = F.col("b") + 1 + (F.call_function("div", i, F.lit(7).cast("long")) % (F.col("n") - F.col("b"))).cast("int")
+    out = cut.select("event_id", pk.emit(F.col("toc"), F.col("f"), F.col("b"), end, most=1200 + i % 400, pad=i % 3 == 0, self_delimited=i % 5 == 0).alias("y"))
+    return out.select("event_id", F.col("y.error").alias("error"), F.octet_length("y.data").cast("long").alias("n_bytes"), F.md5(F.hex("y.data").cast("binary")).alias("data_md5"))
+
+
+@query(f"""WITH {PACKETS}, {HEADERS} SELECT mode, bw AS bandwidth_rank, ch AS channels, CAST(grouping(mode) * 4 + grouping(bw) * 2 + grouping(ch) AS BIGINT) AS level, count(*) AS n_packets, CAST(sum(n_bytes) AS BIGINT) AS n_bytes, CAST(sum(frames) AS BIGINT) AS n_frames,
+  CAST(sum(CASE WHEN frames * spf <= 5760 THEN frames * spf END) AS BIGINT) AS n_samples FROM h GROUP BY CUBE (mode, bw, ch)""")
+def census_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packet census over all subsets of mode, bandwidth and channels; level has a bit for each that is summed over."""
+    toc, b1 = F.col("toc"), F.col("b1")
+    rows = fixtures.packets(spark, sf_dir).select(
+        h.mode(toc).alias("mode"), h.bandwidth_rank(toc).alias("bandwidth_rank"), h.channels(toc).alias("channels"), "n_bytes", h.frame_count(toc, b1).alias("frames"), h.packet_samples(toc, b1).alias("samples")
+    )
+    return rows.cube("mode", "bandwidth_rank", "channels").agg(
+        F.grouping_id().alias("level"), F.count("*").alias("n_packets"), F.sum("n_bytes").alias("n_bytes"), F.sum("frames").alias("n_frames"), F.sum("samples").alias("n_samples")
+    )
 
 
 @query(f"""WITH {PACKETS}, {HEADERS}, c AS (SELECT stream_id, event_id, ts, 252 & toc AS t, n_bytes, spf FROM h),
