@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import DoubleType, StructType
+from pyspark.sql.types import BinaryType, DoubleType, StructType
 
 from . import text as tx
 from .jobs import cut
@@ -106,17 +106,22 @@ def _described(texts: pa.Array) -> np.ndarray:
     return np.concatenate([np.zeros((0, len(NUMBERS))), *parts])
 
 
-def _packed(rows: DataFrame) -> DataFrame:
-    """Labelled rows (part, tie, label, text) as parts (labels, numbers), a row for each part, its rows in order of a hash."""
+def measure(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """docs with the column numbers (the NUMBERS of the whole text, as bytes) in place of the text; all other columns stay.
+
+    A null text counts as empty. Texts may be of any length; rows may repeat; no rows give none. This is the one pass over
+    the texts: train and score take what it gives, which is some 150 bytes a row. A column of docs named numbers is replaced.
+    """
+    docs = docs.drop(*(["numbers"] if text_col != "numbers" else []))
+    at = docs.columns.index(text_col)
+    names = [n for n in docs.columns if n != text_col]
 
     def run(batches):
         for batch in batches:
-            numbers = pa.array([row.tobytes() for row in _described(batch.column(3))], pa.binary())
-            yield pa.record_batch([*batch.columns[:3], numbers], names=["part", "tie", "label", "numbers"])
+            numbers = pa.array([row.tobytes() for row in _described(batch.column(at))], pa.binary())
+            yield pa.record_batch([*(batch.column(n) for n in names), numbers], names=[*names, "numbers"])
 
-    rows = rows.mapInArrow(run, "part long, tie long, label int, numbers binary")
-    packed = rows.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("tie", "label", "numbers"))).alias("x"))
-    return packed.select(F.transform("x", lambda r: r["label"]).alias("labels"), F.col("x.numbers").alias("numbers"))
+    return docs.mapInArrow(run, StructType([f for f in docs.schema.fields if f.name != text_col]).add("numbers", BinaryType()))
 
 
 def _parts(batch: pa.RecordBatch):
@@ -156,17 +161,20 @@ def _sums(parts: DataFrame, f, size: int) -> np.ndarray:
     return out
 
 
-def train(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """A model of all rows whose text is known and whose label is 0 or 1. Rows may repeat; each counts.
+def train(rows: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality") -> Model:
+    """A model of all measured rows whose label is 0 or 1. Rows may repeat; each counts; a null id is one like others.
 
     Without rows of both labels there is nothing to rank: all weights are 0 and every text scores a half. The driver
     gets sums of fixed size only, whatever the number of rows.
     """
     d = len(NUMBERS)
-    rows = rows.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"), F.col(text_col).alias("text")).where("label in (0, 1) and text is not null")
+    rows = rows.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"), "numbers").where("label in (0, 1)")
+    tie = F.xxhash64("id", F.md5("numbers"))
+    rows = cut(rows.select(tie.alias("tie"), "label", "numbers"))
     n_parts = max(1, -(-rows.count() // PART_ROWS))
-    tie = F.xxhash64(F.col("id"), F.md5("text"))
-    parts = cut(_packed(rows.select(F.pmod(F.xxhash64(F.lit(11), tie), F.lit(n_parts)).alias("part"), tie.alias("tie"), "label", "text")))
+    dealt = rows.groupBy(F.pmod(F.xxhash64(F.lit(11), "tie"), F.lit(n_parts)).alias("part"))
+    packed = dealt.agg(F.array_sort(F.collect_list(F.struct("tie", "label", "numbers"))).alias("x"))
+    parts = cut(packed.select(F.transform("x", lambda r: r["label"]).alias("labels"), F.col("x.numbers").alias("numbers")))
 
     moments = _sums(parts, lambda good, x: np.concatenate([[len(x), good.sum()], x.sum(axis=0), (x * x).sum(axis=0)]), 2 + 2 * d)
     n, n_good = moments[:2]
@@ -216,21 +224,21 @@ def _threshold(parts: DataFrame, model: Model) -> float:
     return float(((first + (empty[-1] + 1 if len(empty) else first)) / 2 - BINS // 2) * BIN_WIDTH)
 
 
-def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """docs with the column score added, from 0 to 1: higher, better; one row for each row; all other columns stay.
+def score(rows: DataFrame, model: Model) -> DataFrame:
+    """Measured rows with the column score, from 0 to 1 (higher, better), in place of their numbers; all other columns stay.
 
-    A null text counts as empty. Whole texts are read, of any length. Rows may repeat; no rows give none. A column of docs
-    named score is replaced.
+    Rows may repeat; no rows give none. A column of rows named score is replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("score")
-    at = docs.columns.index(text_col)
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    rows = rows.drop("score")
+    names = [n for n in rows.columns if n != "numbers"]
 
     def run(batches):
         model = shared.value
         for batch in batches:
-            margin = standard(_described(batch.column(at)), model) @ model.weights - model.threshold
-            found = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
-            yield pa.record_batch([*batch.columns, pa.array(found)], names=[*batch.schema.names, "score"])
+            numbers = np.frombuffer(b"".join(batch.column("numbers").to_pylist())).reshape(-1, len(NUMBERS))
+            margin = standard(numbers, model) @ model.weights - model.threshold
+            found = pa.array(1 / (1 + np.exp(-np.clip(margin, -30, 30))))
+            yield pa.record_batch([*(batch.column(n) for n in names), found], names=[*names, "score"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("score", DoubleType()))
+    return rows.mapInArrow(run, StructType([f for f in rows.schema.fields if f.name != "numbers"]).add("score", DoubleType()))

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bpe, chat, decontaminate, html, langid, neardup, quality, runs, secrets, sharding, tokencount, topk, trie
+from .jobs import cut
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -177,10 +178,10 @@ SELECT t.conv_id, n_turns, turns_sha256, CAST(length(loss) AS BIGINT) AS loss_ch
 def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every document, by a model that a third of the documents is held out from."""
     part = F.crc32(F.col("doc_id").cast("string")) % 3
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = cut(quality.measure(_table(spark, sf_dir, "documents").select("doc_id", "text")))
     labels = _table(spark, sf_dir, "labels").select("doc_id", "quality")
-    model = quality.train(docs.join(labels, "doc_id").where(part != 1))
-    found = quality.score(docs, model)
+    model = quality.train(rows.where(part != 1).join(labels, "doc_id"))
+    found = quality.score(rows, model)
     return found.select("doc_id", F.coalesce(part == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -219,16 +219,18 @@ def test_quality_of_held_out_rows(spark):
 
 
 def test_quality_on_odd_rows(spark, odd):
-    model = quality.train(odd.withColumn("quality", F.col("doc_id") % 2))
-    found = quality.score(odd, model)
-    assert found.columns == ["doc_id", "text", "n_words", "runs", "score"]
+    measured = quality.measure(odd.withColumn("numbers", F.lit("clash")))
+    assert measured.columns == ["doc_id", "n_words", "runs", "score", "numbers"]
+    model = quality.train(measured.withColumn("quality", F.col("doc_id") % 2))
+    found = quality.score(measured, model)
+    assert found.columns == ["doc_id", "n_words", "runs", "score"]
     rows = found.collect()
     assert len(rows) == 2 * len(TEXTS) + 2 and all(0 <= r.score <= 1 for r in rows)
-    assert {r.score for r in rows if not r.text} == {r.score for r in rows if r.text == ""}
-    assert quality.score(odd.where("false"), model).collect() == []
+    assert len({r.score for r in rows if r.doc_id in (0, 1)}) == 1  # a null text is an empty one
+    assert quality.score(measured.where("false"), model).collect() == [] and quality.measure(odd.where("false")).collect() == []
     for label in ("0", "1", "cast(null as int)", "7"):  # nothing to rank
-        flat = quality.train(odd.withColumn("quality", F.expr(label)))
-        assert {r.score for r in quality.score(odd, flat).collect()} == {0.5}
+        flat = quality.train(measured.withColumn("quality", F.expr(label)))
+        assert {r.score for r in quality.score(measured, flat).collect()} == {0.5}
 
 
 def test_quality_pairs_and_threshold(spark):
@@ -240,7 +242,8 @@ def test_quality_pairs_and_threshold(spark):
     # shouting is bad: labels by one number alone are learned, whatever the share of the labels
     rows = [(i, ("WORD" if i % 7 == 0 else "word") + f" number {i}", int(i % 7 != 0)) for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
-    found = quality.score(df, quality.train(df)).collect()
+    measured = quality.measure(df)
+    found = quality.score(measured, quality.train(measured)).collect()
     assert all((r.score >= 0.5) == (r.quality == 1) for r in found)
 
 
