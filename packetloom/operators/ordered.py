@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..storage import written
+
 CHUNK_SECONDS = 86_400
 
 
@@ -67,3 +69,25 @@ def running_min(rows: DataFrame, key: str, order: list[str], value: Column, name
     within = Window.partitionBy(key, "_chunk").orderBy(*ascending(order)).rowsBetween(Window.unboundedPreceding, 0)
     joined = cut.join(lows, F.col(key).eqNullSafe(F.col("_own_key")) & F.col("_chunk").eqNullSafe(F.col("_own_chunk")))
     return joined.select(*rows.columns, F.least(F.min("_value").over(within), "_base").alias(name))
+
+
+def dealt(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """rows with _block, written once: ranges of even size of all rows by key and order, whatever the order counts.
+
+    A key's rows lie in blocks that follow one another, so a key with a third of all rows is a third of all blocks. Rows of
+    one key that tie in order go to one block, so order should tell a key's rows apart.
+    """
+    ranges = rows.repartitionByRange(F.col(key).asc_nulls_first(), *ascending(order))
+    return written(ranges.withColumn("_block", F.spark_partition_id()))
+
+
+def sums(rows: DataFrame, key: str, order: list[str], terms: dict[str, Column]) -> DataFrame:
+    """Rows of dealt with a column for each of terms: its total over the key's rows up to and including this one."""
+    rows = rows.withColumns({f"_t_{n}": F.coalesce(c.cast("long"), F.lit(0)) for n, c in terms.items()})
+    before = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy(key, "_block").agg(*(F.sum(f"_t_{n}").alias(f"_s_{n}") for n in terms))
+    blocks = blocks.select(F.col(key).alias("_own_key"), F.col("_block").alias("_own_block"), *(F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in terms))
+    joined = rows.join(blocks, F.col(key).eqNullSafe(F.col("_own_key")) & (F.col("_block") == F.col("_own_block")))
+    upto = Window.partitionBy(key, "_block").orderBy(*ascending(order)).rowsBetween(Window.unboundedPreceding, 0)
+    totals = {n: F.col(f"_b_{n}") + F.sum(f"_t_{n}").over(upto) for n in terms}
+    return joined.withColumns(totals).drop("_own_key", "_own_block", *(f"_{x}_{n}" for n in terms for x in "tb"))

@@ -93,3 +93,24 @@ def powers(x: Column, n: int) -> Column:
     table = lambda f, k: F.array(*[F.lit(round(f(2 * math.pi * k * i / n) * 16384)).cast("long") for i in range(n)])
     part = lambda f, k: F.shiftright(inner(x, table(f, k)), 14)
     return F.array(*[part(math.cos, k) * part(math.cos, k) + part(math.sin, k) * part(math.sin, k) for k in range(n // 2 + 1)])
+
+
+def median3(a: Column, b: Column, c: Column) -> Column:
+    return F.greatest(F.least(a, b), F.least(F.greatest(a, b), c))
+
+
+def median5(a: Column, b: Column, c: Column, d: Column, e: Column) -> Column:
+    """The third of five: neither the least nor the greatest of two pairs is it, so the median of what is left."""
+    low, high = F.greatest(F.least(a, b), F.least(d, e)), F.least(F.greatest(a, b), F.greatest(d, e))
+    return median3(low, high, c)
+
+
+def sliding_median(x: Column) -> Column:
+    """The median of each place and two on either side; of the three outermost for the two places at either end.
+
+    Three and four places have the median of the outermost three everywhere; fewer are left as they are.
+    """
+    n, at = F.size(x), lambda i: F.get(x, i)
+    ends = lambda i: F.when(i < 2, median3(at(F.lit(0)), at(F.lit(1)), at(F.lit(2)))).otherwise(median3(at(n - 3), at(n - 2), at(n - 1)))
+    inner_ = lambda i: median5(*(at(i + k) for k in range(-2, 3)))
+    return F.when(n < 3, x).otherwise(F.transform(x, lambda _, i: F.when((i < 2) | (i >= n - 2), ends(i)).otherwise(inner_(i))))

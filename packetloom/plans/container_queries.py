@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .. import storage
 from ..functions import header as h
 from ..operators import container as c, ordered
 from ..sources import files, fixtures, formats
@@ -91,7 +92,7 @@ def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = fixtures.table(spark, sf_dir, "events").select(F.coalesce("user_id", F.lit((1 << 32) - 1)).alias("stream_id"), "ts", "event_id", payload.alias("payload"))
     pages = files.pages(p, "stream_id", ORDER, "payload", "event_id", serial=F.col("stream"))
     formats.register(spark)
-    folder = formats.scratch(spark)
+    folder = storage.scratch(spark)
     pages.repartition("stream").sortWithinPartitions("stream", "page").write.format("pages").mode("append").save(folder)
     return spark.read.format("pages").load(folder)
 

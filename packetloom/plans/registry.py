@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import container_queries, packet_queries, rate_queries, signal_queries  # noqa: F401  they register themselves
+from . import container_queries, packet_queries, rate_queries, signal_queries, state_queries  # noqa: F401  they register themselves
 from .base import QUERIES, SQL
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import fixed as fx
 from ..operators import coding, ordered, signal as sg
-from ..sources import fixtures
+from ..sources import files, fixtures
 from .base import BANDS, SAMPLES, query
 
 
@@ -84,10 +84,14 @@ def resamplers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.table(spark, sf_dir, "orders").select("o_orderkey", sg.resampler(a, b).alias("kind"), sg.resampler_step(a, b).alias("step"))
 
 
-@query("""SELECT doc_id, CAST(octet_length(encode(text)) // 2 AS BIGINT) AS n_samples FROM documents""")
+@query("""WITH h AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '....'), lambda x: CAST('0x' || x[3 : 4] || x[1 : 2] AS BIGINT)) AS u FROM documents),
+x AS (SELECT doc_id, list_transform(u, lambda v: CASE WHEN v >= 32768 THEN v - 65536 ELSE v END) AS x FROM h)
+SELECT doc_id, CAST(len(x) AS BIGINT) AS n_samples, CAST(coalesce(list_sum(x), 0) AS BIGINT) AS total, CAST(coalesce(list_sum(list_transform(x, lambda v: v * v)), 0) AS BIGINT) AS energy, CAST(coalesce(list_max(list_transform(x, lambda v: abs(v))), 0) AS BIGINT) AS peak FROM x""")
 def sample_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole 16-bit samples that every document's bytes hold; an odd byte is dropped."""
-    return fixtures.payloads(spark, sf_dir).select("doc_id", F.call_function("div", F.col("n"), F.lit(2).cast("long")).alias("n_samples"))
+    """Every document's bytes unpacked as 16-bit samples, an odd byte dropped: how many, their sum, that of their squares, and their peak."""
+    docs = fixtures.table(spark, sf_dir, "documents").select("doc_id", files.unpacked(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).cast("array<bigint>").alias("x"))
+    x = F.col("x")
+    return docs.select("doc_id", F.size(x).cast("long").alias("n_samples"), sg.total(x).alias("total"), sg.inner(x, x).alias("energy"), sg.peak(x).alias("peak"))
 
 
 @query("""WITH a AS (SELECT event_id, CAST(1 + event_id * 2654435761 % 2147483647 AS BIGINT) AS u, event_id * 7919 % 4200 - 100 AS e FROM events), b AS (SELECT *, 32 - length(bin(u)) AS lz, e & 127 AS g, CAST(1 AS BIGINT) << greatest(0, least(31, e // 128)) AS whole FROM a),

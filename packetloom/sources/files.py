@@ -9,6 +9,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -32,6 +33,18 @@ def samples_of(content: Column) -> Column:
     return F.when(pairs > 0, F.transform(F.sequence(F.lit(0), pairs - 1), lambda i: signed(value(i)))).otherwise(F.array().cast("array<smallint>"))
 
 
+def unpacked(content: Column) -> Column:
+    """samples_of for long contents: an Arrow column at a time, null for null."""
+
+    @F.arrow_udf("array<smallint>")
+    def unpack(contents: pa.Array) -> pa.Array:
+        pieces = [b"" if x is None else x[: len(x) // 2 * 2] for x in contents.to_pylist()]
+        ends = np.cumsum([0, *(len(p) // 2 for p in pieces)], dtype=np.int32)
+        return pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(pieces), "<i2")), mask=contents.is_null())
+
+    return unpack(content)
+
+
 def _walk(files: DataFrame, schema: str, rows) -> DataFrame:
     arrow = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
     fields = [(n, arrow[t]) for n, t in (f.split(" ") for f in schema.split(", "))]
@@ -110,13 +123,13 @@ def packets_of(pages: DataFrame) -> DataFrame:
 def _along_pages(pages: DataFrame, order: str) -> DataFrame:
     """Sound pages of each (path, serial) up to its first end page, with the packets ended before and the openings through each.
 
-    An opening is a page that doesn't go on with a packet. Sums run within chunks of the order and over the chunks' sums.
+    An opening is a page that doesn't go on with a packet. Sums run within chunks of 4096 page numbers or 16 MB of offsets,
+    and over the chunks' sums.
     """
     flag = lambda bit: (F.col("flags").bitwiseAND(bit) != 0).cast("long")
     ended = F.size(F.filter("segments", lambda n: n < 255)).cast("long")
     rows = pages.where("error is null").withColumns({"_ended": ended, "_opens": 1 - flag(1), "_last": flag(4)})
-    # chunks of even size whatever the order counts: pages are dealt by ranges of it
-    rows = rows.repartitionByRange("path", "serial", order).withColumn("_chunk", F.spark_partition_id())
+    rows = rows.withColumn("_chunk", F.shiftright(F.col(order).cast("long"), 24 if order == "offset" else 12))
     terms = ("_ended", "_opens", "_last")
     chunks = rows.groupBy("path", "serial", "_chunk").agg(*(F.sum(t).alias(f"{t}_sum") for t in terms))
     before = Window.partitionBy("path", "serial").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)

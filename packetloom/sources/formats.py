@@ -17,7 +17,6 @@ sources.files reads what only these open.
 from __future__ import annotations
 
 import struct
-import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -363,16 +362,6 @@ class PacketRecords:
             yield from records_of(_Window(_Bytes(bytes(content)), len(content)))
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below the session's spark.checkpoint.dir, which all machines share; only a local session without one takes a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        shared = tempfile.mkdtemp(prefix="spark-")
-    return f"{shared}/{uuid.uuid4().hex}"
-
-
 def register(spark: SparkSession) -> None:
     """Makes the sources and the table function packet_records known to a session."""
     for source in (PagesSource, WaveSource, RecordsSource):
