@@ -81,7 +81,7 @@ def _pieces(blocks: DataFrame, stream: str, position: str, samples: str, channel
     low = F.greatest(F.call_function("div", F.greatest((F.col("run") * RUN - WARM_UP) * STEP, F.lit(0)), F.lit(ratio).cast("long")) - F.col("at"), F.lit(0))
     high = F.call_function("div", (F.col("run") + 1) * span + FRAME - STEP, F.lit(ratio).cast("long")) - F.col("at")
     piece = F.slice("x", (low * channels + 1).cast("int"), (F.greatest(high - low, F.lit(0)) * channels).cast("int"))
-    return rows.select("stream", "run", F.lit(side).alias("side"), (F.col("at") + low).alias("at"), piece.cast("array<int>").alias("piece")).where(F.size("piece") > 0)
+    return rows.select("stream", "run", F.lit(side).alias("side"), (F.col("at") + low).alias("at"), piece.cast("array<smallint>").alias("piece")).where(F.size("piece") > 0)
 
 
 def _lengths(blocks: DataFrame, stream: str, position: str, samples: str, channels: int, name: str) -> DataFrame:
@@ -122,16 +122,15 @@ def compare(reference: DataFrame, test: DataFrame, *, stream: str = "stream", po
     )
     both = both.select(F.when(has[0], F.col("stream")).otherwise(F.col("other")).alias("stream"), error.alias("error"), F.when(error.isNull(), F.floor((n_x - FRAME + STEP) / STEP)).alias("n_frames"))
 
-    good = both.where("error is null").select(F.col("stream").alias("known"), "n_frames")
     pieces = _pieces(reference, stream, position, samples, 2, 1, 0).union(_pieces(test, stream, position, samples, channels, ratio, 1))
+    # a run's own samples tell how many frames it has, so that runs move no more after they are gathered
     runs = pieces.groupBy("stream", "run").agg(F.array_sort(F.collect_list(F.struct("side", "at", "piece"))).alias("p"))
-    runs = runs.join(good, F.col("stream").eqNullSafe(F.col("known"))).where(F.col("run") * RUN < F.col("n_frames")).select("stream", "run", "n_frames", "p")
     name = runs.schema["stream"]
 
     def work(batches):
         for batch in batches:
             out = []
-            for run, n_frames, parts in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
+            for run, parts in zip(*(batch.column(i) for i in (1, 2)), strict=True):
                 parts, sides = parts.values, []
                 which = parts.field("side").to_numpy()
                 for side, width in ((0, 2), (1, channels)):
@@ -141,10 +140,13 @@ def compare(reference: DataFrame, test: DataFrame, *, stream: str = "stream", po
                 x, y = sides
                 if channels == 1:
                     x = x.mean(axis=1, keepdims=True)
-                first = max(0, run.as_py() * RUN - WARM_UP)
-                n = min(n_frames.as_py(), (run.as_py() + 1) * RUN) - first
+                skip = min(run.as_py() * RUN, WARM_UP)
+                n = min((len(x) - FRAME) // STEP + 1, skip + RUN)
+                if n <= skip or len(y) < ((n - 1) * STEP + FRAME) // ratio:  # nothing of its own, or streams of unequal length
+                    out.append(0.0)
+                    continue
                 x, y = x[: (n - 1) * STEP + FRAME], y[: ((n - 1) * STEP + FRAME) // ratio]
-                out.append(float(frame_errors(x, y, rate, run.as_py() * RUN - first).sum()))
+                out.append(float(frame_errors(x, y, rate, skip).sum()))
             yield pa.record_batch([batch.column(0), pa.array(out, pa.float64())], names=["stream", "errors"])
 
     found = runs.mapInArrow(work, f"stream {name.dataType.simpleString()}, errors double")

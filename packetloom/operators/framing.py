@@ -15,12 +15,22 @@ def frames(chunks: DataFrame, stream: str, order: list[str], data: str, frame_by
     """(stream, frame, n_bytes, content): each stream's bytes in order, cut every frame_bytes; the last frame is filled up with zeros.
 
     n_bytes is what of a frame was there. Chunks may be empty or null, and longer or shorter than a frame; any cutting of the
-    same bytes gives the same frames. Pieces of a chunk go to the frames they overlap, so no stream is brought together.
+    same bytes gives the same frames. Pieces of a chunk go to the frames they overlap, so no stream is brought together. order
+    must tell a stream's chunks apart; those that tie fail the job.
     """
     if frame_bytes < 1:
         raise ValueError("a frame takes a byte at least")
-    rows = chunks.select(F.col(stream).alias("stream"), *order, F.coalesce(F.col(data), F.lit(b"")).alias("_data"))
-    rows = ordered.sums(ordered.dealt(rows, "stream", order), "stream", order, {"_end": F.octet_length("_data")}).where(F.octet_length("_data") > 0)
+    size, place = F.octet_length(data), [F.col(c).alias(f"_at{i}") for i, c in enumerate(order)]
+    rows = chunks.where(size > 0).select(F.col(stream).alias("stream"), *place, F.col(data).alias("_data"))
+    order = [f"_at{i}" for i in range(len(order))]
+    # only lengths are put in order; the bytes move once, to their frames
+    sizes = rows.groupBy("stream", *order).agg(F.sum(F.octet_length("_data")).alias("_n"), F.count("*").alias("_many"))
+    sizes = sizes.withColumn("_n", F.when(F.col("_many") == 1, F.col("_n")).otherwise(F.raise_error(F.lit("chunks of a stream tie in order"))))
+    ends = ordered.sums(ordered.dealt(sizes, "stream", order), "stream", order, {"_end": F.col("_n")}).select(*(F.col(c).alias(f"_own_{c}") for c in ("stream", *order)), "_end")
+    match = F.lit(True)
+    for c in ("stream", *order):
+        match = match & F.col(c).eqNullSafe(F.col(f"_own_{c}"))
+    rows = rows.join(ends, match).select("stream", "_end", "_data")
     begin, end = F.col("_end") - F.octet_length("_data"), F.col("_end")
     size = F.lit(frame_bytes).cast("long")
     over = F.sequence(F.call_function("div", begin, size), F.call_function("div", end - 1, size))

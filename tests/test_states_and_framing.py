@@ -110,6 +110,8 @@ def test_any_chunks_give_the_same_frames(many_blocks, seed):
     # 24 samples a frame, 48 of them at 48 kHz; the end position is that of the source and the pre-skip
     assert cover["b"] == (1, 7, 48, 48 * 8, 48 + 312, None) and cover["a"] == (53, None, None, None, None, "trailing bytes are no whole sample") and "c" not in cover
     assert cover["b"][3] >= cover["b"][4]
+    with pytest.raises(Exception, match="tie in order"):
+        framing.frames(spark.createDataFrame([("a", 1, bytearray(b"x")), ("a", 1, bytearray(b"y"))], "s string, i long, d binary"), "s", ["i"], "d", 9).collect()
     with pytest.raises(ValueError):
         framing.frames(found, "s", ["frame"], "content", 0)
     with pytest.raises(ValueError):
