@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import text as tx
+from .jobs import cut
 
 WINDOW = 13
 SHINGLE = 3
@@ -149,7 +150,7 @@ def _matches(words: tx.Words, hashes: np.ndarray, index: Index, tables: dict) ->
             good[inside] = hashes[start[inside] + j] == index.hashes[index.at[w[inside]] + j]
         starts.append(start[good])
         windows.append(w[good])
-    if not starts:
+    if not any(map(len, starts)):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     start, w = np.concatenate(starts), np.concatenate(windows)
     # Runs of windows that lie alike in item and text are compared once, by their bytes.
@@ -231,7 +232,8 @@ def _pieces(items: DataFrame, most_bytes: int) -> DataFrame:
 
 def _blocks(items: DataFrame, most_bytes: int) -> list[DataFrame]:
     """The items dealt into blocks of at most most_bytes of text (of pieces of an eighth), by buckets of a hash packed by size."""
-    pieces, n = _pieces(items, max(most_bytes // 8, 1)), 1
+    # pieces of an item that say the same have the same windows; once each is told apart, buckets can always be split
+    pieces, n = cut(_pieces(items, max(most_bytes // 8, 1)).distinct()), 1
     while True:
         dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
         # at most n rows; a bucket that is too large is dealt anew unless it is a single piece, one endless word
