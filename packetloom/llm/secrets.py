@@ -29,6 +29,8 @@ LEAST_RUN = 16
 LEAST_BITS = 20.0
 #: Elements of an array that are summed one after another, and code points of a text that are redacted at once.
 CHUNK, PIECE = 128, 8192
+#: Pieces whose spans are looked for together.
+GROUP = 64
 _SPAN = "array<struct<start:int,kind_no:int,kind:string,end:int>>"
 
 
@@ -175,25 +177,33 @@ def listed(spans: Column) -> Column:
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """text with every span, or run of overlapping spans, replaced by a mark; spans in order of start.
 
-    Done piece by piece of the text; a span that goes on from one piece to the next is marked where it begins.
+    The text is cut into pieces in one pass; each is written by itself, from the spans that reach it, which are looked for
+    among those of its GROUP of pieces. A span that goes on from one piece to the next is marked where it begins.
     """
+    reach = lambda low, high, some: F.filter(some, lambda s: (s["start"] < high) & (s["end"] > low))
 
-    def piece(i: Column) -> Column:
+    def piece(part: Column, i: Column, some: Column) -> Column:
         low, high = i * PIECE, (i + 1) * PIECE
 
-        def written(part: Column) -> Column:
-            def step(done: Column, s: Column) -> Column:
-                begin, end = F.greatest(s["start"] - low, F.lit(0)), F.least(s["end"] - low, F.lit(PIECE))
-                before = F.substr(part, done["at"] + 1, F.greatest(begin - done["at"], F.lit(0)))
-                # a mark where a span begins that no span before it reaches
-                opens = (s["start"] >= low) & (s["start"] >= done["reach"])
-                out = F.concat(done["out"], before, F.when(opens, F.lit(mark)).otherwise(F.lit("")))
-                return F.struct(F.greatest(done["at"], end).alias("at"), F.greatest(done["reach"], s["end"]).alias("reach"), out.alias("out"))
+        def step(done: Column, s: Column) -> Column:
+            begin, end = F.greatest(s["start"] - low, F.lit(0)), F.least(s["end"] - low, F.lit(PIECE))
+            before = F.substr(part, done["at"] + 1, F.greatest(begin - done["at"], F.lit(0)))
+            # a mark where a span begins that no span before it reaches
+            opens = (s["start"] >= low) & (s["start"] >= done["reach"])
+            out = F.concat(done["out"], before, F.when(opens, F.lit(mark)).otherwise(F.lit("")))
+            return F.struct(F.greatest(done["at"], end).alias("at"), F.greatest(done["reach"], s["end"]).alias("reach"), out.alias("out"))
 
-            start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("reach"), F.lit("").alias("out"))
-            return F.aggregate(F.filter(spans, lambda s: (s["start"] < high) & (s["end"] > low)), start, step, lambda x: F.concat(x["out"], F.substr(part, x["at"] + 1, F.lit(PIECE))))
+        start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("reach"), F.lit("").alias("out"))
+        return F.aggregate(reach(low, high, some), start, step, lambda x: F.concat(x["out"], F.substr(part, x["at"] + 1, F.lit(PIECE))))
 
-        return _let(F.substr(text, low + 1, F.lit(PIECE)), written)
+    def group(pieces: Column, g: Column) -> Column:
+        mine = reach(g * GROUP * PIECE, (g + 1) * GROUP * PIECE, spans)
+        write = lambda some: F.array_join(F.transform(F.slice(pieces, g * GROUP + 1, F.lit(GROUP)), lambda part, j: piece(part, g * GROUP + j, some)), "")
+        return _let(mine, write)
 
-    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.length(text) - 1, F.lit(0)) / PIECE).cast("int")), piece)
-    return F.when(F.size(spans) > 0, F.array_join(pieces, "")).otherwise(text)
+    def whole(pieces: Column) -> Column:
+        groups = F.sequence(F.lit(0), F.floor(F.greatest(F.size(pieces) - 1, F.lit(0)) / GROUP).cast("int"))
+        return F.array_join(F.transform(groups, lambda g: group(pieces, g)), "")
+
+    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return F.when(F.size(spans) > 0, _let(cut, whole)).otherwise(text)
