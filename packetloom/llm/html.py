@@ -77,6 +77,7 @@ class Page:
         #: (node, text) or (node, None) where a block begins or ends, in page order.
         self.pieces: list[tuple[int, str | None]] = []
         self._open = [0]
+        self._places: dict[str, list[int]] = {}  # of open elements in _open, by name
         self._read(html)
 
     def _read(self, html: str) -> None:
@@ -130,6 +131,7 @@ class Page:
         if name in BLOCKS or name == "br":
             self.pieces.append((node, None))
         if name not in VOID and not attributes.endswith("/") or name in BLOCKS - VOID:
+            self._places.setdefault(name, []).append(len(self._open))
             self._open.append(node)
 
     def _furniture(self, name: str, attributes: str) -> bool:
@@ -167,23 +169,23 @@ class Page:
         return False
 
     def _imply(self, ends: frozenset[str], stops: frozenset[str]) -> None:
-        for k in range(len(self._open) - 1, 0, -1):
-            name = self.tags[self._open[k]]
-            if name in ends:
-                self._close(k)
-                if "tr" not in ends and "dd" not in ends:
-                    return
-            elif name in stops:
+        """Closes the open elements of `ends` that lie above the uppermost of `stops`: all of table rows' and lists' kinds, else one."""
+        while (k := self._uppermost(ends)) and k >= self._uppermost(stops):
+            self._close(k)
+            if "tr" not in ends and "dd" not in ends:
                 return
 
+    def _uppermost(self, names: frozenset[str]) -> int:
+        """The highest place of an open element of these names; 0 if there is none."""
+        return max((self._places[name][-1] for name in names if self._places.get(name)), default=0)
+
     def _end(self, name: str) -> None:
-        for k in range(len(self._open) - 1, 0, -1):
-            if self.tags[self._open[k]] == name:
-                self._close(k)
-                return
+        if places := self._places.get(name):
+            self._close(places[-1])
 
     def _close(self, k: int) -> None:
         for node in self._open[k:]:
+            self._places[self.tags[node]].pop()
             if self.tags[node] in BLOCKS:
                 self.pieces.append((node, None))
         del self._open[k:]
