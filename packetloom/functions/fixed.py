@@ -98,3 +98,181 @@ def exp128(x: Column) -> Column:
     bend = _curve(x.bitwiseAND(F.lit(127).cast("long")), -174)
     out = F.when(x < 2048, whole + F.shiftright(whole * bend, 7)).otherwise(whole + F.shiftright(whole, 7) * bend)
     return F.when(x < 0, F.lit(0).cast("long")).when(x >= 3967, F.lit(2**31 - 1).cast("long")).otherwise(out)
+
+
+# Coefficients, in the number's own scale, of the polynomials below, lowest power first.
+RSQRT = (23557, -13490, 6713)
+SQRT = (23171, 11574, -2901, 1592, -1002, 336)
+COS = (-7651, 8277, -626)
+RCP = (30840, -15420)
+EXP2 = (16383, 22804, 14819, 10204)
+LOG2 = (-6801 + 8, 15746, -5217, 2545, -1401)
+SQRT_STEPS = (32768, 46214, 213)
+
+
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f reads it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def shift(x: Column, s: Column | int) -> Column:
+    """Right by s, or left by -s, to 32 bits."""
+    s = _c(s)
+    right = F.call_function("shiftright", x, F.greatest(F.least(s, _c(62)), _c(0)).cast("int"))
+    left = F.call_function("shiftleft", x, F.greatest(F.least(-s, _c(62)), _c(0)).cast("int"))
+    return F.when(s >= 0, right).otherwise(wrap(left))
+
+
+def _q15(a: Column | int, b: Column | int) -> Column:
+    return F.shiftright(_c(a) * _c(b), 15)
+
+
+def polynomial(n: Column, coefficients: tuple[int, ...], bits: int = 16) -> Column:
+    """A polynomial of a Q15 number by Horner's rule: every product drops 15 bits, every sum is wrapped to 16 bits, the last to `bits`."""
+    out = _c(coefficients[-1])
+    for i, c in enumerate(reversed(coefficients[:-1]), 2):
+        out = wrap(c + _q15(n, out), bits if i == len(coefficients) else 16)
+    return out
+
+
+def rsqrt(x: Column) -> Column:
+    """About 1 / sqrt(x), Q16 from 0.25 to 1 in, Q14 out: a parabola and one step of second order."""
+
+    def refined(v):
+        r, n = v["r"], v["n"]
+        square = _q15(r, r)
+        y = wrap(2 * wrap(_q15(square, n) + square - 16384, 16), 16)
+        return let(y, lambda y: wrap(r + _q15(r, wrap(_q15(y, wrap(_q15(y, 12288) - 16384, 16)), 16)), 16))
+
+    n = wrap(_c(x) - 32768, 16)
+    return let(F.struct(n.alias("n"), polynomial(n, RSQRT).alias("r")), refined)
+
+
+def sqrt(x: Column) -> Column:
+    """About the square root of a non-negative number in any even scale, in half of it; 32767 from 2^30 on."""
+    x = _c(x)
+    k = F.shiftright(ilog2(F.greatest(x, _c(1))), 1) - 7
+    root = shift(polynomial(wrap(shift(x, 2 * k) - 32768, 16), SQRT, 32), 7 - k)
+    return F.when(x == 0, _c(0)).when(x >= 1 << 30, _c(32767)).otherwise(root)
+
+
+def cosine(x: Column) -> Column:
+    """About the cosine of x half turns, Q16 in, Q15 out."""
+
+    def quarter(a):
+        def curve(s):
+            inner = _c(COS[2])
+            for c in (COS[1], COS[0]):
+                inner = wrap(c + round_shift(inner * s, 15), 16)
+            return 1 + F.least(_c(32766), 32767 - s + round_shift(s * inner, 15))
+
+        return let(wrap(round_shift(a * a, 15), 16), curve)
+
+    x = _c(x).bitwiseAND(_c(0x1FFFF))
+    x = F.when(x > 1 << 16, (1 << 17) - x).otherwise(x)
+
+    def whole(x):
+        edge = F.when(x.bitwiseAND(_c(0xFFFF)) != 0, _c(0)).when(x != 0, _c(-32767)).otherwise(_c(32767))
+        turned = F.when(x < 1 << 15, quarter(x)).otherwise(-quarter(65536 - x))
+        return F.when(x.bitwiseAND(_c(0x7FFF)) != 0, turned).otherwise(edge)
+
+    return let(x, whole)
+
+
+def reciprocal(x: Column) -> Column:
+    """About 1 / x for a positive number, Q15 in, Q16 out: a line and two Newton steps."""
+
+    def steps(v):
+        n = v["n"]
+        left = lambda r: wrap(_q15(r, n) + wrap(r - 32768, 16), 16)
+        once = wrap(v["r"] - _q15(v["r"], left(v["r"])), 16)
+        return let(once, lambda r: wrap(r - (1 + _q15(r, left(r))), 16))
+
+    x = _c(x)
+    i = ilog2(F.greatest(x, _c(1)))
+    n = wrap(shift(x, i - 15) - 32768, 16)
+    return F.when(x > 0, shift(let(F.struct(n.alias("n"), polynomial(n, RCP).alias("r")), steps), i - 16))
+
+
+def exp2(x: Column) -> Column:
+    """About 2^x, Q10 in, Q16 out; 0 below -15, the largest part of 32 bits from 15 on."""
+    x = _c(x)
+    whole = F.shiftright(x, 10)
+    part = polynomial(wrap(16 * (x - 1024 * whole), 16), EXP2)
+    return F.when(whole > 14, _c(0x7F000000)).when(whole < -15, _c(0)).otherwise(shift(part, -whole - 2))
+
+
+def log2(x: Column) -> Column:
+    """About log2(x) of a positive number, Q14 in, Q10 out; -32767 for 0."""
+    x = _c(x)
+    i = ilog2(F.greatest(x, _c(1)))
+    part = polynomial(wrap(shift(x, i - 15) - 32768 - 16384, 16), LOG2)
+    return F.when(x == 0, _c(-32767)).otherwise(wrap(1024 * (i - 13) + F.shiftright(part, 4), 16))
+
+
+def quotient(a: Column, b: Column) -> Column:
+    """About a / b in Q31 for positive b, saturated: a 16-bit reciprocal and one step on the remainder."""
+    by = lambda r, v: wrap(F.shiftright(r * v, 15))
+    at = ilog2(F.greatest(_c(b), _c(1))) - 29
+
+    def divided(v):
+        near = reciprocal(wrap(round_shift(v["b"], 16), 16))
+        return let(wrap(round_shift(near, 3), 16), lambda r: let(by(r, v["a"]), lambda q: wrap(q + wrap(4 * by(r, wrap(round_shift(v["a"], 2) - F.shiftright(q * v["b"], 31)))))))
+
+    q = let(F.struct(shift(_c(a), at).alias("a"), shift(_c(b), at).alias("b")), divided)
+    most = (1 << 31) - 1
+    return F.when(_c(b) > 0, let(q, lambda q: F.when(q >= 1 << 29, _c(most)).when(q <= -(1 << 29), _c(-most)).otherwise(4 * q)))
+
+
+def rough_sqrt(x: Column) -> Column:
+    """The square root within a tenth: by leading zeros and a line over the seven bits after the first."""
+    x = _c(x)
+    positive = F.greatest(x, _c(1))
+    lz = leading_zeros32(positive)
+    frac = shift(positive, 24 - lz).bitwiseAND(_c(127))
+    even, odd = SQRT_STEPS[1], SQRT_STEPS[0]
+    y = F.call_function("shiftright", F.when(lz % 2 == 1, _c(odd)).otherwise(_c(even)), F.shiftright(lz, 1).cast("int"))
+    return F.when(x <= 0, _c(0)).otherwise(let(y, lambda y: y + F.shiftright(y * SQRT_STEPS[2] * frac, 16)))
+
+
+def _headroom(x: Column) -> Column:
+    return leading_zeros32(F.abs(_c(x))) - 1
+
+
+def _scaled(x: Column, s: Column) -> Column:
+    """Right by s (0 from 32 on), or left by -s, saturated."""
+    left = F.least(F.greatest(-s, _c(0)), _c(31)).cast("int")
+    up = F.call_function("shiftleft", F.greatest(F.call_function("shiftright", _c(-(1 << 31)), left), F.least(F.call_function("shiftright", _c((1 << 31) - 1), left), x)), left)
+    return F.when(s < 0, up).when(s < 32, shift(x, s)).otherwise(_c(0))
+
+
+def quotient_q(a: Column, b: Column, q: Column | int) -> Column:
+    """About (a << q) / b of 32-bit numbers, saturated; null where b is 0."""
+    room = F.struct(_headroom(a).alias("a"), _headroom(b).alias("b"))
+    start = let(room, lambda h: F.struct((29 + h["a"] - h["b"]).alias("at"), shift(_c(a), -h["a"]).alias("a"), shift(_c(b), -h["b"]).alias("b")))
+
+    def divided(v):
+        inverse = wrap(idiv(_c(((1 << 31) - 1) >> 2), F.shiftright(v["b"], 16)), 16)
+
+        def refined(r):
+            first = F.shiftright(v["a"] * r, 16)
+            left = lambda f: wrap(v["a"] - wrap(8 * F.shiftright(v["b"] * f, 32)))
+            return let(first, lambda f: wrap(f + F.shiftright(left(f) * r, 16)))
+
+        return _scaled(let(inverse, refined), v["at"] - _c(q))
+
+    return F.when(_c(b) != 0, let(start, divided))
+
+
+def inverse_q(b: Column, q: Column | int) -> Column:
+    """About (1 << q) / b of a 32-bit number, saturated; null where b is 0."""
+    start = let(_headroom(b), lambda h: F.struct((61 - h).alias("at"), shift(_c(b), -h).alias("b")))
+
+    def inverted(v):
+        def refined(r):
+            error = wrap(8 * ((1 << 29) - F.shiftright(v["b"] * r, 16)))
+            return wrap(wrap(r * 65536) + F.shiftright(error * r, 16))
+
+        return _scaled(let(wrap(idiv(_c(((1 << 31) - 1) >> 2), F.shiftright(v["b"], 16)), 16), refined), v["at"] - _c(q))
+
+    return F.when(_c(b) != 0, let(start, inverted))

@@ -104,6 +104,46 @@ def logarithms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", fx.log128(F.col("u")).alias("log128"), fx.exp128(F.col("e")).alias("exp128"))
 
 
+def _q15(a: str, b: str) -> str:
+    return f"CAST(floor(({a}) * ({b}) / 32768.0) AS BIGINT)"
+
+
+def _p15(a: str, b: str) -> str:
+    return f"CAST(floor((({a}) * ({b}) + 16384) / 32768.0) AS BIGINT)"
+
+
+def _moved(x: str, s: str) -> str:
+    """Right by s in SQL, or left by -s."""
+    return f"CASE WHEN {s} >= 0 THEN CAST(floor({x} / power(2, {s})) AS BIGINT) ELSE CAST({x} AS BIGINT) * CAST(power(2, -({s})) AS BIGINT) END"
+
+
+def _horner(n: str, coefficients: tuple[int, ...]) -> str:
+    out = str(coefficients[-1])
+    for c in reversed(coefficients[:-1]):
+        out = f"{c} + {_q15(n, out)}"
+    return out
+
+
+@query(f"""WITH {SAMPLES}, v AS (SELECT event_id, x, abs(x) * 32767 + 1 AS v FROM x), i AS (SELECT *, length(bin(v)) - 1 AS i FROM v),
+n AS (SELECT *, (i >> 1) - 7 AS k, {_moved('v', '(i - 15)')} AS top, (x + 32768) * 4 AS turn FROM i),
+a AS (SELECT *, {_moved('v', '(2 * k)')} - 32768 AS sn, top - 49152 AS ln, top - 32768 AS rn, CASE WHEN turn % 131072 > 65536 THEN 131072 - turn % 131072 ELSE turn % 131072 END AS t0, CAST(floor(x / 1024.0) AS BIGINT) AS e FROM n),
+b AS (SELECT *, {_horner('rn', fx.RCP)} AS r0, CASE WHEN t0 < 32768 THEN t0 ELSE 65536 - t0 END AS q FROM a),
+c AS (SELECT *, r0 - {_q15('r0', _q15('r0', 'rn') + ' + r0 - 32768')} AS r1, {_p15('q', 'q')} AS q2 FROM b),
+d AS (SELECT *, r1 - 1 - {_q15('r1', _q15('r1', 'rn') + ' + r1 - 32768')} AS r2, 1 + least(32766, 32767 - q2 + {_p15('q2', f"{fx.COS[0]} + {_p15('q2', f'{fx.COS[1]} + ' + _p15(str(fx.COS[2]), 'q2'))}")}) AS w FROM c)
+SELECT event_id, CASE WHEN v >= 1073741824 THEN 32767 ELSE {_moved(f"({_horner('sn', fx.SQRT)})", '(7 - k)')} END AS root, 1024 * (i - 13) + CAST(floor(({_horner('ln', fx.LOG2)}) / 16.0) AS BIGINT) AS logarithm, {_moved('r2', '(i - 16)')} AS inverse,
+  CASE WHEN t0 % 32768 <> 0 THEN CASE WHEN t0 < 32768 THEN w ELSE -w END WHEN t0 = 32768 THEN 0 WHEN t0 = 0 THEN 32767 ELSE -32767 END AS cosine,
+  CASE WHEN e > 14 THEN 2130706432 WHEN e < -15 THEN 0 ELSE {_moved(f"({_horner('((x - 1024 * e) * 16)', fx.EXP2)})", '(-e - 2)')} END AS power,
+  (CASE WHEN i % 2 = 0 THEN 32768 ELSE 46214 END >> ((31 - i) >> 1)) + (((CASE WHEN i % 2 = 0 THEN 32768 ELSE 46214 END >> ((31 - i) >> 1)) * 213 * (({_moved('v', '(i - 7)')}) & 127)) >> 16) AS rough FROM d""")
+def fixed_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed-point roots, logarithms, reciprocals, cosines and powers of every sample, or of its magnitude spread over 30 bits."""
+    x = F.col("x")
+    rows = fixtures.samples(spark, sf_dir).select("event_id", "x", (F.abs(x) * 32767 + 1).alias("v"))
+    v = F.col("v")
+    return rows.select(
+        "event_id", fx.sqrt(v).alias("root"), fx.log2(v).alias("logarithm"), fx.reciprocal(v).alias("inverse"), fx.cosine((x + 32768) * 4).alias("cosine"), fx.exp2(x).alias("power"), fx.rough_sqrt(v).alias("rough")
+    )
+
+
 @query(f"""WITH {SAMPLES}, n AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY ts, event_id) AS i FROM x)
 SELECT stream_id, event_id, CAST(min(abs(x) - 16 * i) OVER (PARTITION BY stream_id ORDER BY i) + 16 * i AS BIGINT) AS background FROM n""")
 def background_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
