@@ -1,8 +1,10 @@
 """Exact top-k inner-product search by dual cover trees (operator 5).
 
 Distinct vectors are dealt into cells around pivots, as many as the table asks for, and cells into blocks of bounded
-size. Every block of candidates and every group of queries holds a cover tree: a node has children around vectors of its
-own that stand farther apart than half its radius and cover all of it within that. A pair of nodes is dropped if the
+size. Every block of candidates and every group of queries holds a cover tree: a node's children stand around vectors of
+its own, chosen one after the other as the farthest from those before, at least a step apart from each other, and cover
+all of the node within that step. The step is at most half the node's radius; where the vectors are so spread that this
+would take too many children, it is what MOST_CHILDREN of them reach, and the tree has more levels instead. A pair of nodes is dropped if the
 largest inner product that centres and radii allow is below the worst k-th score of any query in the group's node; what
 that leaves is held, by the same radius, against each query's own k-th score. Else the wider node is split, and pairs of
 leaves are scored. A first round searches each query's own cell, so that the second knows a k-th score to prune whole
@@ -18,20 +20,24 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .jobs import cut
 
 LEAF = 64
+#: Children of a node, and numbers of a table of vectors by cells that a task holds at once.
+MOST_CHILDREN, STRIP = 64, 1 << 21
 
 
 class CoverTree:
     """Nodes in arrays: rows[low[i]:high[i]] are the vectors below node i; a ball around centre[i] with radius[i] covers them.
 
-    The tree grows by vectors that cover its nodes; the ball kept of each for pruning is the one around its mean.
+    cover[i] is the vector that node i grew around and step[i] how far its children's reach (0 without children): all below
+    a child lie within the step of its vector, and children's vectors are at least the step apart. The ball kept of each
+    node for pruning is the one around its mean.
     """
 
     def __init__(self, vectors: np.ndarray):
         self.rows = np.arange(len(vectors))
-        self.low, self.high, self.centre, self.radius, self.children = [], [], [], [], []
+        self.low, self.high, self.centre, self.radius, self.children, self.cover, self.step = [], [], [], [], [], [], []
         self._build(vectors)
 
-    def _add(self, vectors: np.ndarray, low: int, high: int) -> int:
+    def _add(self, vectors: np.ndarray, low: int, high: int, cover: int) -> int:
         own = vectors[self.rows[low:high]]
         centre = own.mean(axis=0)
         self.low.append(low)
@@ -40,33 +46,36 @@ class CoverTree:
         # a little more than the radius, for a mean is rounded
         self.radius.append(float(np.sqrt(((own - centre) ** 2).sum(axis=1).max())) * (1 + 1e-9) + 1e-9)
         self.children.append([])
+        self.cover.append(cover)
+        self.step.append(0.0)
         return len(self.low) - 1
 
     def _build(self, vectors: np.ndarray) -> None:
-        todo = [(self._add(vectors, 0, len(vectors)), 0)] if len(vectors) else []
+        todo = [self._add(vectors, 0, len(vectors), 0)] if len(vectors) else []
         while todo:
-            node, cover = todo.pop()
-            low, high = self.low[node], self.high[node]
+            node = todo.pop()
+            low, high, cover = self.low[node], self.high[node], self.cover[node]
             if high - low <= LEAF:
                 continue
-            # children: vectors farther apart than half the covering radius until they cover all within it, or are 64
+            # the farthest is the next: what is left to reach never grows, so all chosen are at least as far apart
             rows = self.rows[low:high]
             nearest, owner, centres = ((vectors[rows] - vectors[cover]) ** 2).sum(axis=1), np.zeros(high - low, np.int64), [cover]
             reach = nearest.max()
             if reach == 0:
                 continue
-            while len(centres) < 2 or (nearest.max() > reach / 4 and len(centres) < min(64, (high - low) // 16)):
+            while len(centres) < 2 or (nearest.max() > reach / 4 and len(centres) < min(MOST_CHILDREN, (high - low) // 16)):
                 centres.append(int(rows[nearest.argmax()]))
                 apart = ((vectors[rows] - vectors[centres[-1]]) ** 2).sum(axis=1)
                 closer = apart < nearest
                 nearest[closer], owner[closer] = apart[closer], len(centres) - 1
+            self.step[node] = float(np.sqrt(nearest.max()))
             self.rows[low:high] = rows[np.argsort(owner, kind="stable")]
             ends = low + np.cumsum(np.bincount(owner, minlength=len(centres)))
             for c, a, b in zip(centres, [low, *ends[:-1].tolist()], ends.tolist(), strict=True):
                 if b > a:
-                    child = self._add(vectors, a, b)
+                    child = self._add(vectors, a, b, c)
                     self.children[node].append(child)
-                    todo.append((child, c))
+                    todo.append(child)
 
 
 def search(queries: np.ndarray, vectors: np.ndarray, ids: list[np.ndarray], k: int, floor: np.ndarray, scored: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,6 +150,12 @@ def _matrix(column: pd.Series, width: int) -> np.ndarray:
     return out
 
 
+def _strips(rows: int, cells: int) -> list[slice]:
+    """Ranges of rows whose table by cells holds STRIP numbers at most."""
+    step = max(1, STRIP // max(cells, 1))
+    return [slice(at, at + step) for at in range(0, rows, step)]
+
+
 def _searched(k: int):
     def run(key, queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or vectors.empty:
@@ -213,10 +228,13 @@ def top_k(
     def nearest(v: pd.Series) -> pd.DataFrame:
         size = max(width, max(map(len, v)))
         m, c = _matrix(v, size), np.pad(centres, ((0, 0), (0, size - width)))
-        norms = (m**2).sum(axis=1)
-        apart = norms[:, None] - 2 * m @ c.T + (c**2).sum(axis=1)
-        best = apart.argmin(axis=1)
-        return pd.DataFrame({"cell": best.astype(np.int32), "apart": np.sqrt(np.maximum(apart[np.arange(len(m)), best], 0)), "norm": np.sqrt(norms)})
+        norms, own = (m**2).sum(axis=1), (c**2).sum(axis=1)
+        best, least = np.zeros(len(m), np.int32), np.zeros(len(m))
+        for strip in _strips(len(m), len(c)):
+            apart = norms[strip, None] - 2 * m[strip] @ c.T + own
+            best[strip] = apart.argmin(axis=1)
+            least[strip] = apart.min(axis=1)
+        return pd.DataFrame({"cell": best, "apart": np.sqrt(np.maximum(least, 0)), "norm": np.sqrt(norms)})
 
     placed = cut(distinct.withColumn("x", nearest("v")).select("v", "ids", "x.*"))
     about = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("apart").alias("radius")).collect()  # at most `cells` rows
@@ -253,10 +271,15 @@ def top_k(
     def reachable(v: pd.Series, norm: pd.Series, floor: pd.Series, home: pd.Series) -> pd.Series:
         size = max(width, max(map(len, v)))
         m, c = _matrix(v, size), np.pad(centres, ((0, 0), (0, size - width)))
-        most = m @ c.T + norm.to_numpy()[:, None] * np.array([radius.get(i, -np.inf) for i in range(len(c))])
-        most[:, [i for i in range(len(c)) if i not in radius]] = -np.inf
-        most[np.arange(len(m)), home.to_numpy()] = -np.inf
-        return pd.Series([np.flatnonzero(x).astype(np.int32) for x in (most >= floor.to_numpy()[:, None] - 1e-6) & (most > -np.inf)])
+        norm, floor, home = norm.to_numpy(), floor.to_numpy(), home.to_numpy()
+        wide, none = np.array([radius.get(i, -np.inf) for i in range(len(c))]), [i for i in range(len(c)) if i not in radius]
+        found = []
+        for strip in _strips(len(m), len(c)):
+            most = m[strip] @ c.T + norm[strip, None] * wide
+            most[:, none] = -np.inf
+            most[np.arange(len(most)), home[strip]] = -np.inf
+            found += [np.flatnonzero(x).astype(np.int32) for x in (most >= floor[strip, None] - 1e-6) & (most > -np.inf)]
+        return pd.Series(found)
 
     routed = bounded.withColumn("cell", F.explode(reachable("v", "norm", "floor", "home"))).withColumn("block", F.explode(each_block(F.col("cell"))))
     merged = cut(_ranked(first.select("q", "vec_id", "score").union(sought(routed)), k + 1).drop("rank"))
