@@ -56,6 +56,11 @@ def assign(rows: DataFrame, key_col: str, shards: list[str], slots: int = 8191)
 
 
 def write(rows: DataFrame, key_col: str, shards: list[str], path: str, *, slots: int = 8191, files: int = 4) -> None:
-    """Write rows as Parquet under path/shard=N, at most `files` files a shard, each row salted within its shard by its slot."""
+    """Write rows as Parquet under path/shard=N, at most `files` files a shard.
+
+    Each row is salted within its shard by a hash of the whole row, so that a key that holds most rows fills all its shard's
+    files alike; rows that are equal in all columns go to one file.
+    """
     placed = assign(rows, key_col, shards, slots)
-    placed.repartition("shard", F.col("slot") % files).drop("slot").write.partitionBy("shard").parquet(path)
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(files))
+    placed.repartition("shard", salt).drop("slot").write.partitionBy("shard").parquet(path)
