@@ -124,6 +124,26 @@ PAGES = [
 ]
 
 
+def test_shards_are_written_evenly(spark, tmp_path):
+    """A key with most rows fills all files of its shard; nothing is lost or misplaced."""
+    shards = [f"s{i}" for i in range(5)]
+    rows = [("hot", i) for i in range(4000)] + [(f"k{i}", i) for i in range(500)] + [(None, i) for i in range(50)]
+    df = spark.createDataFrame(rows, "key string, i long").repartition(6)
+    conf = {"spark.sql.shuffle.partitions": "97", "spark.sql.adaptive.coalescePartitions.enabled": "false"}  # small partitions stay apart
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    sharding.write(df, "key", shards, f"{tmp_path}/out", slots=101, files=4)
+    for k, v in before.items():
+        spark.conf.set(k, v)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    want = sorted((r["key"] or "", r["i"], r["shard"]) for r in sharding.assign(df, "key", shards, 101).collect())
+    assert sorted((r["key"] or "", r["i"], r["shard"]) for r in back.collect()) == want
+    sizes = [r["count"] for r in back.where("key = 'hot'").groupBy(F.input_file_name()).count().collect()]
+    assert 3 <= len(sizes) <= 4 and max(sizes) < 2300
+    assert all(r["n"] <= 4 for r in back.select("shard", F.input_file_name().alias("f")).distinct().groupBy("shard").agg(F.count("*").alias("n")).collect())
+
+
 def test_html(spark):
     rows = spark.createDataFrame([(i % 4, "u", h, "clash") for i, (h, _) in enumerate(PAGES)], "page_id long, url string, html string, text string").coalesce(1)
     assert [r["text"] for r in html.extract(rows).collect()] == [t for _, t in PAGES]
@@ -277,6 +297,34 @@ def test_cover_trees_prune_most_of_clustered_vectors():
         assert sorted((-int(s), int(j)) for j, s in zip(found[q == i], scores[q == i], strict=True)) == want
 
 
+def test_cover_trees_cover_and_separate():
+    """Of every inner node: all below a child within its step, children's vectors at least that apart, steps that shrink."""
+    r = np.random.default_rng(3)
+    middle = r.normal(0, 40, (40, 16))
+    clustered = np.floor(middle[np.arange(6000) % 40] + r.normal(0, 3, (6000, 16)))
+    even = r.normal(size=(3000, 32))
+    for vectors in (clustered, np.floor(64 * even / np.linalg.norm(even, axis=1)[:, None]), np.repeat(clustered[:200], 9, axis=0), np.floor(np.exp(r.normal(0, 3, (2000, 2))))):
+        tree, inner = topk.CoverTree(vectors), 0
+        assert sorted(tree.rows.tolist()) == list(range(len(vectors)))
+        for i, children in enumerate(tree.children):
+            if not children:
+                continue
+            inner, step = inner + 1, tree.step[i]
+            reach = np.sqrt(((vectors[tree.rows[tree.low[i] : tree.high[i]]] - vectors[tree.cover[i]]) ** 2).sum(axis=1)).max()
+            assert step < reach and len(children) <= topk.MOST_CHILDREN and tree.cover[i] in {tree.cover[c] for c in children}
+            centres = vectors[[tree.cover[c] for c in children]]
+            for c, centre in zip(children, centres, strict=True):
+                assert np.sqrt(((vectors[tree.rows[tree.low[c] : tree.high[c]]] - centre) ** 2).sum(axis=1)).max() <= step + 1e-9
+            apart = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(axis=2)) + np.diag(np.full(len(centres), np.inf))
+            assert apart.min() >= step - 1e-9
+        assert inner > 0
+
+
+def test_cells_are_searched_in_strips():
+    assert [(s.start, s.stop) for s in topk._strips(5, topk.STRIP // 2)] == [(0, 2), (2, 4), (4, 6)] and topk._strips(0, 9) == []
+    assert topk.STRIP * 8 <= 16 << 20
+
+
 def _base(t):
     t = t or ""
     found = [(m.start(), 0, "assign", m.end()) for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 6]
