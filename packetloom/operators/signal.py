@@ -38,13 +38,23 @@ def haar(x: Column) -> Column:
     return F.concat(F.transform(half, lambda i: a(i) + b(i)), F.transform(half, lambda i: a(i) - b(i)))
 
 
+def _carried(x: Column, step: int, pick) -> Column:
+    """For each place what `pick` leaves of its value and the place before's, moved by step: one pass over the array."""
+    state = "struct<last:bigint,out:array<bigint>>"
+    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("out")).cast(state)
+
+    def put(done, v):
+        now = F.coalesce(pick(done["last"] + step, v), v)
+        return F.struct(now.alias("last"), F.concat(done["out"], F.array(now)).alias("out")).cast(state)
+
+    return F.aggregate(x, start, put, lambda s: s["out"])
+
+
 def masking(x: Column, up: int, down: int) -> Column:
     """max over i of x[i] less `up` a step upward and `down` a step downward, for every place: what each is masked by."""
-    n = F.size(x)
-    places = F.sequence(F.lit(0), n - 1)
-    from_below = lambda j: F.array_max(F.transform(F.slice(x, 1, j + 1), lambda v, i: v - up * (j - i)))
-    from_above = lambda j: F.array_max(F.transform(F.slice(x, j + 1, n - j), lambda v, i: v - down * i))
-    return F.transform(places, lambda j: F.greatest(from_below(j), from_above(j)))
+    most = lambda a, v: F.when(a.isNotNull(), F.greatest(a, v))
+    above = F.reverse(_carried(F.reverse(x), -down, most))
+    return F.zip_with(_carried(x, -up, most), above, lambda a, b: F.greatest(a, b))
 
 
 def energy(x: Column) -> Column:
@@ -82,10 +92,8 @@ def tilt(x: Column) -> Column:
 
 
 def rise_limited(x: Column, step: int) -> Column:
-    """x with no place more than step above the one before, by a running minimum of x[j] - step * j."""
-    n = F.size(x)
-    low = lambda j: F.array_min(F.transform(F.slice(x, 1, j + 1), lambda v, i: v - step * i))
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda j: low(j) + step * j)
+    """x with no place more than step above the one before."""
+    return _carried(x, step, lambda a, v: F.when(a.isNotNull(), F.least(a, v)))
 
 
 def powers(x: Column, n: int) -> Column:

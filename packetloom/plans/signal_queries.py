@@ -170,14 +170,14 @@ def band_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {SAMPLES}, n AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY ts, event_id) - 1 AS i FROM x), f AS (SELECT stream_id, CAST(i // 8 AS BIGINT) AS frame, list(x ORDER BY i) AS v FROM n GROUP BY ALL HAVING count(*) = 8),
+@query(f"""WITH {SAMPLES}, n AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY ts, event_id) - 1 AS i FROM x), g AS (SELECT stream_id, CAST(i // 8 AS BIGINT) AS frame, list(x ORDER BY i) AS v FROM n GROUP BY ALL), f AS (SELECT stream_id, frame, list_concat(v, list_transform(range(8 - len(v)), lambda i: CAST(0 AS BIGINT))) AS v FROM g),
 p AS (SELECT stream_id, frame, k, CAST(floor(list_sum(list_transform(range(8), lambda i: v[i + 1] * CAST(round(cos(2 * pi() * k * i / 8) * 16384) AS BIGINT))) / 16384.0) AS BIGINT) AS c, CAST(floor(list_sum(list_transform(range(8), lambda i: v[i + 1] * CAST(round(sin(2 * pi() * k * i / 8) * 16384) AS BIGINT))) / 16384.0) AS BIGINT) AS s FROM f, range(5) AS t(k))
 SELECT stream_id, frame, k AS bin, c * c + s * s AS power FROM p""")
 def frame_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The spectrum of every full frame of eight samples."""
+    """The spectrum of every frame of eight samples, a stream's last one filled up with zeros."""
     rows = ordered.running(fixtures.samples(spark, sf_dir), "stream_id", ["ts", "event_id"], {"i": F.lit(1)})
     frames = rows.groupBy("stream_id", F.call_function("div", F.col("i") - 1, F.lit(8).cast("long")).alias("frame")).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("f"))  # of eight
-    full = frames.where(F.size("f") == 8).select("stream_id", "frame", F.col("f.x").alias("v"))
+    full = frames.select("stream_id", "frame", F.concat("f.x", F.array_repeat(F.lit(0).cast("long"), 8 - F.size("f"))).alias("v"))
     return full.select("stream_id", "frame", F.posexplode(sg.powers(F.col("v"), 8)).alias("bin", "power")).withColumn("bin", F.col("bin").cast("long"))
 
 
