@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import comparison, framing, signal as sg, states
+from .. import storage
+from ..operators import comparison, framing, signal as sg, smoothing, states
 from ..sources import files, fixtures
-from .base import BANDS, SAMPLES, query
+from ..streaming import census
+from .base import BANDS, HEADERS, PACKETS, SAMPLES, query
 
 ORDER = ["ts", "event_id"]
 #: A ladder for 16-bit samples.
@@ -55,6 +57,31 @@ def threshold_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("stream_id", "event_id", "rung")
 
 
+@query(f"""WITH RECURSIVE {SAMPLES}, e AS (SELECT stream_id, event_id, CASE WHEN silent THEN NULL ELSE x * 256 END AS t, row_number() OVER (PARTITION BY stream_id ORDER BY ts, event_id) AS n FROM x),
+r AS (SELECT stream_id, event_id, n, CAST(coalesce(floor(t * 983 / 65536.0), 0) AS BIGINT) AS level FROM e WHERE n = 1
+  UNION ALL SELECT e.stream_id, e.event_id, e.n, CAST(r.level + coalesce(floor((e.t - r.level) * 983 / 65536.0), 0) AS BIGINT) FROM r JOIN e ON e.stream_id IS NOT DISTINCT FROM r.stream_id AND e.n = r.n + 1)
+SELECT stream_id, event_id, level FROM r""")
+def smoothed_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stream's level, moved toward its samples by 1.5 % a step in whole numbers; silent rows leave it."""
+    rows = fixtures.samples(spark, sf_dir)
+    found = smoothing.smooth(rows, "stream_id", ORDER, F.when(~F.col("silent"), F.col("x") * 256), 983, 0, "level")
+    return found.select("stream_id", "event_id", "level")
+
+
+@query(f"""WITH {PACKETS}, {HEADERS} SELECT date_trunc('hour', CAST(ts AS TIMESTAMP)) AS start, mode, count(*) AS n_packets, CAST(sum(n_bytes) AS BIGINT) AS n_bytes, CAST(sum(spf) AS BIGINT) AS n_samples FROM h WHERE ts IS NOT NULL GROUP BY ALL""")
+def streamed_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hourly packet census by mode, made by a streaming query over the table's files and read when it has come to their end."""
+    events = fixtures.table(spark, sf_dir, "events")
+    packets = spark.readStream.schema(events.schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
+    i = F.col("event_id")
+    packets = packets.select("ts", "event_id", (i % 256).alias("toc"), (1 + i % 1275).alias("n_bytes"))
+    folder = storage.scratch(spark)
+    counted = census.windowed_census(packets, late="36500 days")
+    done = counted.writeStream.outputMode("complete").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/out")).option("checkpointLocation", f"{folder}/state")
+    done.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(counted.schema).parquet(f"{folder}/out")
+
+
 @query("""WITH s AS (SELECT source, string_agg(hex(encode(coalesce(text, ''))), '' ORDER BY doc_id) AS h FROM documents GROUP BY source),
 f AS (SELECT source, unnest(range(0, (len(h) + 1919) // 1920)) AS frame, h FROM s)
 SELECT source, CAST(frame AS BIGINT) AS frame, CAST(len(substr(h, 1920 * frame + 1, 1920)) // 2 AS BIGINT) AS n_bytes, md5(rpad(substr(h, 1920 * frame + 1, 1920), 1920, '0')) AS content_md5 FROM f""")

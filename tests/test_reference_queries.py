@@ -23,7 +23,7 @@ def test_what_sql_cannot_express():
     assert QUERIES.keys() - SQL.keys() == {"stream_quality"}
 
 
-ALONG = ["page_layout", "page_table", "granule_positions", "record_offsets", "repacketize", "mode_transitions", "channel_hysteresis", "silence_runs", "frame_energies", "frame_averages", "frame_spectra", "background_levels", "bandwidth_ladder", "threshold_steps", "container_packets"]
+ALONG = ["page_layout", "page_table", "granule_positions", "record_offsets", "repacketize", "mode_transitions", "channel_hysteresis", "silence_runs", "frame_energies", "frame_averages", "frame_spectra", "background_levels", "bandwidth_ladder", "threshold_steps", "container_packets", "smoothed_levels"]
 
 
 @pytest.fixture(scope="module")
