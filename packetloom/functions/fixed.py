@@ -276,3 +276,80 @@ def inverse_q(b: Column, q: Column | int) -> Column:
         return _scaled(let(wrap(idiv(_c(((1 << 31) - 1) >> 2), F.shiftright(v["b"], 16)), 16), refined), v["at"] - _c(q))
 
     return F.when(_c(b) != 0, let(start, inverted))
+
+
+# Coefficients of the angles below; those of the arc tangent stand in rising scales from Q31 on.
+ANGLE_COS, ANGLE_LOG = (-7651, 8277, -626), (7932, -2597)
+ATAN = (-715791936, 857391616, -1200579328, 1682636672, -1985085440, 1583306112, -598602432)
+ATAN_TURN, ACOS = 1367130551, (25726, -3308, 762)
+
+
+def _r15(a: Column | int, b: Column | int) -> Column:
+    return round_shift(_c(a) * _c(b), 15)
+
+
+def _q31(a: Column | int, b: Column | int) -> Column:
+    return F.shiftright(_c(a) * _c(b), 31)
+
+
+def angle_cosine(x: Column) -> Column:
+    """The cosine in Q15 of an angle from 64 to 16320 (16384 is a right one), alike to the last bit everywhere; null for others."""
+
+    def curve(s):
+        inner = _c(ANGLE_COS[2])
+        for c in (ANGLE_COS[1], ANGLE_COS[0]):
+            inner = c + _r15(inner, s)
+        return 1 + wrap(32767 - s + _r15(s, inner), 16)
+
+    return F.when(_c(x).between(64, 16320), let(wrap(F.shiftright(4096 + _c(x) * _c(x), 13), 16), curve))
+
+
+def log2_tangent(sine: Column, cosine: Column) -> Column:
+    """About log2(sine / cosine) in Q11, of two positive Q15 numbers."""
+
+    def part(v):
+        n = bit_length(v)
+        top = F.call_function("shiftleft", v, F.greatest(15 - n, _c(0)).cast("int"))
+        return n * 2048 + let(top, lambda t: _r15(t, ANGLE_LOG[0] + _r15(t, ANGLE_LOG[1])))
+
+    return part(_c(sine)) - part(_c(cosine))
+
+
+def arc_tangent(x: Column) -> Column:
+    """About atan(x) * 2 / pi in Q30, of a Q30 number from -1 to 1."""
+
+    def curve(square):
+        inner = _c(0)
+        for c in reversed(ATAN):
+            inner = _q31(square, wrap(c + inner))
+        return _q31(ATAN_TURN, wrap(_c(x) + _q31(wrap(2 * _c(x)), inner)))
+
+    edge = 1 << 30
+    return F.when(_c(x) == edge, _c(edge >> 1)).when(_c(x) == -edge, _c(-(edge >> 1))).otherwise(let(_q31(wrap(2 * _c(x)), x), curve))
+
+
+def angle_of(y: Column, x: Column) -> Column:
+    """About the angle of (x, y) in the first quarter, as a part of a right one in Q30; 0 for (0, 0)."""
+    small, large = F.least(_c(x), _c(y)), F.greatest(_c(x), _c(y))
+    part = arc_tangent(F.shiftright(quotient(small, large), 1))
+    return F.when((_c(x) == 0) & (_c(y) == 0), _c(0)).when(_c(y) < _c(x), part).otherwise((1 << 30) - part)
+
+
+def arc_cosine(x: Column) -> Column:
+    """About acos(x) in Q13, of a Q29 number from -1 to 1."""
+    size = F.abs(_c(x))
+
+    def curve(t):
+        inner = F.shiftright(ACOS[2] * t, 14) + ACOS[1]
+        inner = F.shiftright(inner * t, 14) + ACOS[0]
+        return F.shiftright(inner * sqrt(F.greatest((1 << 30) - 2 * size, _c(0))), 16)
+
+    found = let(wrap(F.shiftright(size, 15), 16), curve)
+    return F.when(_c(x) < 0, 25736 - found).otherwise(found)
+
+
+def weights(a: Column, b: Column) -> Column:
+    """array of two weights of at most 15 bits, as two energies are to each other, both raised by a third of the smaller."""
+    more = F.call_function("div", F.least(_c(a), _c(b)), _c(3))
+    at = ilog2(1 + F.greatest(_c(a), _c(b)) + more) - 14
+    return F.array(*(wrap(shift(_c(v) + more, at), 16) for v in (a, b)))

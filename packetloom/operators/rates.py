@@ -67,3 +67,50 @@ def not_sent(run: Column, frame_ms: int) -> Column:
     """Whether the run-th silent frame in a row is left out: after 400 ms for 800 ms at a time, with one frame between."""
     n0, n1 = 400 // frame_ms, 800 // frame_ms
     return (run > n0) & ((run - n0 - 1) % (n1 + 1) < n1)
+
+
+# What is known of a signal or an application as a likelihood of speech from 0 to 127, and the largest packet.
+SPEECH, MUSIC, CALL, MIXED, MOST_MIXED, MOST_PACKET = 127, 0, 115, 48, 115, 1276
+
+
+def speech_likelihood(signal: Column, ratio: Column, application: Column) -> Column:
+    """How much of a signal is speech: what is told of it (`voice`, `music`), else a ratio in percent (-1: unknown), else by the application.
+
+    application: `voip` or `audio`; audio is never held for more than nine tenths speech.
+    """
+    by_ratio = F.shiftright(ratio * 327, 8)
+    known = F.when(application == "audio", F.least(by_ratio, F.lit(MOST_MIXED))).otherwise(by_ratio)
+    return F.when(signal == "voice", SPEECH).when(signal == "music", MUSIC).when(ratio >= 0, known).when(application == "voip", CALL).otherwise(MIXED).cast("long")
+
+
+def starved(most_bytes: Column, bitrate: Column, frames_a_second: Column) -> Column:
+    """Whether there is so little room that a packet can tell no more than its header."""
+    slow = (frames_a_second < 50) & ((most_bytes * frames_a_second < 300) | (bitrate < 2400))
+    return (most_bytes < 3) | (bitrate < 24 * frames_a_second) | slow
+
+
+def room_error(frame: Column, room: Column, rate: int = 48000) -> Column:
+    """Why a frame can't be coded into `room` bytes: `bad argument`, `buffer too small` (100 ms into one byte), or null."""
+    most = F.least(F.lit(6 * MOST_PACKET), room)
+    return F.when((frame <= 0) | (most <= 0), "bad argument").when((most == 1) & (frame * 10 == rate), "buffer too small")
+
+
+def stereo_width(rate: Column) -> Column:
+    """How wide the stereo image stays at an equivalent rate, Q14: all from 32 kbit/s, none below 16."""
+    return F.when(rate > 32000, 16384).when(rate < 16000, 0).otherwise(16384 - idiv(2048 * (32000 - rate), rate - 14000)).cast("long")
+
+
+def decimation(rate: Column) -> Column:
+    """48 kHz by a rate that divides it; 0 for one that isn't supported."""
+    return F.when(rate.isin(8000, 12000, 16000, 24000, 48000), idiv(F.lit(48000), rate)).otherwise(0).cast("long")
+
+
+def error_class(error: Column) -> Column:
+    """What a user is told of a detailed error: `bad argument`, `buffer too small`, `invalid packet`, else `internal error`; null for none."""
+    kinds = {
+        "bad argument": ["bad argument", "bad range", "bad length", "bad frames"], "buffer too small": ["buffer too small", "too small"], "invalid packet": ["invalid", "empty", "invalid_packet", "invalid packet"],
+    }
+    out = F.when(error.isNull(), F.lit(None).cast("string"))
+    for name, ours in kinds.items():
+        out = out.when(error.isin(*ours), name)
+    return out.otherwise("internal error")

@@ -69,3 +69,20 @@ def silence_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = fixtures.table(spark, sf_dir, "events").select(F.col("user_id").alias("stream_id"), "ts", "event_id", ((F.col("event_type") == "error") | (F.col("event_id") % 2 == 0)).alias("silent"))
     runs = r.silence_runs(e, "stream_id", ["ts", "event_id"])
     return runs.select("stream_id", "event_id", "run", r.not_sent(F.col("run"), 400).alias("dropped"))
+
+
+@query(f"""WITH {RATES}, e AS (SELECT *, 48000 // frame AS fps, l_partkey % 9 - 1 AS room, ['voice', 'music', 'auto'][l_orderkey % 3 + 1] AS signal, l_suppkey % 102 - 1 AS ratio, CASE WHEN l_partkey % 2 = 0 THEN 'voip' ELSE 'audio' END AS application, bitrate % 40000 AS r FROM r),
+b AS (SELECT *, CASE signal WHEN 'voice' THEN 127 WHEN 'music' THEN 0 ELSE CASE WHEN ratio >= 0 THEN CASE WHEN application = 'audio' THEN least((ratio * 327) >> 8, 115) ELSE (ratio * 327) >> 8 END WHEN application = 'voip' THEN 115 ELSE 48 END END AS speech,
+  CASE WHEN room <= 0 THEN 'bad argument' WHEN room = 1 AND frame * 10 = 48000 THEN 'buffer too small' END AS error FROM e)
+SELECT l_orderkey, l_linenumber, CAST(speech AS BIGINT) AS speech, room < 3 OR r < 24 * fps OR (fps < 50 AND (room * fps < 300 OR r < 2400)) AS is_starved, error AS room_error,
+  CAST(CASE WHEN r > 32000 THEN 16384 WHEN r < 16000 THEN 0 ELSE 16384 - (2048 * (32000 - r)) // (r - 14000) END AS BIGINT) AS width FROM b""")
+def rate_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much speech every setting stands for, whether its packets have room for more than a header, why they have none, and the stereo width its rate leaves."""
+    t = fixtures.rates(spark, sf_dir)
+    signal = F.element_at(F.array(*map(F.lit, ("voice", "music", "auto"))), (F.col("l_orderkey") % 3 + 1).cast("int"))
+    application = F.when(F.col("l_partkey") % 2 == 0, "voip").otherwise("audio")
+    room, low, fps = F.col("l_partkey") % 9 - 1, F.col("bitrate") % 40000, F.call_function("div", F.lit(48000).cast("long"), F.col("frame"))
+    return t.select(
+        "l_orderkey", "l_linenumber", r.speech_likelihood(signal, F.col("l_suppkey") % 102 - 1, application).alias("speech"), r.starved(room, low, fps).alias("is_starved"),
+        r.room_error(F.col("frame"), room).alias("room_error"), r.stereo_width(low).alias("width"),
+    )

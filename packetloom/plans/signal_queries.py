@@ -144,6 +144,43 @@ def fixed_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _angle_cosine(x: str) -> str:
+    """SQL of a struct's steps: the square, then the curve over it."""
+    square = f"((4096 + ({x}) * ({x})) >> 13)"
+    a, b, c = fx.ANGLE_COS
+    r15 = lambda p, q: f"((({p}) * ({q}) + 16384) >> 15)"
+    return f"(32768 - {square} + {r15(square, f'{a} + ' + r15(square, f'{b} + ' + r15(str(c), square)))})"
+
+
+def _log_part(v: str) -> str:
+    """SQL of a number's logarithm, from its top 15 bits t."""
+    a, b = fx.ANGLE_LOG
+    top = f"({v} << (15 - length(bin({v}))))"
+    return f"(length(bin({v})) * 2048 + (({top} * ({a} + (({top} * {b} + 16384) >> 15)) + 16384) >> 15))"
+
+
+def _atan_steps() -> str:
+    """SQL of the arc tangent's curve, one CTE a step, from columns u and q (its square)."""
+    steps, last = [], "0"
+    for i, c in enumerate(reversed(fx.ATAN)):
+        steps.append(f"t{i} AS (SELECT *, (q * ({c} + {last})) >> 31 AS i{i} FROM {f't{i - 1}' if i else 'q'})")
+        last = f"i{i}"
+    return ",\n".join(steps)
+
+
+@query(f"""WITH {SAMPLES}, a AS (SELECT event_id, x, 64 + abs(x) % 16257 AS a, CAST(x AS BIGINT) * 32768 AS u FROM x),
+c AS (SELECT *, {_angle_cosine('a')} AS c, {_angle_cosine('16384 - a')} AS s FROM a), q AS (SELECT *, ((2 * u) * u) >> 31 AS q FROM c),
+{_atan_steps()}
+SELECT event_id, c AS cosine, s AS sine, CAST({_log_part('s')} - {_log_part('c')} AS BIGINT) AS log_tangent,
+  CASE WHEN x = -32768 THEN -536870912 ELSE ({fx.ATAN_TURN} * (u + (((2 * u) * i{len(fx.ATAN) - 1}) >> 31))) >> 31 END AS arc_tangent FROM t{len(fx.ATAN) - 1}""")
+def fixed_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bit-exact cosines, sines and the logarithm of their ratio for every sample as an angle, and its arc tangent."""
+    x = F.col("x")
+    rows = fixtures.samples(spark, sf_dir).select("event_id", "x", (64 + F.abs(x) % 16257).alias("a"))
+    c, s = fx.angle_cosine(F.col("a")), fx.angle_cosine(16384 - F.col("a"))
+    return rows.select("event_id", c.alias("cosine"), s.alias("sine"), fx.log2_tangent(s, c).alias("log_tangent"), fx.arc_tangent(x * 32768).alias("arc_tangent"))
+
+
 @query(f"""WITH {SAMPLES}, n AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY ts, event_id) AS i FROM x)
 SELECT stream_id, event_id, CAST(min(abs(x) - 16 * i) OVER (PARTITION BY stream_id ORDER BY i) + 16 * i AS BIGINT) AS background FROM n""")
 def background_levels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -279,3 +279,8 @@ def wav_header(content: Column) -> Column:
         return pa.array([dict(zip(kind.names, r, strict=True)) for r in rows], kind)
 
     return walked(content)
+
+
+def wav_seconds(header: Column) -> Column:
+    """How long the samples of a wav_header play; null if their number isn't known or there is no rate."""
+    return header["n_samples"].cast("double") / F.nullif(header["rate"], F.lit(0).cast("long"))

@@ -166,3 +166,57 @@ def test_they_are_near_what_they_stand_for():
     assert all(abs(exp2(x) / 65536 - 2 ** (x / 1024)) < 0.002 * 2 ** (x / 1024) + 1e-4 for x in range(-8000, 15000, 37))
     assert all(abs(rough_sqrt(x) - math.sqrt(x)) < 0.1 * math.sqrt(x) for x in WORDS if x > 300)
     assert all(abs(quotient_q(a, b, 16) - (a << 16) / b) < abs(a / b) * 65536 * 1e-4 + 2 for a, b in ((7, 3), (-1000, 77), (123456, -9), (5, 100000)))
+
+
+def log_tan(s, c):
+    part = lambda v: (v.bit_length() * 2048) + rounded((v << 15 - v.bit_length()) * (7932 + rounded((v << 15 - v.bit_length()) * -2597, 15)), 15)
+    return part(s) - part(c)
+
+
+def angle_cos(x):
+    s = w(4096 + x * x >> 13, 16)
+    t = -7651 + rounded(s * (8277 + rounded(-626 * s, 15)), 15)
+    return 1 + w(32767 - s + rounded(s * t, 15), 16)
+
+
+def atan(x):
+    if abs(x) == 1 << 30:
+        return x // 2
+    square, t = w(2 * x) * x >> 31, 0
+    for c in reversed(fx.ATAN):
+        t = square * w(c + t) >> 31
+    return 1367130551 * w(x + (w(2 * x) * t >> 31)) >> 31
+
+
+def atan2(y, x):
+    if x == y == 0:
+        return 0
+    return atan(quotient(y, x) >> 1) if y < x else (1 << 30) - atan(quotient(x, y) >> 1)
+
+
+def acos(x):
+    a = abs(x)
+    t = w(a >> 15, 16)
+    out = ((((762 * t >> 14) - 3308) * t >> 14) + 25726) * sqrt(max(0, (1 << 30) - 2 * a)) >> 16
+    return 25736 - out if x < 0 else out
+
+
+def test_angles(spark):
+    angles = [*range(64, 16321, 53), 65, 16319, 16320]
+    unit = [0, 1, -1, 1 << 30, -(1 << 30), (1 << 30) - 1, *(R.randrange(-(1 << 30), 1 << 30) for _ in range(300))]
+    pairs = [(0, 0), (0, 5), (5, 0), (7, 7), *((R.randrange(1 << 30), R.randrange(1, 1 << R.randrange(1, 31))) for _ in range(300))]
+    df = spark.createDataFrame([(i, a, u // 2, u, *p) for i, (a, u, p) in enumerate(zip(angles, unit, pairs, strict=False))], "i int, a long, h long, u long, y long, x long")
+    found = df.select(
+        "a", "u", "h", "x", "y", fx.angle_cosine(F.col("a")).alias("c"), fx.log2_tangent(fx.angle_cosine(16384 - F.col("a")), fx.angle_cosine(F.col("a"))).alias("l"), fx.arc_tangent(F.col("u")).alias("t"), fx.angle_of(F.col("y"), F.col("x")).alias("p"),
+        fx.arc_cosine(F.col("h")).alias("k"), fx.weights(F.col("x"), F.col("y")).alias("w"),
+    ).collect()
+    assert len(found) > 200
+    assert [r.c for r in spark.range(3).select(fx.angle_cosine(F.when(F.col('id') == 0, 63).when(F.col('id') == 1, 16321)).alias('c')).collect()] == [None] * 3
+    for r in found:
+        assert (r.c, r.l, r.t, r.p, r.k) == (angle_cos(r.a), log_tan(angle_cos(16384 - r.a), angle_cos(r.a)), atan(r.u), atan2(r.y, r.x), acos(r.h))
+        more = min(r.x, r.y) // 3
+        at = (1 + max(r.x, r.y) + more).bit_length() - 15
+        assert r.w == [w(vs(r.x + more, at), 16), w(vs(r.y + more, at), 16)]
+        assert abs(r.t / (1 << 30) - math.atan(r.u / (1 << 30)) * 2 / math.pi) < 1e-4
+        assert r.x + r.y == 0 or abs(r.p / (1 << 30) - math.atan2(r.y, r.x) * 2 / math.pi) < 1e-3
+        assert abs(r.k / 8192 - math.acos(r.h / (1 << 29))) < 0.01 and abs(r.c / 32768 - math.cos(math.pi / 2 * r.a / 16384)) < 1e-3

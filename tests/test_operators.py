@@ -136,3 +136,26 @@ def test_pulse_vectors_beyond_the_table(spark):
         want = None if r["n"] is None else count(r["n"], r["k"])
         assert r["v"] == (want if want is not None and want < 1 << 63 else None), r
         assert r["e"] == ("no size" if want is None else "beyond 64 bits" if want >= 1 << 63 else None)
+
+
+def test_error_classes_and_decimation(spark):
+    errors = [None, "empty", "invalid", "too small", "bad range", "bad frames", "bad length", "something else"]
+    df = spark.createDataFrame([(i, e) for i, e in enumerate(errors)], "i int, e string")
+    got = [r["x"] for r in df.select("i", rates.error_class(F.col("e")).alias("x")).orderBy("i").collect()]
+    assert got == [None, "invalid packet", "invalid packet", "buffer too small", "bad argument", "bad argument", "bad argument", "internal error"]
+    df = spark.createDataFrame([(r,) for r in (8000, 12000, 16000, 24000, 48000, 44100, 0)], "r long")
+    assert [r["x"] for r in df.coalesce(1).select(rates.decimation(F.col("r")).alias("x")).collect()] == [6, 4, 3, 2, 1, 0, 0]
+
+
+def test_speech_room_and_width(spark):
+    cases = [("voice", 0, "audio", 127), ("music", 99, "voip", 0), ("auto", 100, "audio", 115), ("auto", 100, "voip", 127), ("auto", 0, "audio", 0), ("auto", -1, "voip", 115), ("auto", -1, "audio", 48)]
+    df = spark.createDataFrame(cases, "s string, r long, a string, want long")
+    assert all(r["x"] == r["want"] for r in df.select(rates.speech_likelihood(F.col("s"), F.col("r"), F.col("a")).alias("x"), "want").collect())
+    room = [(0, 5, "bad argument"), (960, 0, "bad argument"), (4800, 1, "buffer too small"), (960, 1, None), (4800, 2, None)]
+    df = spark.createDataFrame(room, "f long, b long, want string")
+    assert all(r["x"] == r["want"] for r in df.select(rates.room_error(F.col("f"), F.col("b")).alias("x"), "want").collect())
+    starved = [(2, 64000, 50, True), (3, 1199, 50, True), (3, 1200, 50, False), (11, 9000, 25, True), (12, 2399, 25, True), (12, 2400, 25, False)]
+    df = spark.createDataFrame(starved, "b long, r long, n long, want boolean")
+    assert all(r["x"] == r["want"] for r in df.select(rates.starved(F.col("b"), F.col("r"), F.col("n")).alias("x"), "want").collect())
+    df = spark.createDataFrame([(15_999, 0), (16_000, 0), (20_000, 12_288), (32_000, 16_384), (40_000, 16_384)], "r long, want long")
+    assert all(r["x"] == r["want"] for r in df.select(rates.stereo_width(F.col("r")).alias("x"), "want").collect())

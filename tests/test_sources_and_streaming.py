@@ -48,6 +48,8 @@ def test_wav_and_samples(spark):
     a, b, u = [r["x"] for r in df.select(files.wav_header(F.col("content")).alias("x")).collect()]
     assert (a["error"], a["channels"], a["rate"], a["data_bytes"], a["n_samples"]) == (None, 2, 44100, 8, 2) and wav[a["data_at"] :] == body
     assert b["error"] == "not RIFF" and u["data_bytes"] is None
+    seconds = [r["x"] for r in df.select(files.wav_seconds(files.wav_header(F.col("content"))).alias("x")).collect()]
+    assert seconds == [2 / 44100, None, None]
     s = spark.createDataFrame([(bytearray(body + b"z"),), (bytearray(),)], "c binary").coalesce(1).select(files.samples_of(F.col("c")).alias("x")).collect()
     assert [r["x"] for r in s] == [[1, -2, 32767, -32768], []]
 
