@@ -75,11 +75,11 @@ def windows(
     Turns go by turn, ties by role, then text; a null turn comes first, null roles and texts are empty, all turns of a null
     id are one conversation. A leading turn with the role system is repeated in every later window if it takes at most
     half of budget - history; a longer one is a turn like others. The stride is budget - history, less the tokens of a
-    repeated system turn. A window of a turn longer than the stride repeats no history, and the system turn only if both fit.
-    size gives the tokens of a written turn, of escaped role, text and marks, so no window exceeds budget by it unless one turn
-    does by itself. loss_spans are (start, end) of the
-    assistant turns' texts in formatted, as code points, end exclusive, without repeated ones. Rows may repeat; each is a
-    turn. No rows give none; other columns are ignored. A text of any length is one turn and is never cut.
+    repeated system turn. A window of a turn longer than the stride repeats no history, and leaves out the system turn where
+    that alone takes it over the budget. size gives the tokens of a written turn, of escaped role, text and marks; by it no
+    window exceeds budget unless one turn does by itself. loss_spans are (start, end) of the assistant turns' texts in
+    formatted, as code points, end exclusive, without repeated ones. Rows may repeat; each is a turn. No rows give none;
+    other columns are ignored. A text of any length is one turn and is never cut.
     """
     if budget - history < 2 or history < 1:
         raise ValueError("budget must exceed history by two at least, and history be positive")
@@ -93,7 +93,7 @@ def windows(
     window = F.when(F.col("leads"), 1).otherwise(2 * F.col("cell") + F.when(F.floor(F.col("begin") / stride) < F.col("cell"), 0).otherwise(1))
     rows = rows.withColumn("window", window.cast("long"))
     starts = rows.groupBy("conv", "window").agg(F.min("begin").alias("start"), F.min("rank").alias("first"), F.max(F.col("size") > stride).alias("long"), F.max("size").alias("most"), F.max("system").alias("system"))
-    late = cut(starts.where("first > 1").select(F.col("conv").alias("c"), F.col("window").alias("w"), "start", "first", "long", F.floor(F.col("start") / history).alias("k"), (~F.col("long") | (F.col("system") + F.col("most") <= budget)).alias("led")))
+    late = cut(starts.where("first > 1").select(F.col("conv").alias("c"), F.col("window").alias("w"), "start", "first", "long", F.floor(F.col("start") / history).alias("k"), (~F.col("long") | (F.col("most") > budget) | (F.col("system") + F.col("most") <= budget)).alias("led")))
 
     head = rows.where("leads")
     kept = head.join(late, head.conv.eqNullSafe(late.c) & late.led).select("conv", F.col("w").alias("window"), "rank", F.lit(0).alias("new"), "role", "r", "t")

@@ -167,7 +167,7 @@ s AS (SELECT *, CAST(ceil(strlen(written) / 4.0) AS BIGINT) AS size, row_number(
 y AS (SELECT *, max(CASE WHEN rank = 1 AND role = 'system' AND 2 * size <= 1792 THEN size ELSE 0 END) OVER (PARTITION BY conv_id) AS sys FROM s),
 p AS (SELECT *, 1792 - sys AS stride, rank = 1 AND sys > 0 AS leads, sum(size) OVER (PARTITION BY conv_id ORDER BY rank) - size - sys AS b FROM y),
 l AS (SELECT *, length(written) AS chars, CASE WHEN leads THEN 1 ELSE 2 * ((b + size - 1) // stride) + CASE WHEN b // stride < (b + size - 1) // stride THEN 0 ELSE 1 END END AS win FROM p),
-w AS (SELECT conv_id, win, min(b) AS start, min(rank) AS first, bool_or(size > stride) AS long, bool_or(size > stride) AND max(sys) + max(size) > 2048 AS alone FROM l GROUP BY ALL),
+w AS (SELECT conv_id, win, min(b) AS start, min(rank) AS first, bool_or(size > stride) AS long, bool_or(size > stride) AND max(size) <= 2048 AND max(sys) + max(size) > 2048 AS alone FROM l GROUP BY ALL),
 again AS (SELECT l.conv_id, sum(l.chars) AS chars FROM l JOIN w ON l.conv_id = w.conv_id AND l.rank < w.first AND ((l.leads AND NOT w.alone) OR (NOT l.leads AND l.b + 256 >= w.start AND NOT w.long)) GROUP BY ALL),
 t AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY rank)) AS turns_sha256,
   coalesce(string_agg(text, '' ORDER BY rank) FILTER (role = 'assistant'), '') AS loss, sum(chars) AS chars FROM l GROUP BY conv_id)
