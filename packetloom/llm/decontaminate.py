@@ -169,10 +169,10 @@ def _matches(words: tx.Words, hashes: np.ndarray, index: Index, tables: dict) ->
     return start[sound], w[sound]
 
 
-def _find(documents: DataFrame, index: Index, only_hits: bool) -> DataFrame:
-    """id, key and SCHEMA of every document, or of those with hits; then its columns from the fourth on. key tells apart rows that share an id."""
+def _find(documents: DataFrame, index: Index, only_hits: bool, carried: tuple[str, ...] = ()) -> DataFrame:
+    """id, key and SCHEMA of every document, or of those with hits, and its columns named in carried. key tells apart rows that share an id."""
     shared = documents.sparkSession.sparkContext.broadcast(index)
-    carried = documents.columns[3:]
+    places = {c: documents.columns.index(c) for c in carried}
     empty = pa.array([], pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
@@ -210,13 +210,13 @@ def _find(documents: DataFrame, index: Index, only_hits: bool) -> DataFrame:
                 items[pair // len(index.names)].append(index.names[pair % len(index.names)])
         out = pa.record_batch(
             {
-                "id": part.column(0), "key": part.column(2), **dict(zip(carried, part.columns[3:], strict=True)), "n_words": pa.array(np.diff(words.bounds).astype(np.int64)), "n_hit": pa.array(n_hit.astype(np.int64)),
+                "id": part.column(0), "key": part.column(2), **{c: part.column(i) for c, i in places.items()}, "n_words": pa.array(np.diff(words.bounds).astype(np.int64)), "n_hit": pa.array(n_hit.astype(np.int64)),
                 "hit_spans": pa.array(spans, pa.list_(empty.type)), "items": pa.array(items, pa.list_(pa.string())),
             }
         )
         return out.filter(pa.array(n_hit > 0)) if only_hits else out
 
-    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields[3:])
+    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in (documents.schema[c] for c in carried))
     return documents.mapInArrow(run, f"id {documents.schema[0].dataType.simpleString()}, key long{more}, {SCHEMA}")
 
 
@@ -266,14 +266,16 @@ def decontaminate(
     block_bytes bounds the item texts of one broadcast block, whatever the items' sizes; only a single word may exceed it.
     """
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null").distinct()
-    docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col, id_col).alias("key"), *[F.col(c).alias(f"_{c}") for c in carry])
+    docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col, id_col).alias("key"), *[F.col(c).alias(f"_{c}") for c in carry if c != text_col])
+    # the text goes to the workers once, whether it comes back or not
+    names = {c: "text" if c == text_col else f"_{c}" for c in carry}
     parts = []
     slim = docs.select("id", "text", "key")
     for k, block in enumerate(_blocks(items, block_bytes)):
         index = build([tuple(r) for r in block.collect()])  # bounded by block_bytes
         keys = {q: np.unique(x[2]) for q, x in index.shingles().items()}
         counts = {r["hash"]: r["n"] for r in _count(slim, keys).collect()} if keys else {}  # no more than the block's shingles
-        parts.append(_find(slim if k else docs, with_prefixes(index, counts), only_hits=k > 0))
+        parts.append(_find(slim if k else docs, with_prefixes(index, counts), only_hits=k > 0, carried=() if k else tuple(names.values())))
     first, *rest = parts
     if rest:
         more = rest[0].withColumn("block", F.lit(1))
@@ -287,7 +289,7 @@ def decontaminate(
         spans = F.array_sort(F.concat("hit_spans", F.coalesce("s", none.cast("array<struct<start:bigint,end:bigint>>"))))
         joined = joined.withColumn("hit_spans", _merged(spans)).withColumn("items", F.array_sort(F.array_union("items", F.coalesce("i", none.cast("array<string>")))))
         first = joined.withColumn("n_hit", F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"]))
-    return first.select(F.col("id").alias(id_col), "n_words", "n_hit", "hit_spans", F.array_sort("items").alias("items"), *[F.col(f"_{c}").alias(c) for c in carry])
+    return first.select(F.col("id").alias(id_col), "n_words", "n_hit", "hit_spans", F.array_sort("items").alias("items"), *[F.col(x).alias(c) for c, x in names.items()])
 
 
 def _merged(spans):

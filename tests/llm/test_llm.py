@@ -77,6 +77,21 @@ def test_decontamination_in_one_block_and_many(spark, odd):
     assert decontaminate.decontaminate(docs.limit(0), benchmark).count() == 0
 
 
+def test_decontamination_sends_carried_texts_once(spark):
+    """A text that is carried goes to the workers once, and comes back as it was, by one block and by many."""
+    rows = [(1, "en", "a b c d"), (1, "de", "a b c d"), (2, None, None), (3, "en", "x A-b C  y"), (None, "en", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    benchmark = spark.createDataFrame([(1, "a b c"), (2, "x"), (3, "b " * 40)], "item_id long, text string")
+    for most in (1 << 20, 20):
+        found = decontaminate.decontaminate(docs, benchmark, block_bytes=most, carry=("text", "lang"))
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        sent = [[re.sub("#.*", "", c) for c in x.split(", ")] for x in re.findall(r"MapInArrow run\(([^)]*)\)", plan)]
+        assert sent and all(sorted(x) in (["_lang", "id", "key", "text"], ["id", "key", "text"]) for x in sent)
+        got = [(r["doc_id"], r["lang"], r["text"], r["n_hit"], r["items"]) for r in found.collect()]
+        want = [(*row, n, items) for row, (_, n, items) in zip(rows, contamination([t or "" for *_, t in rows], [tuple(r) for r in benchmark.collect()]), strict=True)]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_decontamination_of_items_that_repeat_themselves(spark):
     """Pieces of one item that say the same are one; texts over sixteen blocks end, with the hits of brute force."""
     again, other = "word " * 6000, "alpha beta " * 3000
