@@ -93,7 +93,8 @@ def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = files.pages(p, "stream_id", ORDER, "payload", "event_id", serial=F.col("stream"))
     formats.register(spark)
     folder = storage.scratch(spark)
-    pages.repartition("stream").sortWithinPartitions("stream", "page").write.format("pages").mode("append").save(folder)
+    with storage.frugal(spark):
+        pages.write.format("pages").option("compression", "zstd").mode("append").save(folder)
     return spark.read.format("pages").load(folder)
 
 

@@ -6,6 +6,7 @@ the chunks of WAV files, whose places follow from one another, are walked once f
 
 from __future__ import annotations
 
+import itertools
 import struct
 from collections.abc import Iterator
 
@@ -14,8 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..operators import container as c, ordered
+from ..storage import written
 
 PAGE_SCHEMA = "path string, page long, flags int, granule long, serial long, sequence long, segments array<int>, body binary, error string"
+#: Of pages that are made, bytes in a batch.
+BATCH_BYTES = 8 << 20
 RECORD_SCHEMA = "path string, record long, final_range long, payload binary, error string"
 
 
@@ -141,6 +145,18 @@ def _along_pages(pages: DataFrame, order: str) -> DataFrame:
     return rows.select(*pages.columns, (F.col("_ended_upto") - F.col("_ended")).alias("_before"), F.col("_opens_upto").alias("_openings"))
 
 
+def _spans(segments: Column) -> Column:
+    """array<struct<begin: int, n: int>>: the bytes of a page's body of each piece that ends a packet; the aggregation runs over ends only."""
+    ends = F.array_compact(F.transform(segments, lambda n, i: F.when(n < 255, i)))
+
+    def after(a: Column, i: Column) -> Column:
+        n = 255 * (i - a["at"] - 1) + F.get(segments, i)
+        return F.struct(F.concat(a["spans"], F.array(F.struct(a["begin"].alias("begin"), n.alias("n")))).alias("spans"), (a["begin"] + n).alias("begin"), i.alias("at"))
+
+    none = F.array().cast("array<struct<begin: int, n: int>>")
+    return F.aggregate(ends, F.struct(none.alias("spans"), F.lit(0).alias("begin"), F.lit(-1).alias("at")), after, lambda a: a["spans"])
+
+
 def packets_with_payloads(pages: DataFrame, order: str = "page") -> DataFrame:
     """(path, serial, packet, granule, payload) of every packet, put together from its pieces on pages that follow in `order`.
 
@@ -149,32 +165,35 @@ def packets_with_payloads(pages: DataFrame, order: str = "page") -> DataFrame:
     pages and what follows a stream's end page are left out. packet counts the ended packets from 0, headers included;
     granule is the position of the page the packet ends on, null for a page without one (-1). A packet's pieces meet in one
     task, a stream's pages don't.
+
+    pages are read twice. First the pages' numbers are written down, and the pieces at their two ends, which other pages may
+    go on with. Then each page is moved once, as it is, to its number; only pieces at the ends are grouped by packet.
     """
-    rows = _along_pages(pages, order).select("path", "serial", order, F.when(F.col("granule") != -1, F.col("granule")).alias("granule"), "segments", "body", "_before", "_openings")
+    sound = pages.where("error is null").withColumn("granule", F.when(F.col("granule") != -1, F.col("granule")))
+    goes_on, first, size = F.col("flags").bitwiseAND(1), F.col("first"), F.size("segments")
+    piece = lambda begin, n: F.substring(F.col("body"), begin + 1, n)
+
+    # of each page the end of a packet from pages before, and the begin of one that goes on after it; k: the packets ended before on the page
+    ends = F.transform("segments", lambda n: n < 255)
+    pages_ends = sound.withColumns({"first": F.array_position(ends, True).cast("int"), "after": F.array_position(F.reverse(ends), True).cast("int")})
+    left = F.when(first == 0, F.octet_length("body")).otherwise(255 * (F.col("after") - 1))
+    head = F.when((goes_on == 1) & (first > 0), F.struct(F.lit(0).alias("k"), F.lit(True).alias("ends"), piece(F.lit(0), 255 * (first - 1) + F.get("segments", first - 1)).alias("piece")))
+    tail = F.when(left > 0, F.struct(F.size(F.filter("segments", lambda n: n < 255)).alias("k"), F.lit(False).alias("ends"), piece(F.octet_length("body") - left, left).alias("piece")))
+    light = pages_ends.select("path", "serial", order, "flags", "granule", "segments", "error", F.array_compact(F.array(head, tail)).alias("edges"))
+    known = _along_pages(written(light), order)
 
-    def cut(batches):
-        for batch in batches:
-            out = []
-            for path, serial, at, granule, segments, body, before, openings in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                begin = end = 0
-                for size in segments:
-                    end += size
-                    if size < 255:
-                        out.append((path, serial, before, openings, at, granule, True, body[begin:end]))
-                        begin, before = end, before + 1
-                if end > begin:
-                    out.append((path, serial, before, openings, at, granule, False, body[begin:end]))
-            columns = list(zip(*out, strict=True)) or [()] * 8
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=names)
-
-    names = ["path", "serial", "packet", "openings", "at", "granule", "ends", "piece"]
-    kinds = [pa.string(), *[pa.int64()] * 5, pa.bool_(), pa.binary()]
-    pieces = rows.mapInArrow(cut, "path string, serial long, packet long, openings long, at long, granule long, ends boolean, piece binary")
     # pieces of an open packet share the packets ended before them and the openings; a later opening leaves it without an end
-    whole = pieces.groupBy("path", "serial", "packet", "openings").agg(F.array_sort(F.collect_list(F.struct("at", "piece", "ends", "granule"))).alias("x"))
+    edges = known.select("path", "serial", "_before", "_openings", F.col(order).alias("at"), "granule", F.explode("edges").alias("e"))
+    over = edges.groupBy("path", "serial", (F.col("_before") + F.col("e.k")).alias("packet"), "_openings").agg(F.array_sort(F.collect_list(F.struct("at", "e.piece", "e.ends", "granule"))).alias("x"))
     last = F.element_at("x", -1)
     payload = F.unhex(F.array_join(F.transform("x.piece", lambda b: F.hex(b)), ""))
-    return whole.where(last["ends"]).select("path", "serial", "packet", last["granule"].alias("granule"), payload.alias("payload"))
+    over = over.where(last["ends"]).select("path", "serial", "packet", last["granule"].alias("granule"), payload.alias("payload"))
+
+    inner = F.slice(F.transform(_spans(F.col("segments")), lambda s, i: F.struct(i.alias("k"), piece(s["begin"], s["n"]).alias("payload"))), goes_on + 1, size)
+    some = F.size(F.filter("segments", lambda n: n < 255)) > goes_on  # whether a packet lies on the page only
+    numbered = sound.where(some).join(known.select("path", "serial", order, "_before").hint("shuffle_hash"), ["path", "serial", order])
+    within = numbered.select("path", "serial", "granule", "_before", F.explode(inner).alias("x"))
+    return within.select("path", "serial", (F.col("_before") + F.col("x.k")).alias("packet"), "granule", "x.payload").unionByName(over)
 
 
 def streams(pages: DataFrame, order: str = "page") -> DataFrame:
@@ -205,34 +224,78 @@ def streams(pages: DataFrame, order: str = "page") -> DataFrame:
     )
 
 
+def _in_batches(rows: Iterator[tuple], kind: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Batches of BATCH_BYTES in the last column at most, and a row more."""
+    table = lambda: pa.record_batch([pa.array([r[i] for r in found], f.type) for i, f in enumerate(kind)], schema=kind)
+    found, held = [], 0
+    for row in rows:
+        found.append(row)
+        held += len(row[-1])
+        if held >= BATCH_BYTES:
+            yield table()
+            found, held = [], 0
+    yield table()
+
+
+def _paged(packets: Iterator[tuple]) -> Iterator[tuple]:
+    """(stream, page, content) of packets (stream, serial, granule, payload) that come a stream after another, in order."""
+    now: tuple = ()  # stream and serial
+    page, goes_on, granule, table, body = 0, False, -1, bytearray(), []
+
+    def content(is_last: bool) -> tuple:
+        flags = (1 if goes_on else 0) | (2 if page == 0 else 0) | (4 if is_last else 0)
+        head = struct.pack("<4sBBqII", b"OggS", 0, flags, granule, now[1], page)
+        rest = bytes([len(table)]) + table + b"".join(body)
+        return now[0], page, head + struct.pack("<I", c.checksum(head + bytes(4) + rest)) + rest
+
+    for stream, serial, position, data in packets:
+        if now != (stream, serial):
+            if now:
+                yield content(True)
+            now, page, goes_on, granule, table, body = (stream, serial), 0, False, -1, bytearray(), []
+        at, left = 0, len(data) // 255 + 1
+        while left:
+            if len(table) == 255:  # a full page isn't its stream's last once more comes
+                yield content(False)
+                page, goes_on, granule, table, body = page + 1, at > 0, -1, bytearray(), []
+            n = min(left, 255 - len(table))
+            body.append(data[at : at + 255 * n])
+            at, left = at + 255 * n, left - n
+            table += b"\xff" * n
+            if not left:
+                table[-1], granule = len(data) % 255, position
+    if now:
+        yield content(True)
+
+
 def pages(packets: DataFrame, stream: str, order: list[str], payload: str, granule: str, serial: Column | None = None) -> DataFrame:
     """(stream, page, content): serialised pages of each stream's packets in order, 255 segments a page at most.
 
-    order begins with a timestamp. Flags mark a stream's first page, its last, and pages that go on with a packet. serial is
-    the stream's number of 32 bits, from the column stream; a hash of it if none is given.
+    order must tell a stream's packets apart. Flags mark a stream's first page, its last, and pages that go on with a packet. serial is
+    the stream's number of 32 bits, from the column stream; a hash of it if none is given. Packets without a payload are left out.
+
+    A packet is moved once, to the task that makes its stream's pages; they leave it in order, as the sink takes them.
     """
-    k = packets.withColumn("_n", F.octet_length(payload).cast("long")).withColumn("_k", c.segments(F.col("_n")))
-    rows = ordered.running(k, stream, order, {"_upto": F.col("_k")})
-    seg = rows.select(F.col(stream).alias("stream"), (F.col("_upto") - F.col("_k")).alias("base"), F.col(granule).alias("granule"), F.col(payload).alias("data"), F.posexplode(c.lacing(F.col("_n"))).alias("i", "size"))
-    no = F.col("base") + F.col("i")
-    seg = seg.select("stream", F.call_function("div", no, F.lit(255).cast("long")).alias("page"), no.alias("no"), "size", "granule", (F.col("i") > 0).alias("goes_on"), F.substring(F.col("data"), 255 * F.col("i") + 1, F.col("size").cast("int")).alias("bytes"))
-    paged = seg.groupBy("stream", "page").agg(F.array_sort(F.collect_list(F.struct("no", "size", "goes_on", "granule", "bytes"))).alias("s"))  # 255 at most
-    paged = paged.withColumn("last", F.lead("page").over(Window.partitionBy("stream").orderBy("page")).isNull())
-    paged = paged.withColumn("serial", F.pmod(F.xxhash64("stream"), F.lit(1 << 32)) if serial is None else serial)
+    moved = packets.select(*dict.fromkeys((stream, *order, granule, payload))).where(F.col(payload).isNotNull())
+    moved = moved.repartition(F.col(stream)).sortWithinPartitions(F.col(stream).asc_nulls_first(), *ordered.ascending(order))
+    rows = moved.select(F.col(stream).alias("stream"), F.col(granule).cast("long").alias("granule"), F.col(payload).cast("binary").alias("data"))
+    number = F.pmod(F.xxhash64("stream"), F.lit(1 << 32)) if serial is None else serial
+    rows = rows.select("stream", number.cast("long").alias("serial"), "granule", "data")
 
     def run(batches):
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                ended = [x["granule"] for x in r["s"] if x["size"] < 255]
-                flags = (1 if r["s"][0]["goes_on"] else 0) | (2 if r["page"] == 0 else 0) | (4 if r["last"] else 0)
-                head = struct.pack("<4sBBqII", b"OggS", 0, flags, ended[-1] if ended else -1, r["serial"], r["page"])
-                rest = bytes([len(r["s"])]) + bytes(x["size"] for x in r["s"]) + b"".join(x["bytes"] for x in r["s"])
-                out.append(head + struct.pack("<I", c.checksum(head + bytes(4) + rest)) + rest)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["stream", "page", "content"])
-
-    kind = paged.schema["stream"].dataType.simpleString()
-    return paged.mapInArrow(run, f"stream {kind}, page long, content binary")
+        batches = iter(batches)
+        if (head := next(batches, None)) is None:
+            return
+        kind = pa.schema([("stream", head.schema.field(0).type), ("page", pa.int64()), ("content", pa.binary())])
+
+        def packets():
+            for batch in itertools.chain([head], batches):
+                for i, (key, number, position) in enumerate(zip(*(batch.column(x).to_pylist() for x in range(3)), strict=True)):
+                    yield key, number, position, batch.column(3)[i].as_py()
+
+        yield from _in_batches(_paged(packets()), kind)
+
+    return rows.mapInArrow(run, f"stream {rows.schema['stream'].dataType.simpleString()}, page long, content binary")
 
 
 WAV_SCHEMA = "error string, channels long, rate long, data_at long, data_bytes long, n_samples long"

@@ -10,12 +10,18 @@ whom its capture patterns lie in; a task finds its place by reading from one lon
 every cut gives the rows that one reader of the whole file gives. Records have no mark to find one by, so a file of them
 is one task; many files are many. The sink writes below _temporary and moves files to their names on commit.
 
+A file whose name ends in .zst and that is in zstd's seekable format (frames that stand alone, and a table of their sizes at
+the end) is read as what it decompresses to: places and ranges are those of its bytes before compression, and a task
+decompresses the frames its range lies in. The sink writes such files with compression "zstd"; `zstd -d` reads them too.
+
 Paths are those that pyarrow.fs opens (local, hdfs, s3, gs), since Python sources can't use Spark's own readers;
 sources.files reads what only these open.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import struct
 import uuid
 from collections.abc import Iterator
@@ -36,8 +42,8 @@ RECORD_SCHEMA = files.RECORD_SCHEMA
 SPLIT_BYTES = 64 << 20
 #: Head, table and body of the longest page.
 MOST_PAGE = 27 + 255 + 255 * 255
-#: Frames of samples in a row, and rows in a batch.
-BLOCK_FRAMES, BATCH_ROWS = 4096, 256
+#: Frames of samples in a row; rows in a batch, and bytes of their bodies.
+BLOCK_FRAMES, BATCH_ROWS, BATCH_BYTES = 4096, 256, 4 << 20
 
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<short>": pa.list_(pa.int16())}
 
@@ -72,6 +78,76 @@ class Range(InputPartition):
     size: int
 
 
+#: zstd's seekable format: marks before and after the table of frames, and bytes of a frame before compression.
+SKIPPABLE, SEEKABLE, FRAME_BYTES = 0x184D2A5E, 0x8F92EAB1, 1 << 20
+
+
+class _Frames:
+    """The bytes that a file of frames decompresses to, as _Window reads files; the last frame read is held."""
+
+    def __init__(self, file, sizes: list[tuple[int, int]]):
+        self.file, self.sizes = file, sizes
+        self.places, self.begins = ([0, *itertools.accumulate(x[i] for x in sizes)] for i in (0, 1))
+        self.at, self.data = -1, b""
+
+    def frame(self, i: int) -> bytes:
+        if i != self.at:
+            n, raw = self.sizes[i]
+            self.at, self.data = i, pa.decompress(self.file.read_at(n, self.places[i]), raw, codec="zstd", asbytes=True)
+        return self.data
+
+    def read_at(self, n: int, at: int) -> bytes:
+        end, parts = min(at + n, self.begins[-1]), []
+        i = bisect.bisect_right(self.begins, at) - 1
+        while at < end:
+            parts.append(self.frame(i)[at - self.begins[i] : end - self.begins[i]])
+            at, i = self.begins[i + 1], i + 1
+        return b"".join(parts)
+
+
+class _FramesWriter:
+    """Writes bytes to a stream as frames of FRAME_BYTES; close ends it with their table."""
+
+    def __init__(self, stream):
+        self.stream, self.held, self.n, self.sizes = stream, [], 0, []
+
+    def write(self, data: bytes) -> None:
+        self.held.append(data)
+        self.n += len(data)
+        if self.n >= FRAME_BYTES:
+            data = b"".join(self.held)
+            whole = len(data) // FRAME_BYTES * FRAME_BYTES
+            for at in range(0, whole, FRAME_BYTES):
+                self.frame(data[at : at + FRAME_BYTES])
+            self.held, self.n = [data[whole:]], len(data) - whole
+
+    def frame(self, data: bytes) -> None:
+        packed = pa.compress(data, codec="zstd", asbytes=True)
+        self.stream.write(packed)
+        self.sizes.append((len(packed), len(data)))
+
+    def close(self) -> None:
+        if self.n:
+            self.frame(b"".join(self.held))
+        table = b"".join(struct.pack("<II", *x) for x in self.sizes) + struct.pack("<IBI", len(self.sizes), 0, SEEKABLE)
+        self.stream.write(struct.pack("<II", SKIPPABLE, len(table)) + table)
+        self.stream.close()
+
+
+def plain(path: str, file) -> tuple:
+    """(file, bytes) as rows are read from it: decompressed if it is in zstd's seekable format, else as it is."""
+    size = file.size()
+    if path.endswith(".zst") and size >= 17:
+        count, flags, mark = struct.unpack("<IBI", file.read_at(9, size - 9))
+        entry = 12 if flags & 128 else 8  # with a checksum for each frame, or without
+        n = 8 + entry * count + 9
+        if mark == SEEKABLE and n <= size and struct.unpack("<II", file.read_at(8, size - n)) == (SKIPPABLE, n - 8):
+            table = file.read_at(entry * count, size - n + 8)
+            sizes = [struct.unpack_from("<II", table, entry * i) for i in range(count)]
+            return _Frames(file, sizes), sum(raw for _, raw in sizes)
+    return file, size
+
+
 class _RangeReader(DataSourceReader):
     """Reads files by ranges; rows(range, file) of a subclass gives tuples in the order of schema."""
 
@@ -88,6 +164,10 @@ class _RangeReader(DataSourceReader):
     def partitions(self) -> list[Range]:
         out = []
         for path, size in listed(self.path):
+            if path.endswith(".zst"):
+                fs, inner = opened(path)
+                with fs.open_input_file(inner) as file:
+                    size = plain(path, file)[1]
             step = self.split_bytes if self.splits else max(size, 1)
             out += [Range(path, at, min(at + step, size), size) for at in range(0, size, step)]
         return out or [Range("", 0, 0, 0)]
@@ -101,11 +181,13 @@ class _RangeReader(DataSourceReader):
         fs, inner = opened(part.path)
         with fs.open_input_file(inner) as file:
             rows: list[tuple] = []
-            for row in self.rows(part, file):
+            held = 0
+            for row in self.rows(part, plain(part.path, file)[0]):
                 rows.append((part.path, *row))
-                if len(rows) == BATCH_ROWS:
+                held += sum(len(x) for x in row if isinstance(x, bytes))
+                if len(rows) == BATCH_ROWS or held >= BATCH_BYTES:
                     yield table(rows)
-                    rows = []
+                    rows, held = [], 0
             yield table(rows)
 
 
@@ -182,6 +264,9 @@ class _PagesWriter(DataSourceArrowWriter):
 
     def __init__(self, options: dict, schema, overwrite: bool):
         self.path, self.overwrite = (options.get("path") or "").rstrip("/"), overwrite
+        self.compression = options.get("compression", "none")
+        if self.compression not in ("none", "zstd"):
+            raise ValueError("compression is none or zstd")
         if not self.path:
             raise ValueError("a path is needed")
         if [f.name for f in schema] != ["stream", "page", "content"]:
@@ -190,7 +275,7 @@ class _PagesWriter(DataSourceArrowWriter):
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         fs, root = opened(self.path)
-        folder, name = f"{root}/_temporary/{self.job}", f"part-{uuid.uuid4().hex}.ogg"
+        folder, name = f"{root}/_temporary/{self.job}", f"part-{uuid.uuid4().hex}.ogg" + (".zst" if self.compression == "zstd" else "")
         seen, last, file = set(), None, None
         try:
             for batch in batches:
@@ -204,7 +289,8 @@ class _PagesWriter(DataSourceArrowWriter):
                     last = stream, page
                     if file is None:
                         fs.create_dir(folder, recursive=True)
-                        file = fs.open_output_stream(f"{folder}/{name}")
+                        file = fs.open_output_stream(f"{folder}/{name}", compression=None)
+                        file = _FramesWriter(file) if self.compression == "zstd" else file
                     file.write(content)
         finally:
             if file is not None:
@@ -234,7 +320,8 @@ class _PagesWriter(DataSourceArrowWriter):
 class PagesSource(DataSource):
     """Pages of container files, by offset; error tells why no sound page is where one is expected. Reading goes on at the next sound page.
 
-    Options: splitBytes, the bytes of a range. Writing takes what sources.files.pages gives, a stream's pages in one task.
+    Options: splitBytes, the bytes of a range; compression of what is written, none (the default) or zstd. Writing takes what
+    sources.files.pages gives, a stream's pages in one task.
     """
 
     @classmethod

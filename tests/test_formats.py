@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from packetloom.operators import container as c
+from packetloom.plans import container_queries
 from packetloom.sources import files, formats
 
 
@@ -221,3 +222,96 @@ def test_records_by_source_and_table_function(session):
     files.read_binary(session, path).createOrReplaceTempView("f")
     rows = session.sql("SELECT f.path, r.* FROM f, LATERAL packet_records(f.content) AS r ORDER BY path, record").collect()
     assert plain(rows) == [*want, (0, None, None, "unexpected end")]
+
+
+def test_written_pages_take_less_room_than_what_they_hold(session):
+    """container_packets stores its pages compressed, and what it shuffled for them is gone once they are written."""
+    shuffled = lambda: {*Path(tempfile.gettempdir()).glob("blockmgr-*/*/shuffle_*.data")}
+    known, before = shuffled(), session.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    pages = container_queries._written(session, "/root/testdata/sf0.01")
+    paths = [r.path for r in pages.select("path").distinct().collect()]
+    held = pages.agg(F.sum(F.octet_length("body")).alias("n")).head().n
+    assert held > 7_000_000 and sum(Path(p).stat().st_size for p in paths) < held / 10
+    assert not [f for f in shuffled() - known if f.exists() and f.stat().st_size > 100_000]
+    assert session.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_packets_are_moved_once_into_pages(session):
+    p = session.range(9).select((F.col("id") % 2).alias("s"), F.col("id").alias("o"), F.lit(b"x").alias("payload"))
+    assert files.pages(p, "s", ["o"], "payload", "o")._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+
+
+def walked(pages):
+    """Packets (serial, packet, granule, payload) of pages (serial, flags, granule, segments, body, error) of one file in order."""
+    state, out = {}, []
+    for serial, flags, granule, segments, body, error in pages:
+        s = state.setdefault(serial, {"n": 0, "open": b"", "over": False})
+        if error or s["over"]:
+            continue
+        s["open"] = s["open"] if flags & 1 else b""
+        at = 0
+        for size in segments:
+            s["open"] += body[at : at + size]
+            at += size
+            if size < 255:
+                out.append((serial, s["n"], None if granule == -1 else granule, s["open"]))
+                s["n"], s["open"] = s["n"] + 1, b""
+        s["over"] = bool(flags & 4)
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_pages_give_the_packets_of_a_walk(session, seed):
+    """Pages of any flags and segments, dealt out in any way."""
+    random_ = random.Random(seed)
+    rows = []
+    for at in range(400):
+        segments = [random_.choice((255, 255, 0, 7, 254)) for _ in range(random_.randint(1, random_.choice((1, 3, 40, 255))))]
+        segments = [255] * len(segments) if random_.random() < 0.2 else segments
+        flags = random_.choice((0, 0, 1, 1, 1)) | (4 if random_.random() < 0.01 else 0)
+        rows.append((random_.randint(0, 4), flags, random_.choice((-1, at)), segments, random_.randbytes(sum(segments)), "bad checksum" if random_.random() < 0.05 else None))
+    made = session.createDataFrame([("f", at, f, g, s, at, x, bytearray(b), e) for at, (s, f, g, x, b, e) in enumerate(rows)], files.PAGE_SCHEMA)
+    got = files.packets_with_payloads(made.repartition(7)).collect()
+    assert sorted((r.serial, r.packet, r.granule, bytes(r.payload)) for r in got) == walked(rows)
+
+
+def test_pages_of_any_packets_come_as_the_sink_takes_them(session):
+    """Null and empty payloads, lengths about the marks, null streams and times: read back as they were."""
+    lengths = [0, 1, 254, 255, 256, 65_024, 65_025, 65_026, 130_050, 200_000, 3]
+    rows = [(s, None if n % 4 == 3 else n, n, None if n == 5 and s == 2 else bytearray(bytes([n + (s or 0)]) * lengths[(n + (s or 0)) % len(lengths)])) for s in (None, 1, 2, 3) for n in range(12)]
+    df = session.createDataFrame(rows, "s long, t long, n long, data binary").repartition(5)
+    for options in ({}, {"compression": "zstd"}):
+        path = folder()
+        files.pages(df, "s", ["t", "n"], "data", "n", serial=F.coalesce("stream", F.lit(9))).write.format("pages").options(**options).mode("append").save(path)
+        got = files.packets_with_payloads(read(session, path, splitBytes="70000"), "offset").collect()
+        want = []
+        for s in (None, 1, 2, 3):
+            own = sorted((r for r in rows if r[0] == s and r[3] is not None), key=lambda r: (r[1] is None, r[1] or 0, r[2]))
+            want += [(s or 9, k, bytes(r[3])) for k, r in enumerate(own)]
+        assert sorted((r.serial, r.packet, bytes(r.payload)) for r in got) == sorted(want)
+    text = session.createDataFrame([(1, 0, "é" * 300)], "s long, n long, data string")
+    assert [len(r.content) for r in files.pages(text, "s", ["n"], "data", "n").collect()] == [27 + 3 + 600]
+
+
+@pytest.mark.parametrize("split", ["1001", "300000", "1048576", "99999999"])
+def test_compressed_files_are_read_by_ranges(session, split):
+    """As what they decompress to; any reader of zstd reads them too, and a file that is only named so is read as it is."""
+    import pyarrow as pa
+
+    random_ = random.Random(2)
+    n = 20 if split == "1001" else 900
+    rows = [(1, k, bytearray(page(1, k, [random_.randbytes(random_.randint(0, 6000))], granule=k))) for k in range(n)]
+    df = session.createDataFrame(rows, "stream long, page long, content binary").coalesce(1).sortWithinPartitions("page")
+    path = folder(old__ogg=page(2, 0, [b"old"]))
+    df.write.format("pages").option("compression", "zstd").mode("append").save(path)
+    (name,) = Path(path).glob("*.zst")
+    data = b"".join(bytes(r[2]) for r in rows)
+    assert pa.CompressedInputStream(pa.OSFile(str(name)), "zstd").read() == data and (n < 100 or len(data) > 2 << 20)
+    got = read(session, path, splitBytes=split)
+    assert split == "99999999" or got.rdd.getNumPartitions() == -(-len(data) // int(split)) + 1
+    key = lambda rows: [(r.offset, r.sequence, r.error, None if r.body is None else bytes(r.body)) for r in rows]
+    raw = read(session, folder(x__ogg=data)).orderBy("offset").collect()
+    assert key(got.where("serial = 1").orderBy("offset").collect()) == key(raw) and got.count() == n + 1
+    assert [r.serial for r in read(session, folder(**{"x__ogg__zst": page(5, 0, [b"plain"])})).collect()] == [5]
+    with pytest.raises(Exception, match="compression is none or zstd"):
+        df.write.format("pages").option("compression", "gzip").mode("append").save(path)
